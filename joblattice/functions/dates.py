@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,40 +20,38 @@ def _days_ago(seen_at: Column, n: Column) -> Column:
 
 
 def _epoch(text: Column) -> Column:
-    number = text.try_cast("bigint")
-    millis = F.when(F.abs(number) >= 10**11, number).otherwise(number * 1000)
-    return F.when(number.between(-(10**16), 10**16) & millis.between(_FIRST_MS, _LAST_MS), F.timestamp_millis(millis))
+    """Below 10^11 it is seconds, from there on milliseconds; nothing past year 9999."""
+    millis = text.try_cast("bigint")
+    return F.when(text.rlike(r"^-?0*\d{1,11}$"), F.timestamp_seconds(text.try_cast("bigint"))).when(
+        millis.between(_FIRST_MS, _LAST_MS), F.timestamp_millis(millis))
 
 
 def _prose_days(lowered: Column) -> Column:
     """Whole days back told by 'posted ...' prose, NULL if it tells none."""
-    counted = blank_to_null(F.regexp_extract(lowered, r"posted\s+(\d+)\+\s*days?\s+ago", 1))
-    plain = blank_to_null(F.regexp_extract(lowered, r"posted\s+(\d+)\s*days?\s+ago", 1))
+    counted = blank_to_null(F.regexp_extract(lowered, r"posted\s+(\d+)\+?\s*days?\s+ago", 1))
     return F.coalesce(
-        F.coalesce(counted, plain).try_cast("int"),
+        counted.try_cast("int"),
         F.when(lowered.rlike(r"posted\s+today"), 0),
         F.when(lowered.rlike(r"posted\s+yesterday"), 1),
     )
 
 
+_ISO = (
+    r"^(\d{4})-?(\d{2})-?(\d{2})"
+    r"(?:[T ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+)
+
+
 def _iso(text: Column) -> Column:
     """ISO-8601 instants; one without an offset is UTC whatever the session zone is."""
-    day = r"^(\d{4})-?(\d{2})-?(\d{2})"
-    clock = r"(?:[T ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?"
-    zone = r"(Z|[+-]\d{2}:?\d{2})?)?$"
-    whole = day + clock + zone
-
-    def group(n):
-        return F.regexp_extract(text, whole, n)
-
-    offset = F.regexp_replace(group(8), r"^([+-]\d{2}):?(\d{2})$", "$1:$2")
-    rebuilt = F.concat(
-        group(1), F.lit("-"), group(2), F.lit("-"), group(3), F.lit("T"),
-        *[x for n in (4, 5, 6) for x in (F.rpad(group(n), 2, "0"), F.lit(":" if n < 6 else "."))],
-        F.rpad(group(7), 6, "0"),
-        F.coalesce(blank_to_null(offset), F.lit("Z")),
-    )
-    return F.when(text.rlike(whole), rebuilt.try_cast("timestamp"))
+    full = reduce(lambda t, step: F.regexp_replace(t, *step), [
+        (_ISO, "$1-$2-$3T$4:$5:$6.$7$8"),
+        (r"(?<=[T:])(?=[:.])", "00"),
+        (r"\.(?=Z|[+-]|$)", ""),
+        (r"([+-]\d{2})(\d{2})$", "$1:$2"),
+        (r"(?<!Z|[+-]\d{2}:\d{2})$", "Z"),
+    ], text)
+    return F.when(text.rlike(_ISO), full.try_cast("timestamp"))
 
 
 def parse_posted_at(raw="posted_at", seen_at="first_seen") -> Column:

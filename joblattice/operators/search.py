@@ -32,12 +32,13 @@ STOP_WORDS = (
 ).split()
 
 _ENDINGS = [
-    (r"^(.+)(?:sses)$", "$1ss"),
+    (r"^(.+)sses$", "$1ss"),
     (r"^(.{2,})ies$", "$1i"),
-    (r"^(.*[^s])s$", "$1"),
+    (r"^(.*[^su])s$", "$1"),
     (r"^(.*[aeiouy].*)(?:ing|ed)$", "$1"),
-    (r"^(.*[^aeiouylsz])\1?y$", "$1i"),
-    (r"^(.{3,})(?:ation|ations)$", "$1at"),
+    (r"(?:(b)b|(d)d|(f)f|(g)g|(m)m|(n)n|(p)p|(r)r|(t)t)$", "$1$2$3$4$5$6$7$8$9"),
+    (r"^(.+[^aeiou])y$", "$1i"),
+    (r"^(.{3,}at)ions?$", "$1"),
     (r"^(.{3,})ment$", "$1"),
     (r"^(.{2,})e$", "$1"),
 ]

@@ -168,10 +168,9 @@ def joined_locations(spark, sf_dir):
 
 
 def _name_pairs(spark, sf_dir):
-    """Each supplier, as candidate, against the names its customers by nation carry."""
-    s, c = given(spark, sf_dir, "supplier"), bound(spark, sf_dir, "postings")
+    """Each nation, as candidate, against the company names of every 25th source's postings."""
     picked = F.pmod(F.col("source_id"), F.lit(25)).cast("int")
-    pairs = c.select(picked.alias("nation"), "company").distinct()
+    pairs = bound(spark, sf_dir, "postings").select(picked.alias("nation"), "company").distinct()
     n = given(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), "n_name")
     return pairs.join(n, "nation").select(
         F.col("n_name").alias("candidate"), F.concat(F.lower("n_name"), F.lit(" works")).alias("candidate_name"), "company")
