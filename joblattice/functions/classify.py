@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joblattice import vocab
@@ -73,28 +74,33 @@ def pick_arrangement(structured="work_arrangement", location="location") -> Colu
 # --- employer ---------------------------------------------------------------
 
 
-def company_name(c="company") -> Column:
-    """Display name from a slug, a tenant id or a registered name."""
-    raw = as_col(c)
-    name = strip(text_of(raw))
-    numbered = F
-    for brand, shown in vocab.NUMBERED_SUBSIDIARIES.items():
-        numbered = numbered.when(name.rlike(rf"(?i)^\d{{4,5}}{SPACE}+{brand}{NOT_AFTER}"), shown)
-    cleaned = F.regexp_replace(name, r"(?<=[a-zA-Z])\d+$", "")
-    for joined, spaced in vocab.JOINED_NAMES.items():
-        cleaned = F.regexp_replace(cleaned, f"(?i){NOT_BEFORE}{joined}{NOT_AFTER}", spaced)
+def company_name(df: DataFrame, column: str = "company", into: str | None = None) -> DataFrame:
+    """Display names from slugs, tenant ids and registered names.
+
+    Staged, so each clean-up step is evaluated once.
+    """
+    into = into or column
+    name = F.col("_name")
+    joined = "|".join(vocab.JOINED_NAMES)
+    spaced = reduce(
+        lambda c, kv: F.regexp_replace(c, f"(?i){NOT_BEFORE}{kv[0]}{NOT_AFTER}", kv[1]), vocab.JOINED_NAMES.items(), name)
     suffixes = "|".join(re.escape(s) for s in vocab.NAME_SUFFIXES)
-    shorter = F.regexp_replace(cleaned, rf"(?i)(?:,|{SPACE})+(?:{suffixes})\.?{SPACE}*$", "")
-    shown = F.when(cleaned.isin(vocab.NAMES_KEEPING_SUFFIX), cleaned).otherwise(shorter)
-    bare_slug = (shown == F.lower(shown)) & ~shown.contains(" ") & (F.length(shown) > 2)
-    return (
-        F.when(F.coalesce(raw, F.lit("")) == "", "Unknown Company")
-        .otherwise(F.coalesce(
-            literal_map(vocab.COMPANY_NAMES)[F.lower(name)],
-            numbered,
-            F.when(bare_slug, title_case(shown)).otherwise(strip(shown)),
-        ))
+    suffix = rf"(?i)(?:,|{SPACE})+(?:{suffixes})\.?{SPACE}*$"
+    staged = (
+        df.withColumn("_raw", strip(text_of(column)))
+        .withColumn("_name", F.regexp_replace("_raw", r"(?<=[a-zA-Z])\d+$", ""))
+        .withColumn("_name", F.when(name.rlike(f"(?i){joined}"), spaced).otherwise(name))
+        .withColumn("_name", F.when(name.isin(vocab.NAMES_KEEPING_SUFFIX), name).otherwise(F.regexp_replace(name, suffix, "")))
     )
+    numbered = F
+    for brand, shown in vocab.NUMBERED_SUBSIDIARIES.items():
+        numbered = numbered.when(F.col("_raw").rlike(rf"(?i)^\d{{4,5}}{SPACE}+{brand}{NOT_AFTER}"), shown)
+    bare_slug = (name == F.lower(name)) & ~name.contains(" ") & (F.length(name) > 2)
+    answer = F.when(text_of(column) == "", "Unknown Company").otherwise(F.coalesce(
+        literal_map(vocab.COMPANY_NAMES)[F.lower("_raw")], numbered,
+        F.when(bare_slug, title_case(name)).otherwise(strip(name)),
+    ))
+    return staged.withColumn("_name", answer).drop("_raw", *([into] if into in df.columns else [])).withColumnRenamed("_name", into)
 
 
 def infer_category(company="company", function="job_function", current="category",

@@ -32,15 +32,11 @@ STOP_WORDS = (
 ).split()
 
 _ENDINGS = [
-    (r"^(.+)sses$", "$1ss"),
-    (r"^(.{2,})ies$", "$1i"),
-    (r"^(.*[^su])s$", "$1"),
-    (r"^(.*[aeiouy].*)(?:ing|ed)$", "$1"),
+    (r"(ss|i)es$|([^su])s$", "$1$2"),
+    (r"^([^aeiouy]*[aeiouy].*?)(?:ing|ed)$", "$1"),
     (r"(?:(b)b|(d)d|(f)f|(g)g|(m)m|(n)n|(p)p|(r)r|(t)t)$", "$1$2$3$4$5$6$7$8$9"),
-    (r"^(.+[^aeiou])y$", "$1i"),
-    (r"^(.{3,}at)ions?$", "$1"),
-    (r"^(.{3,})ment$", "$1"),
-    (r"^(.{2,})e$", "$1"),
+    (r"([^aeiou])y$", "$1i"),
+    (r"(at)ions?$|(..)(?:ment|e)$", "$1$2"),
 ]
 
 
@@ -55,17 +51,15 @@ def words_of(text) -> Column:
 
 
 def build_index(df: DataFrame, key: str = "id", weights: dict = WEIGHTS) -> DataFrame:
-    """(term, id, field, weight, positions); stop words are left out, their places are not.
-
-    Words of one text meet in one task, so the partial aggregation sends one
-    row per term and text into the shuffle.
-    """
-    fields = F.array(*[
-        F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), words_of(f).alias("words"))
-        for f, w in weights.items() if f in df.columns
-    ])
-    texts = df.select(key, F.explode(fields).alias("t")).select(key, "t.field", "t.weight", "t.words")
-    placed = texts.select(key, "field", "weight", F.posexplode("words").alias("pos", "word"))
+    """(term, id, field, weight, positions); stop words are left out, their places are not."""
+    # Spread by text before the words multiply; grouping by (term, text) then needs no further shuffle.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fields = [f for f in weights if f in df.columns]
+    spread = df.select(key, *fields).repartition(parts, key)
+    each = F.array(*[
+        F.struct(F.lit(f).alias("field"), F.lit(float(weights[f])).alias("weight"), F.col(f).alias("text")) for f in fields])
+    texts = spread.select(key, F.explode(each).alias("t")).select(key, "t.field", "t.weight", words_of("t.text").alias("words"))
+    placed = texts.select(key, "field", "weight", F.posexplode_outer("words").alias("pos", "word"))
     terms = placed.filter(~F.col("word").isin(STOP_WORDS)).withColumn("term", stem("word"))
     return terms.groupBy("term", key, "field").agg(
         F.max("weight").alias("weight"), F.sort_array(F.collect_list("pos")).alias("positions"),
@@ -96,41 +90,40 @@ def read_query(q: str) -> list[dict]:
     return [g for g in groups if g["must"]]
 
 
-def _phrase_hits(index: DataFrame, run: list) -> DataFrame:
-    """Ids holding the phrase within one field, with the weights it occurs at."""
-    spark = index.sparkSession
-    first = run[0][0]
-    wanted = spark.createDataFrame([(w, i - first) for i, w in run], "word string, at int").select(
-        stem("word").alias("term"), "at",
-    )
-    rows = index.join(F.broadcast(wanted), "term")
-    if len(run) == 1:
-        return rows.groupBy("id").agg(F.sum("weight").alias("rank"))
-    starts = rows.select("id", "field", "weight", "at", F.explode("positions").alias("pos"))
-    whole = starts.groupBy("id", "field", (F.col("pos") - F.col("at")).alias("start")).agg(
-        F.count_distinct("at").alias("n"), F.max("weight").alias("weight"),
-    ).filter(F.col("n") == len(run))
-    return whole.select("id", "field", "weight").distinct().groupBy("id").agg((F.sum("weight") * len(run)).alias("rank"))
-
-
 def search(index: DataFrame, q: str) -> DataFrame:
-    """(id, rank) of the texts matching a query."""
+    """(id, rank) of the texts matching a query, reading the index once.
+
+    A phrase is met where all its words stand at their distances from one
+    starting place in one field.
+    """
     groups = read_query(q)
     if not groups:
         return index.select("id", F.lit(0.0).alias("rank")).limit(0)
-
-    def group_hits(group):
-        parts = [_phrase_hits(index, run) for run in group["must"]]
-        met = reduce(lambda a, b: a.unionByName(b), parts).groupBy("id").agg(
-            F.count("*").alias("n"), F.sum("rank").alias("rank"),
-        ).filter(F.col("n") == len(parts)).select("id", "rank")
-        for run in group["not"]:
-            met = met.join(_phrase_hits(index, run).select("id"), "id", "left_anti")
-        return met
-
-    return reduce(lambda a, b: a.unionByName(b), map(group_hits, groups)).groupBy("id").agg(
-        F.round(F.sum("rank"), 4).alias("rank"),
+    runs = [run for g in groups for kind in ("must", "not") for run in g[kind]]
+    at = {id(run): n for n, run in enumerate(runs)}
+    rows = [(n, len(run), w, i - run[0][0]) for n, run in enumerate(runs) for i, w in run]
+    wanted = index.sparkSession.createDataFrame(rows, "run int, size int, word string, at int").select(
+        "run", "size", stem("word").alias("term"), "at")
+    places = F.when(F.col("size") == 1, F.array(F.lit(0))).otherwise(F.col("positions"))
+    met = (
+        index.join(F.broadcast(wanted), "term")
+        .select("id", "field", "run", "size", F.col("weight").cast("double").alias("weight"), "at", F.explode(places).alias("pos"))
+        .groupBy("id", "field", "run", "size", (F.col("pos") - F.col("at")).alias("start"))
+        .agg(F.count("*").alias("n"), F.max("weight").alias("weight"))
+        .filter(F.col("n") == F.col("size"))
+        .groupBy("id", "field", "run").agg(F.max(F.col("weight") * F.col("size")).alias("weight"))
     )
+    by_text = met.groupBy("id").agg(*[
+        F.sum(F.when(F.col("run") == n, F.col("weight"))).alias(f"_run{n}") for n in range(len(runs))])
+
+    def rank_of(group) -> Column:
+        must = [F.col(f"_run{at[id(r)]}") for r in group["must"]]
+        never = [F.col(f"_run{at[id(r)]}").isNull() for r in group["not"]]
+        return F.when(reduce(lambda a, b: a & b, [m.isNotNull() for m in must] + never), reduce(lambda a, b: a + b, must))
+
+    ranks = F.array_compact(F.array(*[rank_of(g) for g in groups]))
+    total = F.aggregate(ranks, F.lit(0.0), lambda a, r: a + r)
+    return by_text.filter(F.size(ranks) > 0).select("id", F.round(total, 4).alias("rank"))
 
 
 def search_feed(df: DataFrame, index: DataFrame, q: str) -> DataFrame:

@@ -40,11 +40,11 @@ def standardize_posting(df: DataFrame) -> DataFrame:
         "job_function": classify.job_function(),
         "_cycle": standardize_cycle(),
         "_tenant": tenant,
-        "company": F.when(tenant, _TENANT_COMPANY).otherwise(classify.company_name()),
         "category": F.when(tenant, _TENANT_INDUSTRY).otherwise(F.col("category")),
         "company_key": F.when(tenant, _TENANT_KEY).otherwise(F.col("company_key")),
     })
-    cleaned = standardize_location(clean_title(read))
+    named = classify.company_name(read).withColumn("company", F.when(F.col("_tenant"), _TENANT_COMPANY).otherwise(F.col("company")))
+    cleaned = standardize_location(clean_title(named))
 
     squashed = F.regexp_replace(F.lower("company"), "[^a-z0-9]+", "")
     prefix = F.when(F.col("id").contains(":"), F.split_part("id", F.lit(":"), F.lit(1)))

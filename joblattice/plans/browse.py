@@ -253,21 +253,21 @@ def text_index(spark, sf_dir):
 
 
 @query(f"""WITH {INDEX}, hits AS (SELECT id, term, sum(weight) AS w FROM (SELECT DISTINCT id, term, field, weight FROM idx) GROUP BY id, term)
-SELECT id, round(sum(rank), 4) AS rank FROM (
-  SELECT id, w AS rank FROM hits WHERE term = 'web' AND id NOT IN (SELECT id FROM hits WHERE term = 'que')
-  UNION ALL SELECT a.id, a.w + b.w FROM hits a JOIN hits b USING (id) WHERE a.term = 'en' AND b.term = 'forum') GROUP BY id""")
+SELECT id, CAST(round(sum(rank), 4) AS DOUBLE) AS rank FROM (
+  SELECT id, w AS rank FROM hits WHERE term = 'fr' AND id NOT IN (SELECT id FROM hits WHERE term = 'qu')
+  UNION ALL SELECT a.id, a.w + b.w FROM hits a JOIN hits b USING (id) WHERE a.term = 'en' AND b.term = 'src4') GROUP BY id""")
 def text_search(spark, sf_dir):
-    return search.search(search.build_index(_texts(spark, sf_dir)), "Web -que OR en forum")
+    return search.search(search.build_index(_texts(spark, sf_dir)), "FR -que OR en src4")
 
 
 @query(f"""WITH {INDEX}, p AS (SELECT DISTINCT a.id, a.field, a.weight FROM idx a JOIN idx b ON a.id = b.id AND a.field = b.field AND b.pos = a.pos + 1
-  WHERE a.term = 'les' AND b.term = 'de') SELECT id, round(sum(weight) * 2, 4) AS rank FROM p GROUP BY id""".replace("'les'", "'le'"))
+  WHERE a.term = 'les' AND b.term = 'de') SELECT id, CAST(round(sum(weight) * 2, 4) AS DOUBLE) AS rank FROM p GROUP BY id""".replace("'les'", "'le'"))
 def phrase_search(spark, sf_dir):
     return search.search(search.build_index(_texts(spark, sf_dir)), '"les de"')
 
 
 @query(f"""WITH {INDEX}, hits AS (SELECT id, round(sum(weight), 4) AS rank FROM (SELECT DISTINCT id, field, weight FROM idx WHERE term = 'en') GROUP BY id)
-SELECT id, coalesce(rank, 0) AS search_rank FROM texts LEFT JOIN hits USING (id) WHERE rank IS NOT NULL OR contains(lower(title), 'en')""")
+SELECT id, coalesce(CAST(rank AS DOUBLE), 0) AS search_rank FROM texts LEFT JOIN hits USING (id) WHERE rank IS NOT NULL OR contains(lower(title), 'en')""")
 def search_with_substrings(spark, sf_dir):
     texts = _texts(spark, sf_dir).withColumn("company", F.lit(""))
     return search.search_feed(texts, search.build_index(texts), "EN").select("id", "search_rank")

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from joblattice.plans import browse, columns  # noqa: F401
+from joblattice.plans import browse, columns, landed  # noqa: F401
 from joblattice.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

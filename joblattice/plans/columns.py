@@ -52,7 +52,6 @@ scalar("title_cycles", lambda: {"season": cycle.parse_cycle()["season"], "year":
 scalar("standard_cycles", lambda: {
     "season": cycle.standardize_cycle()["season"], "year": cycle.standardize_cycle()["year"].cast("string")},
     {"season": k.standard_season(), "year": f"CAST({k.standard_year()} AS VARCHAR)"})
-scalar("company_names", lambda: {"name": classify.company_name()}, {"name": k.company_name()})
 scalar("industries", lambda: {"industry": classify.infer_category()}, {"industry": k.industry()})
 scalar("posted_dates", lambda: {"posted": stamp(dates.parse_posted_at()["ts"]), "approx": dates.parse_posted_at()["approx"]},
        {"posted": k.stamp(k.posted_ts()), "approx": k.posted_approx()})
@@ -121,6 +120,11 @@ def standard_locations(spark, sf_dir):
     return places.standardize_location(bound(spark, sf_dir, "postings").select("id", "location"), into="place").select("id", "place")
 
 
+@query(f"SELECT id, {k.company_name()} AS name FROM postings", ("postings",))
+def company_names(spark, sf_dir):
+    return classify.company_name(bound(spark, sf_dir, "postings").select("id", "company"), into="name").select("id", "name")
+
+
 @query(f"SELECT id, {k.title()} AS shown FROM postings", ("postings",))
 def display_titles(spark, sf_dir):
     return titles.clean_title(bound(spark, sf_dir, "postings").select("id", "title"), into="shown").select("id", "shown")
