@@ -20,6 +20,7 @@ WORD = r"\p{L}\p{N}_"
 NOT_BEFORE = rf"(?<![{WORD}])"
 NOT_AFTER = rf"(?![{WORD}])"
 SPACE = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]"
+_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def as_col(c) -> Column:
@@ -32,7 +33,8 @@ def text_of(c) -> Column:
 
 
 def strip(c) -> Column:
-    return F.regexp_replace(as_col(c), rf"^{SPACE}+|{SPACE}+$", "")
+    """No whitespace of any kind at the ends."""
+    return F.trim(as_col(c), F.lit(_BLANKS))
 
 
 def squeeze(c) -> Column:

@@ -38,9 +38,8 @@ def listing_groups(postings: DataFrame) -> DataFrame:
 
     One row per posting, never one per pair: rows of a key belong together.
     """
-    sizes = postings.filter(F.col("dedup_key").isNotNull()).groupBy("dedup_key").agg(F.count("*").alias("group_size"))
-    shared = sizes.filter("group_size > 1").withColumn("_rows", F.col("group_size"))
-    return lookup(postings, shared, "dedup_key", "id", weight="_rows").filter(F.col("group_size").isNotNull())
+    sizes = postings.groupBy("dedup_key").agg(F.count("*").alias("group_size")).filter("group_size > 1")
+    return lookup(postings, sizes, "dedup_key", "id").filter(F.col("group_size").isNotNull())
 
 
 def also_listed(postings: DataFrame, ids: DataFrame) -> DataFrame:

@@ -126,12 +126,11 @@ def dedup_sweep(postings: DataFrame, direct=vocab.DIRECT_PLATFORMS) -> DataFrame
     The winner comes from a plain aggregation, which combines before the
     shuffle; a window would sort a hot key's rows in one task.
     """
-    live = F.col("status").isin("open", "duplicate") & F.col("dedup_key").isNotNull()
+    live = F.col("status").isin("open", "duplicate")
     order = F.struct(identity.precedence("ats", direct).alias("p"), "first_seen", "id")
-    winners = postings.filter(live).groupBy("dedup_key").agg(
-        F.min(order)["id"].alias("_winner"), F.count("*").alias("_rows"))
+    winners = postings.filter(live).groupBy(F.col("dedup_key").alias("_live_key")).agg(F.min(order)["id"].alias("_winner"))
     keyed = postings.withColumn("_live_key", F.when(live, F.col("dedup_key")))
-    met = lookup(keyed, winners.withColumnRenamed("dedup_key", "_live_key"), "_live_key", "id", weight="_rows")
+    met = lookup(keyed, winners, "_live_key", "id")
     first, ranked = F.col("id") == F.col("_winner"), F.col("_winner").isNotNull()
     out = _swap(met, {
         "status": F.when(ranked, F.when(first, "open").otherwise("duplicate")).otherwise(F.col("status")),

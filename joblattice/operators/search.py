@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joblattice.functions.text import blank_to_null, text_of
@@ -50,8 +50,11 @@ def words_of(text) -> Column:
     return F.regexp_extract_all(F.lower(text_of(text)), F.lit(r"([\p{L}\p{N}]+)"))
 
 
-def build_index(df: DataFrame, key: str = "id", weights: dict = WEIGHTS) -> DataFrame:
-    """(term, id, field, weight, positions); stop words are left out, their places are not."""
+def build_index(df: DataFrame, key: str = "id", weights: dict = WEIGHTS, only: DataFrame | None = None) -> DataFrame:
+    """(term, id, field, weight, positions); stop words are left out, their places are not.
+
+    ``only`` (term) keeps the few terms of a query, for a search without a stored index.
+    """
     # Spread by text before the words multiply; grouping by (term, text) then needs no further shuffle.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fields = [f for f in weights if f in df.columns]
@@ -61,6 +64,8 @@ def build_index(df: DataFrame, key: str = "id", weights: dict = WEIGHTS) -> Data
     texts = spread.select(key, F.explode(each).alias("t")).select(key, "t.field", "t.weight", words_of("t.text").alias("words"))
     placed = texts.select(key, "field", "weight", F.posexplode_outer("words").alias("pos", "word"))
     terms = placed.filter(~F.col("word").isin(STOP_WORDS)).withColumn("term", stem("word"))
+    if only is not None:
+        terms = terms.join(F.broadcast(only), "term", "left_semi")
     return terms.groupBy("term", key, "field").agg(
         F.max("weight").alias("weight"), F.sort_array(F.collect_list("pos")).alias("positions"),
     )
@@ -90,6 +95,17 @@ def read_query(q: str) -> list[dict]:
     return [g for g in groups if g["must"]]
 
 
+def query_terms(spark: SparkSession, q: str) -> DataFrame:
+    """The distinct terms a query asks for: as many rows as it has words, at most."""
+    words = {w for g in read_query(q) for run in g["must"] + g["not"] for _, w in run}
+    return spark.createDataFrame([(w,) for w in sorted(words)], "word string").select(stem("word").alias("term")).distinct()
+
+
+def search_texts(df: DataFrame, q: str, weights: dict = WEIGHTS) -> DataFrame:
+    """``search`` straight over the texts; only the query's words are grouped."""
+    return search(build_index(df, weights=weights, only=query_terms(df.sparkSession, q)), q)
+
+
 def search(index: DataFrame, q: str) -> DataFrame:
     """(id, rank) of the texts matching a query, reading the index once.
 

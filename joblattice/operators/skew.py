@@ -5,34 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 256
-HOT_ROWS = 100_000
+# What the session must allow for ``lookup`` to split a hot key's rows at run time.
+ADAPTIVE = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, row_id: str, weight: str | None = None,
-           hot_keys: int = HOT_KEYS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Left join to rows unique per ``key``, exact whatever the key's distribution.
+def lookup(left: DataFrame, right: DataFrame, key: str, row_id: str) -> DataFrame:
+    """Left join to rows unique per ``key``, whatever the key's distribution.
 
-    The at most ``hot_keys`` heaviest keys are answered from a broadcast of
-    that many rows.  Their rows, and rows without a key, are spread over the
-    shuffle by ``row_id``; a key not among them holds at most 1/hot_keys of
-    all rows.  ``weight`` names a column of ``right`` with the key's row count
-    in ``left``; without it the rows are counted.
+    Adaptive execution broadcasts a right side it has measured to be small,
+    and else splits the partition of a hot key over many tasks, each joined
+    with a copy of that key's one right row.  Rows without a key match nothing
+    and are spread by ``row_id``, so they never meet in one task.
     """
-    payload = [c for c in right.columns if c not in (key, weight)]
-    if weight:
-        heavy = right.select(key, F.col(weight).alias("_n"))
-    else:
-        heavy = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    heavy = heavy.filter(F.col("_n") >= hot_rows).orderBy(F.desc("_n"), key).limit(hot_keys).select(key)
-    values = F.struct(*payload)
-    hot = right.join(F.broadcast(heavy), key, "left_semi").select(key, values.alias("_hot"))
+    payload = [c for c in right.columns if c != key]
     spread = F.concat(F.lit("\u0000"), F.col(row_id).cast("string"))
-    keyed = left.join(F.broadcast(hot), key, "left").withColumn(
-        "_key", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), spread).otherwise(F.col(key).cast("string")),
-    )
-    cold = right.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("_key"), values.alias("_cold"))
-    found = F.coalesce("_hot", "_cold")
-    return keyed.join(cold, "_key", "left").select(
-        *[F.col(c) for c in left.columns], *[found[c].alias(c) for c in payload],
-    )
+    keyed = left.withColumn("_key", F.coalesce(F.col(key).cast("string"), spread))
+    answers = right.select(F.col(key).cast("string").alias("_key"), *[F.col(c).alias(f"_right_{c}") for c in payload])
+    return keyed.join(answers, "_key", "left").select(
+        *[F.col(c) for c in left.columns], *[F.col(f"_right_{c}").alias(c) for c in payload])

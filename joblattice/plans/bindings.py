@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from joblattice.operators.skew import ADAPTIVE
+
 AS_OF = "2001-09-01 00:00:00"
 RUNS_AS_OF = "2024-01-31 00:00:00"
 
@@ -232,8 +234,9 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table as given.  Times are read as UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """A table as given.  Times are read as UTC, and hot join keys may be split."""
+    for name, value in {"spark.sql.session.timeZone": "UTC", **ADAPTIVE}.items():
+        spark.conf.set(name, value)
     return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 

@@ -257,7 +257,7 @@ SELECT id, CAST(round(sum(rank), 4) AS DOUBLE) AS rank FROM (
   SELECT id, w AS rank FROM hits WHERE term = 'fr' AND id NOT IN (SELECT id FROM hits WHERE term = 'qu')
   UNION ALL SELECT a.id, a.w + b.w FROM hits a JOIN hits b USING (id) WHERE a.term = 'en' AND b.term = 'src4') GROUP BY id""")
 def text_search(spark, sf_dir):
-    return search.search(search.build_index(_texts(spark, sf_dir)), "FR -que OR en src4")
+    return search.search_texts(_texts(spark, sf_dir), "FR -que OR en src4")
 
 
 @query(f"""WITH {INDEX}, p AS (SELECT DISTINCT a.id, a.field, a.weight FROM idx a JOIN idx b ON a.id = b.id AND a.field = b.field AND b.pos = a.pos + 1

@@ -7,21 +7,23 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+from joblattice.operators.skew import ADAPTIVE
+
 
 def local_session(cores: str = "*", app: str = "joblattice") -> SparkSession:
     """A single-machine session for tests and the benchmark; clusters bring their own."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("JOBLATTICE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for name, value in ADAPTIVE.items():
+        builder = builder.config(name, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

@@ -55,14 +55,14 @@ def _parsed(raw: DataFrame, spec: Provider) -> DataFrame:
 
 def normalize(raw: DataFrame, name: str) -> DataFrame:
     spec = PROVIDERS[name]
-    jobs = _parsed(raw, spec).select(
-        "source_entry", "entry", *[c for c in ("query_category", "page") if c in raw.columns],
+    jobs = _parsed(raw, spec).withColumn("_entry", F.from_json("entry", "map<string, string>")).select(
+        "source_entry", "_entry", *[c for c in ("query_category", "page") if c in raw.columns],
         F.posexplode("_items").alias("_pos", "_job"),
     )
     job = F.col("_job")
 
     def entry(field: str) -> Column:
-        return F.get_json_object("entry", f"$.{field}")
+        return F.col("_entry")[field]
 
     made = spec.row(job, entry)
     blanks = {c: F.lit("") for c in ("category", "job_function", "work_arrangement", "description_snippet")}
