@@ -7,10 +7,14 @@ rendered for Spark and for the checking SQL.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from joblattice.functions import identity
 from joblattice.operators.skew import ADAPTIVE
+from joblattice.session import shared_dir
 
 AS_OF = "2001-09-01 00:00:00"
 RUNS_AS_OF = "2024-01-31 00:00:00"
@@ -233,18 +237,39 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
 
 
-def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table as given.  Times are read as UTC, and hot join keys may be split."""
+def prepare(spark: SparkSession) -> None:
+    """Times are read as UTC, and hot join keys may be split."""
     for name, value in {"spark.sql.session.timeZone": "UTC", **ADAPTIVE}.items():
         spark.conf.set(name, value)
+
+
+def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table as given."""
+    prepare(spark)
     return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
+_STORED: dict[tuple, str] = {}
+
+
 def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A logical table over the given one."""
-    source, columns = TABLES[name]
-    d = Dialect()
-    return given(spark, sf_dir, source).selectExpr(*[f"{sql} AS {c}" for c, sql in columns(d)])
+    """A logical table over the given one, stored once per session like a live table.
+
+    Postings are stored with their comparison keys, as ingest stores them, so
+    scans prune columns and push filters down to the files.
+    """
+    stored = (spark.sparkContext.applicationId, sf_dir, name)
+    if stored not in _STORED:
+        source, columns = TABLES[name]
+        rows = given(spark, sf_dir, source).selectExpr(*[f"{sql} AS {c}" for c, sql in columns(Dialect())])
+        if name == "postings":
+            rows = rows.withColumns({"dedup_key": identity.dedup_key(), "company_key": identity.company_key()})
+        path = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+        rows.write.parquet(path)
+        _STORED[stored] = path
+    else:
+        prepare(spark)
+    return spread(spark.read.parquet(_STORED[stored]))
 
 
 def check_cte(name: str) -> str:

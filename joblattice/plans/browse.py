@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from joblattice import vocab
-from joblattice.functions import identity
 from joblattice.operators import entities, facets, filters, maintain, ranking, search
 from joblattice.plans import checks as k
 from joblattice.plans.bindings import AS_OF, RUNS_AS_OF, as_of, bound, given
@@ -43,13 +42,14 @@ def spec_sql(s: filters.FilterSpec) -> str:
     )
 
 
-def live(spark, sf_dir):
+def keyed(spark, sf_dir):
+    """Postings with their comparison keys, as stored."""
     return bound(spark, sf_dir, "postings")
 
 
-def keyed(spark, sf_dir):
-    """Postings with their comparison keys."""
-    return live(spark, sf_dir).withColumns({"dedup_key": identity.dedup_key(), "company_key": identity.company_key()})
+def live(spark, sf_dir):
+    """Postings as landed, before keys are set."""
+    return keyed(spark, sf_dir).drop("dedup_key", "company_key")
 
 
 KEYED = f"keyed AS (SELECT *, {k.dedup_key()} AS dedup_key, {k.company_key()} AS company_key FROM postings)"

@@ -147,7 +147,7 @@ SELECT id, {k.title('raw_title')} AS title, company, place AS location, ats, wor
        CASE WHEN tenant THEN 'Aerospace & Defense' ELSE {k.industry()} END AS category FROM placed
 """, ("postings",))
 def standardized_postings(spark, sf_dir):
-    return standardize_posting(bound(spark, sf_dir, "postings")).select(
+    return standardize_posting(bound(spark, sf_dir, "postings").drop("dedup_key", "company_key")).select(
         "id", "title", "company", "location", "ats", "work_arrangement", "job_function", "cycle_season",
         F.col("cycle_year").cast("string").alias("cycle_year"), "company_key", "description_snippet", "category")
 
