@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joblattice.functions.text import blank_to_null, text_of
@@ -31,29 +31,34 @@ STOP_WORDS = (
     "own same so than too very s t can will just don should now"
 ).split()
 
+# Each rule is tried only on words that end so: (endings, pattern, what stays).
 _ENDINGS = [
-    (r"(ss|i)es$|([^su])s$", "$1$2"),
-    (r"^([^aeiouy]*[aeiouy].*?)(?:ing|ed)$", "$1"),
-    (r"(?:(b)b|(d)d|(f)f|(g)g|(m)m|(n)n|(p)p|(r)r|(t)t)$", "$1$2$3$4$5$6$7$8$9"),
-    (r"([^aeiou])y$", "$1i"),
-    (r"(at)ions?$|(..)(?:ment|e)$", "$1$2"),
+    (["s"], r"(ss|i)es$|([^su])s$", "$1$2"),
+    (["ing", "ed"], r"^([^aeiouy]*[aeiouy].*?)(?:ing|ed)$", "$1"),
+    (list("bdfgmnprt"), r"(?:(b)b|(d)d|(f)f|(g)g|(m)m|(n)n|(p)p|(r)r|(t)t)$", "$1$2$3$4$5$6$7$8$9"),
+    (["y"], r"([^aeiou])y$", "$1i"),
+    (["e", "ment", "ion", "ions"], r"(at)ions?$|(..)(?:ment|e)$", "$1$2"),
 ]
 
 
-def stem(word) -> Column:
-    """A word without its common endings."""
-    w = F.col(word) if isinstance(word, str) else word
-    return reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), _ENDINGS, w)
+def with_stem(df: DataFrame, word: str = "word", into: str = "term") -> DataFrame:
+    """Words without their common endings, one stage per ending; the first letter always stays."""
+    out = df.withColumn(into, F.coalesce(F.col(word), F.lit("")))
+    for endings, pattern, stays in _ENDINGS:
+        w = F.col(into)
+        has = reduce(lambda a, b: a | b, [w.endswith(e) for e in endings])
+        out = out.withColumn(into, F.coalesce(F.when(has, F.regexp_replace(w, pattern, stays)).otherwise(w), F.lit("")))
+    return out
 
 
 def words_of(text) -> Column:
     return F.regexp_extract_all(F.lower(text_of(text)), F.lit(r"([\p{L}\p{N}]+)"))
 
 
-def build_index(df: DataFrame, key: str = "id", weights: dict = WEIGHTS, only: DataFrame | None = None) -> DataFrame:
+def build_index(df: DataFrame, key: str = "id", weights: dict = WEIGHTS, only: list[str] | None = None) -> DataFrame:
     """(term, id, field, weight, positions); stop words are left out, their places are not.
 
-    ``only`` (term) keeps the few terms of a query, for a search without a stored index.
+    ``only`` keeps the terms of a query's words, for a search without a stored index.
     """
     # Spread by text before the words multiply; grouping by (term, text) then needs no further shuffle.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -63,9 +68,13 @@ def build_index(df: DataFrame, key: str = "id", weights: dict = WEIGHTS, only: D
         F.struct(F.lit(f).alias("field"), F.lit(float(weights[f])).alias("weight"), F.col(f).alias("text")) for f in fields])
     texts = spread.select(key, F.explode(each).alias("t")).select(key, "t.field", "t.weight", words_of("t.text").alias("words"))
     placed = texts.select(key, "field", "weight", F.posexplode_outer("words").alias("pos", "word"))
-    terms = placed.filter(~F.col("word").isin(STOP_WORDS)).withColumn("term", stem("word"))
+    kept = placed.filter(~F.col("word").isin(STOP_WORDS))
     if only is not None:
-        terms = terms.join(F.broadcast(only), "term", "left_semi")
+        kept = kept.filter(F.substring("word", 1, 1).isin(sorted({w[0] for w in only})))
+    terms = with_stem(kept)
+    if only is not None:
+        wanted = with_stem(df.sparkSession.createDataFrame([(w,) for w in only], "word string")).select("term").distinct()
+        terms = terms.join(F.broadcast(wanted), "term", "left_semi")
     return terms.groupBy("term", key, "field").agg(
         F.max("weight").alias("weight"), F.sort_array(F.collect_list("pos")).alias("positions"),
     )
@@ -95,15 +104,13 @@ def read_query(q: str) -> list[dict]:
     return [g for g in groups if g["must"]]
 
 
-def query_terms(spark: SparkSession, q: str) -> DataFrame:
-    """The distinct terms a query asks for: as many rows as it has words, at most."""
-    words = {w for g in read_query(q) for run in g["must"] + g["not"] for _, w in run}
-    return spark.createDataFrame([(w,) for w in sorted(words)], "word string").select(stem("word").alias("term")).distinct()
+def query_words(q: str) -> list[str]:
+    return sorted({w for g in read_query(q) for run in g["must"] + g["not"] for _, w in run})
 
 
 def search_texts(df: DataFrame, q: str, weights: dict = WEIGHTS) -> DataFrame:
     """``search`` straight over the texts; only the query's words are grouped."""
-    return search(build_index(df, weights=weights, only=query_terms(df.sparkSession, q)), q)
+    return search(build_index(df, weights=weights, only=query_words(q)), q)
 
 
 def search(index: DataFrame, q: str) -> DataFrame:
@@ -118,8 +125,7 @@ def search(index: DataFrame, q: str) -> DataFrame:
     runs = [run for g in groups for kind in ("must", "not") for run in g[kind]]
     at = {id(run): n for n, run in enumerate(runs)}
     rows = [(n, len(run), w, i - run[0][0]) for n, run in enumerate(runs) for i, w in run]
-    wanted = index.sparkSession.createDataFrame(rows, "run int, size int, word string, at int").select(
-        "run", "size", stem("word").alias("term"), "at")
+    wanted = with_stem(index.sparkSession.createDataFrame(rows, "run int, size int, word string, at int")).drop("word")
     places = F.when(F.col("size") == 1, F.array(F.lit(0))).otherwise(F.col("positions"))
     met = (
         index.join(F.broadcast(wanted), "term")

@@ -235,7 +235,7 @@ def _texts(spark, sf_dir):
 
 
 _STEM = "word"
-for _pattern, _to in search._ENDINGS:
+for _test, _pattern, _to in search._ENDINGS:
     _STEM = k.sub(_STEM, _pattern, _to.replace("$", "\\"), "")
 INDEX = f"""texts AS (SELECT doc_id AS id, source || ' ' || array_to_string(string_split(text, ' ')[1:4], ' ') AS title, lang AS location, text AS description FROM documents),
 fields AS (SELECT id, 'title' AS field, 1.0 AS weight, title AS body FROM texts UNION ALL SELECT id, 'location', 0.2, location FROM texts
