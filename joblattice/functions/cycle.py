@@ -11,6 +11,7 @@ from joblattice.functions.text import (
     NOT_AFTER, NOT_BEFORE, as_col, blank_to_null, phrases_pattern, text_of,
 )
 
+# fixed values: how short years are written
 _FISCAL = rf"{NOT_BEFORE}(?:FY|fy)\s*'?([23][0-9]){NOT_AFTER}"
 _QUOTED = rf"{NOT_BEFORE}'([23][0-9]){NOT_AFTER}"
 

@@ -36,6 +36,7 @@ def _prose_days(lowered: Column) -> Column:
     )
 
 
+# fixed value: the ISO-8601 forms read
 _ISO = (
     r"^(\d{4})-?(\d{2})-?(\d{2})"
     r"(?:[T ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"

@@ -46,6 +46,7 @@ def _just_remote(loc: Column) -> Column:
     ) | bare.rlike(r"^(?:us|usa|united states)\s*-\s*remote$")
 
 
+# fixed values: affixes and address forms cleaned off a place, in this order
 _AFFIXES = [
     r"(?i)^(?:remote|virtual|hybrid|flexible\s*/\s*remote)\s*-\s*",
     r"(?i)\s*\((?:remote|hybrid|onsite|virtual)\)$",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from joblattice import vocab
 from joblattice.functions.text import NOT_AFTER, NOT_BEFORE, SPACE, WORD, squeeze, strip, text_of
 
+# fixed values: how requisition codes are written
 # A requisition word must end where the word ends, so "Refinery" is kept.
 _REQUISITION = (
     rf"(?i)\s*[\[(]?{NOT_BEFORE}(?:req(?:uisition)?|job\s*id|ref(?:erence)?|req\s*#|req\s*no\.?)(?!\p{{L}})"

@@ -61,9 +61,8 @@ def build_index(df: DataFrame, key: str = "id", weights: dict = WEIGHTS, only: l
     ``only`` keeps the terms of a query's words, for a search without a stored index.
     """
     # Spread by text before the words multiply; grouping by (term, text) then needs no further shuffle.
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fields = [f for f in weights if f in df.columns]
-    spread = df.select(key, *fields).repartition(parts, key)
+    spread = df.select(key, *fields).repartition(key)
     each = F.array(*[
         F.struct(F.lit(f).alias("field"), F.lit(float(weights[f])).alias("weight"), F.col(f).alias("text")) for f in fields])
     texts = spread.select(key, F.explode(each).alias("t")).select(key, "t.field", "t.weight", words_of("t.text").alias("words"))

@@ -21,8 +21,10 @@ SHARD_COLUMNS = [
     "cycle_season", "cycle_year", "posted_at", "description", "dedup_key",
 ]
 
+# The tag authority of feed and entry ids; a publisher sets its own.
+FEED_TAG = "tag:feeds.example.com,2026:"
+
 # fixed values: the feed formats
-FEED_TAG = "tag:internship-feed,2026:"
 SUBTITLE = "Internship postings sourced directly from company career sites."
 APPROXIMATE = (
     " (date approximate — the source gave a bound, not a date: this posting is AT LEAST this old and may be considerably older)"
@@ -41,7 +43,7 @@ def feed_index(postings: DataFrame, snippet: int = 280) -> DataFrame:
     }).select(*[c for c in INDEX_COLUMNS if c in rows.columns or c == "desc_id"])
 
 
-def description_shards(table: DataFrame, store: DataFrame, older: DataFrame) -> DataFrame:
+def description_shards(table: DataFrame, store: DataFrame | None = None, older: DataFrame | None = None) -> DataFrame:
     """One record per open posting with a description; table before store before older shards.
 
     Older shards keep their own title and place; the rest is standardised anew.
@@ -53,11 +55,13 @@ def description_shards(table: DataFrame, store: DataFrame, older: DataFrame) ->
         std = standardize_posting(df.filter(has_text).withColumn("_text", F.col("description")))
         return std.withColumn("description", F.col("_text")).select(*[c for c in SHARD_COLUMNS if c in std.columns])
 
-    kept = ["title", "location", "job_function", "cycle_season", "cycle_year"]
-    renamed = older.filter(has_text).withColumns({f"_{c}": F.col(c) for c in [*kept, "description"]})
-    again = standardize_posting(renamed).withColumns({c: F.col(f"_{c}") for c in [*kept, "description"]})
-    again = again.select(*[c for c in SHARD_COLUMNS if c in again.columns])
-    merged = priority_union([whole(live), whole(store), again])
+    inputs = [whole(d) for d in (live, store) if d is not None]
+    if older is not None:
+        kept = ["title", "location", "job_function", "cycle_season", "cycle_year", "description"]
+        again = standardize_posting(older.filter(has_text).withColumns({f"_{c}": F.col(c) for c in kept}))
+        again = again.withColumns({c: F.col(f"_{c}") for c in kept})
+        inputs.append(again.select(*[c for c in SHARD_COLUMNS if c in again.columns]))
+    merged = priority_union(inputs)
     return merged.join(live.select("id"), "id", "left_semi").withColumn("desc_id", identity.safe_id())
 
 
@@ -77,8 +81,7 @@ def write_bundle(postings: DataFrame, presets: DataFrame, out: str, as_of: Colum
     facets.metadata_totals(index).withColumn("generated_at", dates.iso_text(as_of)).coalesce(1).write.mode("overwrite").json(f"{out}/totals")
     facets.company_directory(index).orderBy(F.desc("postings_count"), "key").write.mode("overwrite").json(f"{out}/companies")
     presets.coalesce(1).write.mode("overwrite").json(f"{out}/presets")
-    none = postings.limit(0)
-    write_shards(description_shards(postings, none if store is None else store, none if older is None else older), f"{out}/descriptions")
+    write_shards(description_shards(postings, store, older), f"{out}/descriptions")
     every = postings.filter("status = 'open'").withColumn("feed_key", F.lit("global"))
     atom_feed(every, as_of=as_of).select("document").coalesce(1).write.mode("overwrite").text(f"{out}/atom")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from joblattice.functions.text import blank_to_null, text_of
 
+# fixed values: what is no board token, and the forms of board addresses
 NOT_TOKENS = ["robots.txt", "favicon.ico"]
 _WORKDAY = r"(?i)^https?://([a-z0-9-]+)\.([a-z0-9]+)\.myworkdayjobs\.com/([^/?]*)"
 _LOCALE = r"^[a-z]{2}(?:-[A-Za-z]{2,4})?$"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from joblattice.functions.text import as_col, blank_to_null, display_text, strip_html, text_of
 from joblattice.schema import POSTING_COLUMNS
 
+# fixed values: the marks of linked data, microdata and job addresses in a page
 _LD_JSON = r"""(?s)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
 _MICRODATA = r"""(?i)itemtype=["'][^"']*schema\.org/JobPosting["']"""
 _JOB_PATH = r"(?i)/(?:job|jobs|position|req|career)s?[/_-]"

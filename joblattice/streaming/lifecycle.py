@@ -94,9 +94,8 @@ def _combined(parts: Column) -> Column:
 
 def run_summary(runs: DataFrame) -> DataFrame:
     """Per source: runs, leading and trailing failures, the longest failing stretch."""
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = runs.select("source_id", "started_at", "id", "ok").repartitionByRange(
-        parts, "source_id", "started_at", "id").sortWithinPartitions("source_id", "started_at", "id")
+        "source_id", "started_at", "id").sortWithinPartitions("source_id", "started_at", "id")
     stretches = ordered.mapInPandas(_fold, SUMMARY)
     inner = [f for f in _FIELDS if f != "source_id"]
     return stretches.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct(*inner))).alias("_s")).select(
