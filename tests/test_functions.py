@@ -119,7 +119,7 @@ def test_company_names(pairs):
         ("Acme, Inc.", "Acme"), ("HP Inc.", "HP Inc."), ("Moog Inc.", "Moog Inc."), ("10442 Expedia do Brasil", "Expedia Group"),
         ("CityAndCountyOfSanFrancisco1", "City and County of San Francisco"), ("sunworks", "Sunworks"), ("ab", "ab"),
         ("", "Unknown Company"), (None, "Unknown Company"), ("Zeta S.A.", "Zeta"), ("o'neil-co", "O'Neil-Co"),
-    ], "t string", classify.company_name("t"))
+    ], "t string", lambda df: classify.company_name(df, "t", "out"))
 
 
 def test_industry(pairs):
