@@ -16,7 +16,6 @@ from joblattice.streaming import stall
 from joblattice.streaming.lifecycle import lifecycle
 
 T0 = datetime(2026, 8, 1)
-NOW = F.lit
 AS_OF = datetime(2026, 9, 1)
 
 
@@ -68,6 +67,28 @@ def test_lookup_keeps_every_row_of_hot_and_missing_keys(spark):
     assert all(got[i] == ("hot" if i % 3 == 0 or i == 7 else "one" if i == 20 else None) for i in range(1000))
 
 
+def test_a_hot_key_is_split_over_tasks(spark):
+    """With no broadcast and small thresholds the join of a hot key is split, and stays whole."""
+    confs = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        left = spark.range(0, 60000, 1, 16).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 5000 END AS k", "uuid() AS pad")
+        right = spark.range(5000).selectExpr("id AS k", "'v' || id AS v")
+        out = lookup(left, right, "k", "id")
+        rows = out.collect()
+        assert len(rows) == 60000 and all(r["v"] == f"v{r['k']}" for r in rows)
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_pages_cover_everything_once(postings):
     rows = postings.filter("status = 'open'")
     want = [r["id"] for r in rows.orderBy(*ranking.feed_order()).collect()]
