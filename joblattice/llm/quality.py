@@ -14,7 +14,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from joblattice.llm.common import whole_text
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "exclaim_share")
@@ -22,69 +21,77 @@ SYMBOLS = "#*$%&|<>"
 _T = "__quality_"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL that evaluates `value` once and names it in `body`."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _counted(text: str) -> str:
+    """SQL for a struct of all counts of a text."""
+
+    def at(x: str) -> str:
+        return f"cast({x} & (shiftleft(1L, b) - 1L) as int)"
+
+    def found(what: str) -> str:
+        return f"cast(regexp_count(t, '{what}') as bigint)"
+
+    blanks = "t"
+    for other in (r"\t", r"\n", r"\u000b", r"\u000c", r"\r"):
+        blanks = f"replace({blanks}, '{other}', ' ')"
+    hashes = ("case when n > 3 then sort_array(transform(sequence(0, n - 3),"
+              " i -> shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), b) | i))"
+              " else cast(array() as array<bigint>) end")
+    # neighbours with equal hashes, as their positions; then those whose words are equal
+    near = (f"filter(zip_with(h, slice(h, 2, size(h)), (x, y) -> case when shiftright(x, b) = shiftright(y, b)"
+            f" then named_struct('i', {at('x')}, 'j', {at('y')}) end), p -> p is not null)")
+    equal = " and ".join(f"w[p.i + {d}] = w[p.j + {d}]" for d in range(3))
+    out = ("named_struct('n_words', cast(n as bigint),"
+           " 'word_chars', cast(length(array_join(w, '')) as bigint),"
+           f" 'n_symbols', {found('[' + SYMBOLS + ']')},"
+           " 'n_dup_lines', cast(size(l) - size(array_distinct(l)) as bigint),"
+           f" 'n_repeat_words', cast(size(array_distinct(flatten(transform(filter(r, p -> {equal}), p ->"
+           " array(p.i, p.i + 1, p.i + 2, p.j, p.j + 1, p.j + 2))))) as bigint),"
+           f" 'lines', size(l), 'upper', {found('[A-Z]')}, 'exclaim', length(t) - length(replace(t, '!', '')))")
+    for name, value in reversed((
+        ("t", f"coalesce({text}, '')"),
+        ("w", f"array_remove(split({blanks}, ' '), '')"),
+        ("l", r"filter(split(t, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')"),
+        ("n", "size(w)"),
+        ("b", "length(bin(n))"),
+        ("h", hashes),
+        ("r", near),
+    )):
+        out = _let(name, value, out)
+    return out
+
+
 def counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds `COUNTS` and, as struct `__quality_f`, `FEATURES`; columns of these names are replaced.
 
     Null and empty texts have zero of everything.  Three-word windows are found
     again by sorting their hashes within the row, each with its position in the
     low bits, and comparing the words of neighbours with equal hashes: n log n
-    for a text of any length, and no rows leave their place.
+    for a text of any length, and no rows leave their place.  One generated row
+    per row keeps the planner from evaluating the counts more than once.
     """
-    c = {x: f"{_T}{x}" for x in ("t", "w", "l", "n", "b", "h", "r")}
-    df = df.withColumn(c["t"], whole_text(text))
-    df = df.withColumns({
-        c["w"]: F.expr(rf"filter(split({c['t']}, '[\\x20\\x09-\\x0D]+'), x -> x <> '')"),
-        c["l"]: F.expr(rf"filter(split({c['t']}, '\\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')"),
-    })
-    df = df.withColumn(c["n"], F.size(c["w"]))
-    df = df.withColumn(c["b"], F.length(F.bin(c["n"])))
-    w, n, b, h = c["w"], c["n"], c["b"], c["h"]
-    df = df.withColumn(h, F.expr(
-        f"case when {n} >= 3 then sort_array(transform(sequence(0, {n} - 3),"
-        f" i -> shiftleft(xxhash64({w}[i], {w}[i + 1], {w}[i + 2]), {b}) | cast(i as bigint)))"
-        " else cast(array() as array<bigint>) end"))
-
-    def at(k: str) -> str:
-        return f"cast({h}[{k}] & (shiftleft(1L, {b}) - 1L) as int)"
-
-    def same(k: str, j: str) -> str:
-        equal = " and ".join(f"{w}[{at(k)} + {d}] = {w}[{at(j)} + {d}]" for d in range(3))
-        return f"(shiftright({h}[{k}], {b}) = shiftright({h}[{j}], {b}) and {equal})"
-
-    df = df.withColumn(c["r"], F.expr(
-        f"case when {n} > 3 then transform(filter(sequence(0, {n} - 3), k ->"
-        f" (k > 0 and {same('k', 'k - 1')}) or (k < {n} - 3 and {same('k', 'k + 1')})), k -> {at('k')})"
-        " else cast(array() as array<int>) end"))
-    t, lines = F.col(c["t"]), F.col(c["l"])
-    chars = F.length(t)
-
-    def found(characters: str) -> Column:
-        return chars - F.length(F.translate(t, characters, ""))
-
-    df = df.withColumns({
-        "n_words": F.col(n).cast("long"),
-        "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": found(SYMBOLS).cast("long"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_repeat_words": F.expr(f"size(array_distinct(flatten(transform({c['r']}, i -> array(i, i + 1, i + 2)))))").cast("long"),
-        f"{_T}upper": found("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-        f"{_T}exclaim": found("!"),
-    })
-
-    def share(part: str | Column, whole: str | Column) -> Column:
-        part, whole = (F.col(x) if isinstance(x, str) else x for x in (part, whole))
-        return F.coalesce(part / F.greatest(whole, F.lit(1)), F.lit(0.0))
+    c = f"{_T}c"
+    df = df.withColumn(f"{_T}t", F.col(text))
+    df = df.select(*df.columns, F.explode(F.array(F.expr(_counted(f"{_T}t")))).alias(c))
+    df = df.withColumns({x: F.col(f"{c}.{x}") for x in COUNTS})
+
+    def share(part: str, whole: str) -> Column:
+        return F.col(f"{c}.{part}") / F.greatest(F.col(f"{c}.{whole}"), F.lit(1))
 
     df = df.withColumn(f"{_T}f", F.struct(
         F.col("n_words").cast("double").alias("words"),
         share("word_chars", "n_words").alias("mean_word"),
         share("n_symbols", "n_words").alias("symbol_share"),
-        share("n_dup_lines", F.size(lines)).alias("dup_line_share"),
+        share("n_dup_lines", "lines").alias("dup_line_share"),
         share("n_repeat_words", "n_words").alias("repeat_share"),
-        share(f"{_T}upper", "word_chars").alias("upper_share"),
-        share(f"{_T}exclaim", "n_words").alias("exclaim_share"),
+        share("upper", "word_chars").alias("upper_share"),
+        share("exclaim", "n_words").alias("exclaim_share"),
     ))
-    return df.drop(*c.values(), f"{_T}upper", f"{_T}exclaim")
+    return df.drop(c, f"{_T}t")
 
 
 def base_failed() -> Column:
