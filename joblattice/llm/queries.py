@@ -1,9 +1,12 @@
 """The registered queries of this package, with their checking SQL where there is one."""
 
-from joblattice.llm import line_dedup, mixing, quality
+from joblattice.llm import bpe, line_dedup, mixing, pii, quality, records
 
 QUERIES = {
+    "op3_byte_bpe": bpe.op3,
+    "op4_personal_data": pii.op4,
     "op5_line_dedup": line_dedup.op5,
+    "op6_token_records": records.op6,
     "op9_source_mix": mixing.op9,
     "op10_quality_rules": quality.op10,
 }
