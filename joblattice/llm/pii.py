@@ -196,6 +196,9 @@ def op4(spark, sf_dir: str) -> DataFrame:
     def listed(found: Column) -> Column:
         return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
+    def n_of(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+
     return find(docs, keep=["doc_id"]).select(
-        "doc_id", *(F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE),
+        "doc_id", *(n_of(k).alias(f"n_{k}") for k in BASE),
         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
