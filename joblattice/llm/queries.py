@@ -1,8 +1,9 @@
 """The registered queries of this package, with their checking SQL where there is one."""
 
-from joblattice.llm import bpe, line_dedup, mixing, pii, quality, records
+from joblattice.llm import bpe, line_dedup, main_text, mixing, pii, quality, records
 
 QUERIES = {
+    "op2_main_text": main_text.op2,
     "op3_byte_bpe": bpe.op3,
     "op4_personal_data": pii.op4,
     "op5_line_dedup": line_dedup.op5,
