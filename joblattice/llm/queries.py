@@ -1,8 +1,9 @@
 """The registered queries of this package, with their checking SQL where there is one."""
 
-from joblattice.llm import bpe, line_dedup, main_text, mixing, pii, quality, records
+from joblattice.llm import bpe, line_dedup, main_text, mixing, pii, quality, records, topk
 
 QUERIES = {
+    "op1_top_k": topk.op1,
     "op2_main_text": main_text.op2,
     "op3_byte_bpe": bpe.op3,
     "op4_personal_data": pii.op4,
@@ -11,4 +12,4 @@ QUERIES = {
     "op9_source_mix": mixing.op9,
     "op10_quality_rules": quality.op10,
 }
-ORACLE_SQL = {"op5_line_dedup": line_dedup.OP5_SQL}
+ORACLE_SQL = {"op1_top_k": topk.OP1_SQL, "op5_line_dedup": line_dedup.OP5_SQL}
