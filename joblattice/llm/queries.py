@@ -1,6 +1,6 @@
 """The registered queries of this package, with their checking SQL where there is one."""
 
-from joblattice.llm import bpe, line_dedup, main_text, mixing, ngram_join, pii, quality, records, topk
+from joblattice.llm import bpe, line_dedup, main_text, mixing, ngram_join, pii, quality, records, secret_scan, topk
 
 QUERIES = {
     "op1_top_k": topk.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_line_dedup": line_dedup.op5,
     "op6_token_records": records.op6,
     "op7_ngram_join": ngram_join.op7,
+    "op8_secret_scan": secret_scan.op8,
     "op9_source_mix": mixing.op9,
     "op10_quality_rules": quality.op10,
 }
