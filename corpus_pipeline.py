@@ -2,39 +2,57 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from joblattice.llm import line_dedup, mixing, quality
+from joblattice.llm import bpe, line_dedup, mixing, ngram_join, quality
 from joblattice.llm.common import scratch, table
 
+#: The columns of documents, which all stages but the last return.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.judge(docs, table(spark, sf_dir, "labels")).where("kept").select(*COLUMNS)
+    return quality.judge(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).where("kept").select(*COLUMNS)
 
 
-def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the boilerplate lines of their source; n_chars follows the text."""
-    from pyspark.sql import functions as F
+    out = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
-    out = line_dedup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of similar ones, that of the smallest id; rows without an id stay."""
+    docs = docs.select(*COLUMNS)
+    gone = ngram_join.join(docs).where("id <> component_id").select(F.col("id").alias("gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("gone"), "leftanti")
 
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    from pyspark.sql import functions as F
 
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
     out = mixing.mix(docs.select(*COLUMNS)).where("copies > 0")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each text, packed as little-endian 32-bit integers, their number, and whether decoding gives the text back."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = bpe.encode(docs.select("doc_id", "source", F.col("text")).withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)),
+                     path, public_tokenizers.PATTERN, keep=["doc_id", "source", "text_sha256"])
+    return bpe.decode(ids, path).select(
+        "doc_id", "source", "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
+
+
 STAGES = [
     ("quality_rules", quality_rules),
-    ("line_dedup", line_dedup_stage),
-    ("source_mix", mixing_stage),
+    ("line_dedup", drop_lines),
+    ("ngram_join", near_duplicates),
+    ("source_mix", source_mix),
+    ("byte_bpe", byte_bpe),
 ]
 
 #: Rules are learned and documents drawn at random: SQL can't express the stages.
