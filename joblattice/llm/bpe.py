@@ -216,13 +216,11 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         self.vocabulary, self.split = vocabulary(path), splitter(pattern)
         self._pack = [i.to_bytes(4, "little") for i in range(len(self.vocabulary.tokens))]
-        self._pieces = Recent()
+        self._pieces = Recent(self._encode_pieces)
         self.encode = Stretches(self._stretches)
 
     def _stretches(self, texts: list[str]) -> list[bytes]:
-        cut = [self.split.findall(t) for t in texts]
-        ids = self._pieces.known({p for c in cut for p in c}, self._encode_pieces)
-        return [b"".join(map(ids.__getitem__, c)) for c in cut]
+        return self._pieces.joined([self.split.findall(t) for t in texts])
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """In byte order, as each piece's table begins with that of the bytes it shares with the one before."""
@@ -241,6 +239,11 @@ class Encoder:
         return self.encode([text])[0]
 
 
+def portions(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batch in parts, so that what is made of it is never held whole."""
+    return (batch.slice(k, rows) for k in range(0, batch.num_rows, rows))
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
@@ -258,9 +261,10 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoder(path, pattern)
-        for b in batches:
-            ids = pa.array(one.encode(b.column(len(names)).fill_null("")), pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], [*names, out])
+        for whole in batches:
+            for b in portions(whole):
+                ids = pa.array(one.encode(b.column(len(names)).fill_null("")), pa.binary())
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], [*names, out])
 
     return source.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.BinaryType())]))
 
@@ -285,9 +289,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", kee
             except (IndexError, ValueError):
                 return None
 
-        for b in batches:
-            raw = pa.array((one(x.as_py()) for x in b.column(len(names))), pa.binary(), size=b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], raw], [*names, out])
+        for whole in batches:
+            for b in portions(whole):
+                raw = pa.array((one(x.as_py()) for x in b.column(len(names))), pa.binary(), size=b.num_rows)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], raw], [*names, out])
 
     return source.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.BinaryType())]))
 

@@ -130,7 +130,7 @@ def _tokenizer(path: str, dtype: str) -> Stretches:
     def encode(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return Stretches(encode)
+    return Stretches(encode, 400_000)
 
 
 def _width(path: str) -> str:
@@ -253,11 +253,12 @@ def bases(index_rows: DataFrame) -> DataFrame:
 def op6(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from joblattice.llm.common import scratch, table
+    from joblattice.llm.common import scratch, stored, table
 
     folder = scratch(spark, "records")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = write(docs, folder, public_tokenizers.path("byte_bpe_50k.json"))
-    return read(rows, folder).join(bases(rows), "shard").select(
-        "doc_id", (F.col("base") + F.col("before")).alias("start"),
-        (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    digests = read(rows, folder).select(
+        "shard", "before", "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return digests.join(stored(bases(rows), "bases"), "shard").select(
+        "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

@@ -8,19 +8,19 @@ stretches in a bounded table.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
-import regex
-
 #: White space as the patterns understand it (Unicode White_Space), for a character class.
-WHITE = r"\t-\r \x85\xa0  -     　"
-#: Entries that a worker keeps; longer keys are never kept.
-KEPT, KEPT_KEY = 300_000, 48
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Entries of a table that a worker keeps, twice over; longer keys are never kept.
+KEPT, KEPT_KEY = 150_000, 48
 #: Characters of text that are cut up at once.
 AT_ONCE = 2_000_000
 
-_BREAK = regex.compile(f" (?=[^{WHITE}])")
-_OTHER_SPACE = regex.compile(f" (?![^{WHITE}])")
+_MARKS = ",.!?;:"
+_BREAK = re.compile(f" (?=[^{WHITE}])")
+_OTHER_SPACE = re.compile(rf" (?:[{WHITE}]|\Z)")
 
 
 def cut(text: str) -> list[str]:
@@ -31,32 +31,58 @@ def cut(text: str) -> list[str]:
 class Recent:
     """Results by key, bounded: when full, what has not been asked for since the last time goes."""
 
-    def __init__(self):
+    def __init__(self, make: Callable[[list[str]], list[bytes]], kept: int = KEPT):
+        self._make, self._kept = make, kept
         self._now: dict[str, bytes] = {}
         self._before: dict[str, bytes] = {}
 
-    def known(self, keys: set[str], make: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
-        """A table that holds all the keys; it is to be used before the next call."""
-        missing = keys.difference(self._now)
-        if len(self._now) + len(missing) > KEPT:
-            self._before, self._now = self._now, {k: self._now[k] for k in keys if k in self._now}
-        old = {k: self._before[k] for k in missing if k in self._before}
-        new = [k for k in missing if k not in old]
-        self._now.update(old)
-        made = dict(zip(new, make(new), strict=True)) if new else {}
-        if any(len(k) > KEPT_KEY for k in new):
-            self._now.update((k, v) for k, v in made.items() if len(k) <= KEPT_KEY)
-            return self._now | made
-        self._now.update(made)
-        return self._now
+    def get(self, key: str) -> bytes | None:
+        v = self._now.get(key)
+        return self._before.get(key) if v is None else v
+
+    def joined(self, rows: list[list[str]]) -> list[bytes]:
+        """The results of each row's keys, one after the other."""
+        if len(self._now) > self._kept:
+            self._before, self._now = self._now, {}
+        get = self._now.get
+        found = [list(map(get, row)) for row in rows]
+        missing = {k for row, f in zip(rows, found) if None in f for k, v in zip(row, f) if v is None}
+        if missing:
+            new: dict[str, bytes] = {}
+            old = self._before
+            wanted = []
+            for k in missing:
+                v = old.get(k)
+                if v is None:
+                    wanted.append(k)
+                else:
+                    new[k] = v
+            new.update(zip(wanted, self._make(wanted), strict=True))
+            for row, f in zip(rows, found):
+                if None in f:
+                    f[:] = [new[k] if v is None else v for k, v in zip(row, f)]
+            self._now.update((k, v) for k, v in new.items() if len(k) <= KEPT_KEY)
+        return [b"".join(f) for f in found]
 
 
 class Stretches:
-    """Encodes lists of texts; `make` encodes a list of stretches, each without regard to the others."""
+    """Encodes lists of texts; `make` encodes a list of stretches, each without regard to the others.
+
+    A mark after letters is a piece of its own, so a word with one is put together from both.
+    """
 
-    def __init__(self, make: Callable[[list[str]], list[bytes]]):
+    def __init__(self, make: Callable[[list[str]], list[bytes]], kept: int = KEPT):
         self._make = make
-        self._heads, self._rest = Recent(), Recent()
+        self._heads = Recent(make, kept // 10)
+        self._rest = Recent(self._after_space, kept)
+        self._marks = dict(zip(_MARKS, make(list(_MARKS)), strict=True))
+
+    def _after_space(self, keys: list[str]) -> list[bytes]:
+        bare = {k: k[:-1] for k in keys if k[-1:] in self._marks and k[:-1].isalpha()}
+        known = {w: self._rest.get(w) for w in bare.values()}
+        todo = list({k for k in keys if k not in bare}.union(w for w, v in known.items() if v is None))
+        known.update(zip(todo, self._make([" " + k for k in todo]), strict=True))
+        return [known[bare[k]] + self._marks[k[-1]] if k in bare else known[k] for k in keys]
 
     def __call__(self, texts: Iterable) -> list[bytes]:
         out: list[bytes] = []
@@ -72,11 +98,7 @@ class Stretches:
         return out + self._encode(held)
 
     def _encode(self, parts: list[list[str]]) -> list[bytes]:
-        firsts = self._heads.known({p[0] for p in parts}, self._make)
-        heads = [firsts[p[0]] for p in parts]
-        keys: set[str] = set()
+        heads = self._heads.joined([p[:1] for p in parts])
         for p in parts:
             del p[0]
-            keys.update(p)
-        rest = self._rest.known(keys, lambda new: self._make([" " + k for k in new]))
-        return [h + b"".join(map(rest.__getitem__, p)) for h, p in zip(heads, parts)]
+        return [h + r for h, r in zip(heads, self._rest.joined(parts))]
