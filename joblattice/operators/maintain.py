@@ -72,9 +72,12 @@ _TAKEN = [
 ]
 
 
-def reconcile(postings: DataFrame, fresh: DataFrame, ok_sources: DataFrame, seen_at: Column) -> DataFrame:
+def reconcile(postings: DataFrame, fresh: DataFrame, ok_sources: DataFrame, seen_at: Column | None = None) -> DataFrame:
     """Postings after the fetches of ``ok_sources`` (source_id), each complete.
 
+    Without ``seen_at`` both ``fresh`` and ``ok_sources`` have a column of that
+    name: each source's own time.
+
     ``fresh`` is ``derived`` output with source_id, one row per id.  Known rows
     take the new values, but keep a description the fetch did not bring and
     the earliest approximate date, and reopen only from closed.  Open or
@@ -84,9 +87,12 @@ def reconcile(postings: DataFrame, fresh: DataFrame, ok_sources: DataFrame, seen
     """
     columns = postings.columns
     given = [c for c in columns if c in fresh.columns and c != "id"]
-    new = fresh.select("id", F.struct(*given).alias("_n"))
-    fetched = ok_sources.select("source_id").distinct().withColumn("_ok", F.lit(True))
-    old = lookup(postings, fetched, "source_id", "id").select("id", "_ok", F.struct(*[c for c in columns if c != "id"]).alias("_o"))
+    own = seen_at is None
+    new = fresh.select("id", F.struct(*given).alias("_n"), (F.col("seen_at") if own else seen_at).alias("_new_at"))
+    fetched = ok_sources.groupBy("source_id").agg(
+        F.lit(True).alias("_ok"), F.max(F.col("seen_at") if own else seen_at).alias("_old_at"))
+    seen_at = F.coalesce("_new_at", "_old_at")
+    old = lookup(postings, fetched, "source_id", "id").select("id", "_ok", "_old_at", F.struct(*[c for c in columns if c != "id"]).alias("_o"))
     both = old.join(new, "id", "full_outer")
 
     def o(c):

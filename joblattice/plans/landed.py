@@ -164,10 +164,11 @@ def fetch_report(spark, sf_dir):
     return payloads.run_report(live(spark, sf_dir))
 
 
-@query("SELECT p.id, s.config AS entry FROM postings p JOIN sources s ON s.company = 't' || p.source_id", ("postings", "sources"))
+@query("SELECT p.id, s.config AS entry FROM postings p LEFT JOIN sources s ON s.id = p.source_id AND s.id % 3 > 0", ("postings", "sources"))
 def responses_with_entries(spark, sf_dir):
-    raw = live(spark, sf_dir).select("id", F.concat(F.lit("t"), "source_id").alias("source_entry"))
-    return payloads.attach_entries(raw, bound(spark, sf_dir, "sources")).select("id", "entry")
+    """Every third source is unknown; its responses stay, without an entry."""
+    raw = live(spark, sf_dir).select("id", "source_id")
+    return payloads.attach_entries(raw, bound(spark, sf_dir, "sources").filter("id % 3 > 0")).select("id", "entry")
 
 
 # --- pages --------------------------------------------------------------------

@@ -90,32 +90,37 @@ def lifecycle_stream(spark, sf_dir):
     return states.join(states.agg(F.max("batch").alias("batch")), "batch").select("id", "status")
 
 
-def _crawl(spark, sf_dir, later: bool):
-    """Each order a board of three jobs.  Later, the first job is gone, the rest retitled, and every seventh board broken."""
+def _crawl(spark, sf_dir, later: bool, page: int):
+    """Each order a board of three jobs on two pages, read three seconds apart; two boards share each label.
+
+    Later, the first job is gone, the rest retitled, and every seventh board's second page broken.
+    """
     d = Dialect()
     job = "named_struct('id', o_orderkey * 3 + {i}, 'title', {t}, 'location', named_struct('name', 'Reno'), 'absolute_url', 'u', 'updated_at', '{u}', 'content', 'text')"
     picks = [d.pick(TITLES, f"(o_orderkey + {i}) % {len(TITLES)}") for i in range(3)]
     jobs = [job.format(i=i, t=f"{t} || ' {i}'" + (" || ' Again'" if later else ""), u="2001-08-01" if later else "2001-07-01") for i, t in enumerate(picks)]
-    body = f"to_json(named_struct('jobs', array({', '.join(jobs[1:] if later else jobs)})))"
-    if later:
+    mine = jobs[2:] if page == 2 else jobs[1:2] if later else jobs[:2]
+    body = f"to_json(named_struct('jobs', array({', '.join(mine)})))"
+    if later and page == 2:
         body = f"CASE WHEN o_orderkey % 7 = 0 THEN '{{}}' ELSE {body} END"
-    at = "2001-08-02" if later else "2001-07-02"
+    at = {(False, 1): "2001-07-01 23:59:57", (False, 2): "2001-07-02", (True, 1): "2001-08-01 23:59:57", (True, 2): "2001-08-02"}[later, page]
     return given(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey AS source_id", "'board ' || o_orderkey AS source_entry", "'greenhouse' AS provider",
+        "o_orderkey AS source_id", f"'crawl {int(later)}' AS crawl_id", "2 AS crawl_pages", "'board ' || o_orderkey DIV 2 AS source_entry", "'greenhouse' AS provider",
         "to_json(named_struct('company', 'Board ' || o_orderkey, 'token', 't' || o_orderkey, 'category', 'Retail')) AS entry",
-        "CAST(NULL AS STRING) AS query_category", "1 AS page", f"TIMESTAMP '{at}' AS fetched_at", f"{body} AS payload")
+        "CAST(NULL AS STRING) AS query_category", "CAST(NULL AS INT) AS category_pos", f"{page} AS page", f"TIMESTAMP '{at}' AS fetched_at", f"{body} AS payload")
 
 
 _C = CheckDialect()
 _JOBS = f"""jobs AS (SELECT o_orderkey AS o, i, {_C.pick(TITLES, f"(o_orderkey + i) % {len(TITLES)}")} || ' ' || i AS title FROM (SELECT *, unnest([0, 1, 2]) AS i FROM orders)), rel AS (SELECT * FROM jobs WHERE {k.has('lower(title)', vocab.INTERN_WORDS)})"""
 
 
-def _ingested(spark, sf_dir):
-    """Two crawls landed one after the other and taken in by the stream."""
+def _ingested(spark, sf_dir, files_per_batch: int = 1):
+    """Two crawls, each page landed as a file of its own and taken in by the stream, by default in a batch of its own."""
     out = _folder(spark, "ingest")
-    for n, later in enumerate((False, True)):
-        _crawl(spark, sf_dir, later).write.mode("append").parquet(f"{out}/landing")
-        ingest.ingest_stream(spark, f"{out}/landing", f"{out}/live", f"{out}/log", availableNow=True).awaitTermination()
+    for later in (False, True):
+        for page in (1, 2):
+            _crawl(spark, sf_dir, later, page).coalesce(1).write.mode("append").parquet(f"{out}/landing")
+        ingest.ingest_stream(spark, f"{out}/landing", f"{out}/live", f"{out}/log", files_per_batch=files_per_batch, availableNow=True).awaitTermination()
     return f"{out}/live"
 
 

@@ -53,10 +53,12 @@ def _parsed(raw: DataFrame, spec: Provider) -> DataFrame:
     return raw.withColumn("_items", spec.items(doc))
 
 
-def normalize(raw: DataFrame, name: str) -> DataFrame:
+def normalize(raw: DataFrame, name: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Posting rows; ``keep`` names columns of the responses that go along, such as the source's id."""
     spec = PROVIDERS[name]
+    order = [c for c in ("category_pos", "query_category", "page") if c in raw.columns]
     jobs = _parsed(raw, spec).withColumn("_entry", F.from_json("entry", "map<string, string>")).select(
-        "source_entry", "_entry", *[c for c in ("query_category", "page") if c in raw.columns],
+        "source_entry", "_entry", *dict.fromkeys([*order, *keep]),
         F.posexplode("_items").alias("_pos", "_job"),
     )
     job = F.col("_job")
@@ -67,13 +69,12 @@ def normalize(raw: DataFrame, name: str) -> DataFrame:
     made = spec.row(job, entry)
     blanks = {c: F.lit("") for c in ("category", "job_function", "work_arrangement", "description_snippet")}
     made = {**blanks, "description": F.lit(None).cast("string"), "source": F.lit(name), **made}
-    extra = [c for c in ("query_category", "page", "_pos") if c in jobs.columns]
     rows = jobs.filter(spec.keep(job)).select(
-        *[made[c].alias(c) if c != "source_entry" else F.col(c) for c in POSTING_COLUMNS], *extra,
+        *[made[c].alias(c) if c != "source_entry" else F.col(c) for c in POSTING_COLUMNS], *dict.fromkeys([*order, "_pos", *keep]),
     )
     if name == "muse":
-        rows = _last_by_id(rows, extra)
-    return rows.select(*POSTING_COLUMNS)
+        rows = _last_by_id(rows, [*order, "_pos"], keep)
+    return rows.select(*POSTING_COLUMNS, *keep)
 
 
 def unreadable(raw: DataFrame, name: str) -> DataFrame:
@@ -81,10 +82,10 @@ def unreadable(raw: DataFrame, name: str) -> DataFrame:
     return _parsed(raw, PROVIDERS[name]).filter(F.col("_items").isNull()).drop("_items")
 
 
-def _last_by_id(rows: DataFrame, order: list[str]) -> DataFrame:
-    """One job listed under several categories is kept once, as seen last."""
+def _last_by_id(rows: DataFrame, order: list[str], keep: tuple[str, ...]) -> DataFrame:
+    """One job listed under several categories is kept once per fetch, as in the last category that the source lists."""
     best = F.max_by(F.struct(*POSTING_COLUMNS), F.struct(*order)).alias("_row")
-    return rows.groupBy("id").agg(best).select("_row.*")
+    return rows.groupBy("id", *keep).agg(best).select("_row.*", *keep)
 
 
 def _brief(c) -> Column:
@@ -312,31 +313,62 @@ def _rippling(job, entry):
     }
 
 
-def workday_wanted_pages(raw: DataFrame, page_size: int = 20, max_pages: int = 100) -> DataFrame:
+def workday_wanted_pages(raw: DataFrame, page_size: int = 20, max_pages: int | None = None, by: tuple[str, ...] = ("source_entry",)) -> DataFrame:
     """The pages a crawl would have read.
 
     The total is only right on page 1 (later pages report 0); reading stops at
-    the total, at an empty page, or at the entry's page limit.
+    the total, at an empty page, or at the entry's page limit (``max_pages`` if
+    it states none; None: no limit).  ``by`` tells crawls apart.
     """
     doc = F.from_json("payload", PROVIDERS["workday"].body)
     sized = raw.withColumn("_n", F.size(doc["jobPostings"])).withColumn("_total", doc["total"])
-    bounds = sized.groupBy("source_entry").agg(
+    bounds = sized.groupBy(*by).agg(
         F.max(F.when(F.col("page") == 1, F.coalesce("_total", "_n"))).alias("_all"),
         F.min(F.when(F.col("_n") == 0, F.col("page"))).alias("_empty"),
     )
-    limit = F.coalesce(F.get_json_object("entry", "$.max_pages").cast("int"), F.lit(max_pages))
+    limit = F.coalesce(F.get_json_object("entry", "$.max_pages").cast("int"), F.lit(max_pages).cast("int"))
     return (
-        sized.join(bounds, "source_entry")
+        sized.join(bounds, list(by))
         .filter((F.col("page") == 1) | ((F.col("page") - 1) * page_size < F.col("_all")))
-        .filter(F.col("page") <= F.least(limit, F.coalesce("_empty", limit)))
+        .filter(F.col("page") <= F.coalesce(F.least(limit, "_empty"), "page"))
         .select(*raw.columns)
     )
 
 
+#: How many jobs a page holds, for providers that state a total of jobs.
+PAGE_SIZES = {"workday": 20, "smartrecruiters": 100}
+
+
+def pages_wanted(raw: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Per crawl (``by``): `complete`, whether all its pages are in ``raw``.
+
+    Workday tells its total of jobs on page 1, SmartRecruiters on each page, The
+    Muse its pages per category; reading ends early at an empty page or at the
+    entry's limit.  Other bodies are whole.  `crawl_pages`, where a fetcher
+    states how many responses a crawl has, must be reached as well.
+    """
+    def number(path: str) -> Column:
+        return F.get_json_object("payload", path).cast("int")
+
+    name = F.col("provider")
+    jobs = F.when(name == "workday", F.when(F.col("page") == 1, number("$.total"))).when(name == "smartrecruiters", number("$.totalFound"))
+    size = F.when(name == "workday", PAGE_SIZES["workday"]).otherwise(PAGE_SIZES["smartrecruiters"])
+    stated = F.when(name == "muse", number("$.page_count")).when(
+        name.isin(list(PAGE_SIZES)), F.greatest(F.lit(1), F.ceil(jobs / size))).otherwise(F.lit(1))
+    first = F.when(name == "workday", F.get_json_object("payload", "$.jobPostings[0]")).when(
+        name == "smartrecruiters", F.get_json_object("payload", "$.content[0]")).otherwise(F.lit(""))
+    each = raw.groupBy(*by, "query_category").agg(
+        F.max(stated).alias("stated"), F.min(F.when(first.isNull(), F.col("page"))).alias("empty"),
+        F.max(F.get_json_object("entry", "$.max_pages").cast("int")).alias("limit"),
+        F.count_distinct("page").alias("have"), F.max("crawl_pages").alias("responses"))
+    enough = F.coalesce(F.col("have") >= F.least("stated", "empty", "limit"), F.lit(False)) & F.col("stated").isNotNull()
+    return each.groupBy(*by).agg(
+        (F.min(enough) & (F.sum("have") >= F.coalesce(F.max("responses"), F.lit(0)))).alias("complete"))
+
+
 def attach_entries(raw: DataFrame, sources: DataFrame) -> DataFrame:
-    """Adds each response's source configuration."""
-    entries = sources.select(F.col("company").alias("source_entry"), F.col("config").alias("entry"))
-    return raw.join(entries, "source_entry")
+    """Adds each response's source configuration by the source's id; NULL for responses without a known source."""
+    return raw.join(sources.select(F.col("id").alias("source_id"), F.col("config").alias("entry")), "source_id", "left")
 
 
 def run_report(fetched: DataFrame) -> DataFrame:
