@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joblattice.functions.text import text_of
 from joblattice.operators.facets import latest_run
 from joblattice.operators.filters import substring_search
-from joblattice.operators.ranking import feed_order, first_per, top_n_per
+from joblattice.operators.ranking import feed_order, first_per, page, shown_per, top_n_per, total_order
 from joblattice.operators.skew import lookup
 
 RUN_COLUMNS = ["ok", "error", "started_at", "fetched_count", "internship_count"]
@@ -21,11 +21,16 @@ def with_source(postings: DataFrame, sources: DataFrame, ats: str | None = None)
     return rows.join(s, "source_id")
 
 
-def duplicates_audit(postings: DataFrame, q: str | None = None) -> DataFrame:
-    """Each duplicate beside the posting it repeats; order by first_seen down, id."""
+def duplicates_audit(postings: DataFrame, q: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Each duplicate beside the posting it repeats; order by first_seen down, id.
+
+    With a limit the page is cut first, so only its rows are joined.
+    """
     d = substring_search(postings.filter("status = 'duplicate'"), q or "", ("company", "title")).select(
         "id", "company", "title", "location", F.col("ats").alias("source"), "first_seen", "duplicate_of",
     )
+    if limit is not None:
+        d = page(d, total_order(d, [F.desc("first_seen")], "id"), limit, offset)
     c = postings.select(
         F.col("id").alias("canonical_id"), F.col("company").alias("canonical_company"),
         F.col("title").alias("canonical_title"), F.col("ats").alias("canonical_source"),
@@ -83,26 +88,27 @@ def reached_via(postings: DataFrame, sources: DataFrame, runs: DataFrame) -> Dat
     return one.join(s, "source_id", "left").join(r, "source_id", "left")
 
 
-def company_page(postings: DataFrame) -> DataFrame:
-    """Postings by company, open before others, newest first."""
-    return postings.filter(F.col("company_key").isNotNull())
+def company_order() -> list[Column]:
+    """Open before others, newest first."""
+    return [F.desc(F.col("status") == "open"), *feed_order()]
+
+
+def company_page(postings: DataFrame, n: int = 200) -> DataFrame:
+    """Each company's first n postings, open before others, newest first, and whether there were more."""
+    return shown_per(postings.filter(F.col("company_key").isNotNull()), "company_key", company_order(), n)
 
 
 def source_page(postings: DataFrame, n: int = 200) -> DataFrame:
     """Each source's newest open postings, and whether there were more."""
     rows = postings.filter((F.col("status") == "open") & F.col("source_id").isNotNull())
-    shown = top_n_per(
-        rows.select("source_id", "id", "title", "company", "company_key", "location", "posted_at_ts", "first_seen"),
-        "source_id", feed_order(), n,
-    )
-    counts = rows.groupBy("source_id").agg((F.count("*") >= n).alias("truncated"))
-    return shown.join(counts, "source_id")
+    cols = ["source_id", "id", "title", "company", "company_key", "location", "posted_at_ts", "first_seen"]
+    return shown_per(rows.select(*cols), "source_id", feed_order(), n)
 
 
-def ats_page(sources: DataFrame, n: int = 600) -> DataFrame:
-    """Each platform's sources by company."""
+def ats_page(sources: DataFrame, n: int | None = None) -> DataFrame:
+    """Each platform's sources by company: all, or the first n and whether there were more."""
     cols = ["ats", "id", "company", "category", "status", "consecutive_failures"]
-    return top_n_per(sources.select(*cols), "ats", [F.asc("company"), F.asc("id")], n)
+    return shown_per(sources.select(*cols), "ats", [F.asc("company"), F.asc("id")], n)
 
 
 def sample_posting(sources: DataFrame, postings: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from joblattice import vocab
 from joblattice.functions.text import blank_to_null, is_internship, slug, text_of
-from joblattice.operators.ranking import first_per, top_n_per
+from joblattice.operators.ranking import first_per, shown_per, top_n_per
 
 OPEN = "open"
 
@@ -121,11 +121,11 @@ def source_stats(postings: DataFrame) -> DataFrame:
     ).withColumn("is_aggregator", F.col("companies") > 1)
 
 
-def source_employers(postings: DataFrame, n: int = 200) -> DataFrame:
-    """The employers of each source with most open postings."""
+def source_employers(postings: DataFrame, n: int | None = None) -> DataFrame:
+    """The employers of each source by open postings: all, or the first n and whether there were more."""
     counts = postings.filter(_is_open() & F.col("company_key").isNotNull() & F.col("source_id").isNotNull()).groupBy(
         "source_id", "company_key", "company").agg(F.count("*").alias("n"))
-    return top_n_per(counts, "source_id", [F.desc("n"), F.asc("company_key"), F.asc("company")], n)
+    return shown_per(counts, "source_id", [F.desc("n"), F.asc("company_key"), F.asc("company")], n)
 
 
 def platform_stats(postings: DataFrame, sources: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def name_similarity(pairs: DataFrame, key: str = "candidate", native: bool = Fal
     return distinct.withColumn("r", ratio).groupBy(key).agg(F.max("r").alias("name_similarity"))
 
 
-def verify_gate(candidates: DataFrame, fetched: DataFrame, native: bool = False, distinct_titles: int = 3,
+def verify_gate(candidates: DataFrame, fetched: DataFrame, native: bool = False, distinct_titles: int = 2,
                 threshold: float = vocab.NAME_MATCH_THRESHOLD, samples: int = 5) -> DataFrame:
     """Whether a candidate's trial fetch is worth trusting, and the first reason why not.
 

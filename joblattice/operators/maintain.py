@@ -32,6 +32,12 @@ def _swap(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     return wide.select(*cols, differs.alias("changed"))
 
 
+def _one_per(outcomes: DataFrame, key: str, latest: tuple[str, ...] = ()) -> DataFrame:
+    """One outcome per key, so that joining it never multiplies rows: the latest, or else the greatest."""
+    rest = [c for c in outcomes.columns if c != key and c not in latest]
+    return outcomes.groupBy(key).agg(F.max(F.struct(*latest, *rest)).alias("_r")).select(key, "_r.*")
+
+
 # --- postings ---------------------------------------------------------------
 
 
@@ -191,9 +197,11 @@ def apply_liveness(postings: DataFrame, outcomes: DataFrame, as_of: Column, stal
 
     ``liveness`` tells the outcome: closed, alive, deferred, NULL if unchecked.
     """
-    met = postings.join(outcomes.select("id", "status_code", "body", F.lit(True).alias("_checked")), "id", "left")
+    one = _one_per(outcomes.select("id", "status_code", "body"), "id").withColumn("_checked", F.lit(True))
+    met = postings.join(one, "id", "left")
     code = F.col("status_code")
-    workday = (F.col("ats") == "workday") | F.col("id").startswith("workday:")
+    # an id that tells no address is checked at the posting's own page
+    workday = ((F.col("ats") == "workday") | F.col("id").startswith("workday:")) & identity.workday_liveness_url("id", "url").isNotNull()
     gone = code.isin(vocab.GONE_STATUSES) | (workday & code.isin(vocab.GONE_STATUSES_WORKDAY)) | (
         (code == 200) & ~workday & is_gone_page("body"))
     outcome = F.when(
@@ -219,7 +227,8 @@ def apply_liveness(postings: DataFrame, outcomes: DataFrame, as_of: Column, stal
 
 def expired_log(swept: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFrame:
     """Activity rows for postings a liveness sweep closed."""
-    rows = swept.filter((F.col("liveness") == "closed") & F.col("changed")).join(outcomes.select("id", "status_code"), "id")
+    rows = swept.filter((F.col("liveness") == "closed") & F.col("changed")).join(
+        _one_per(outcomes.select("id", "status_code", "body"), "id").drop("body"), "id")
     code = F.when(F.col("status_code").isin(vocab.GONE_STATUSES), F.col("status_code")).otherwise(404)
     detail = F.concat(F.lit("HTTP "), code.cast("string"), F.lit(" on the posting's own URL -- no longer applicable"))
     return rows.select(F.lit("expired").alias("kind"), "company", detail.alias("detail"), as_of.alias("created_at"))
@@ -231,7 +240,8 @@ def apply_descriptions(postings: DataFrame, outcomes: DataFrame, as_of: Column)
     No url, or an answer that will not change, stores ''; a 200 with readable
     text stores it (NULL text is a broken body); anything else waits longer.
     """
-    met = postings.join(outcomes.select("id", F.col("url").alias("_url"), "status_code", "text", F.lit(True).alias("_asked")), "id", "left")
+    one = _one_per(outcomes.select("id", F.col("url").alias("_url"), "status_code", "text"), "id").withColumn("_asked", F.lit(True))
+    met = postings.join(one, "id", "left")
     code = F.col("status_code")
     final = F.col("_url").isNull() | F.coalesce(code.isin(vocab.NO_DESCRIPTION_STATUSES), F.lit(False))
     got = ~final & F.coalesce(code == 200, F.lit(False)) & F.col("text").isNotNull()
@@ -260,7 +270,7 @@ def move_axis(postings: DataFrame, platform: str = "muse") -> DataFrame:
 
 def advance(sources: DataFrame, claimed: DataFrame, as_of: Column) -> DataFrame:
     """Claimed sources come due again after their own interval."""
-    met = sources.join(claimed.select("id", F.lit(True).alias("_claimed")), "id", "left")
+    met = sources.join(claimed.select("id").distinct().withColumn("_claimed", F.lit(True)), "id", "left")
     later = F.timestamp_add("SECOND", F.col("scrape_interval_seconds"), as_of)
     return _swap(met, {
         "next_scrape_at": F.when(F.col("_claimed"), later).otherwise(F.col("next_scrape_at")),
@@ -289,7 +299,7 @@ def apply_runs(sources: DataFrame, outcomes: DataFrame, threshold: int = vocab.D
     ``probation_rejects``.
     """
     o = outcomes.select(F.col("source_id").alias("id"), "ok", F.col("error").alias("_error"), "finished_at")
-    met = sources.join(o, "id", "left")
+    met = sources.join(_one_per(o, "id", ("finished_at",)), "id", "left")
     ran, ok, probation = F.col("ok").isNotNull(), F.col("ok"), F.col("status") == "probation"
     failed, failures = ran & ~ok, F.col("consecutive_failures") + 1
     event = (
@@ -327,7 +337,7 @@ def disabled_log(applied: DataFrame, as_of: Column) -> DataFrame:
 
 def reinstate(sources: DataFrame, verdicts: DataFrame, as_of: Column) -> DataFrame:
     """Disabled sources whose trial passed go back to probation, due now."""
-    v = verdicts.select("id", F.col("passed").alias("_passed"))
+    v = _one_per(verdicts.select("id", F.col("passed").alias("_passed")), "id")
     met = sources.join(v, "id", "left").withColumn(
         "_back", F.coalesce(F.col("_passed") & (F.col("status") == "disabled"), F.lit(False)))
     return _swap(met, {
@@ -370,7 +380,7 @@ def apply_categories(sources: DataFrame, results: DataFrame) -> DataFrame:
     ``outcome`` per source: updated, collision, NULL if no result names it.
     Results naming no source are ``unmatched_results``.
     """
-    r = results.select("token", F.col("category").alias("_category"), blank_to_null("company_name").alias("_name"))
+    r = _one_per(results.select("token", F.col("category").alias("_category"), blank_to_null("company_name").alias("_name")), "token")
     met = sources.join(r, (sources["company"] == r["token"]) & (sources["added_by"] == "discovery"), "left")
     named = met.withColumn("new_company", F.coalesce("_name", "token"))
     renames = named.filter(F.col("token").isNotNull() & (F.col("new_company") != F.col("company"))).select("id", "ats", "new_company")
@@ -392,7 +402,7 @@ def unmatched_results(sources: DataFrame, results: DataFrame) -> DataFrame:
 
 def apply_names(sources: DataFrame, proposals: DataFrame) -> DataFrame:
     """Resolved names (id, name) applied where they differ in more than case and hold no other source's name."""
-    met = sources.join(proposals.select("id", F.col("name").alias("new_company")), "id", "left")
+    met = sources.join(_one_per(proposals.select("id", F.col("name").alias("new_company")), "id"), "id", "left")
     real = (text_of("new_company") != "") & (F.lower("new_company") != F.lower("company"))
     met = met.withColumn("new_company", F.when(real, F.col("new_company")))
     renames = met.filter(F.col("new_company").isNotNull()).select("id", "ats", "new_company")
@@ -420,11 +430,19 @@ def name_proposals(sources: DataFrame, postings: DataFrame, details: DataFrame,
 # --- candidates -------------------------------------------------------------
 
 
-def seed_candidates(candidates: DataFrame, names: DataFrame) -> DataFrame:
-    """Candidates with new names added once; pre-resolved names bring ats and config."""
+def seed_candidates(candidates: DataFrame, names: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
+    """Candidates with new names added once; pre-resolved names bring ats and config, both of one row.
+
+    If the seeds gave no names at all, those of ``fallback`` are taken.
+    """
+    if fallback is not None and names.isEmpty():
+        names = fallback
     cols = [c for c in ("company", "ats", "config") if c in names.columns]
-    one = names.select(*cols).filter(text_of("company") != "").groupBy("company").agg(
-        *[F.min(c).alias(c) for c in cols if c != "company"])
+    rest = [c for c in cols if c != "company"]
+    one = names.select(*cols).filter(text_of("company") != "")
+    # rows that bring something before those that do not, then the smallest
+    order = F.struct(*[x for c in rest for x in (F.col(c).isNull(), F.col(c))])
+    one = one.groupBy("company").agg(F.min_by(F.struct(*rest), order).alias("_r")).select("company", "_r.*") if rest else one.distinct()
     new = one.join(candidates.select("company"), "company", "left_anti").withColumn("review_status", F.lit("unchecked"))
     if "probe_set_version" in candidates.columns:
         new = new.withColumn("probe_set_version", F.lit(0).cast(candidates.schema["probe_set_version"].dataType))
@@ -439,7 +457,7 @@ def apply_verdicts(candidates: DataFrame, verdicts: DataFrame, as_of: Column, ve
     """
     v = verdicts.select("id", "hit", "passed", "code", F.col("ats").alias("_ats"), F.col("config").alias("_config"),
                         F.col("evidence").alias("_evidence"))
-    met = candidates.join(v, "id", "left")
+    met = candidates.join(_one_per(v, "id"), "id", "left")
     outcome = F.when(F.col("hit").isNotNull(), F.when(~F.col("hit"), "no_match").when(F.col("passed"), "promoted").otherwise("rejected"))
     met = met.withColumn("outcome", outcome)
     judged, probed = F.col("outcome").isNotNull(), F.col("outcome").isin("promoted", "rejected")

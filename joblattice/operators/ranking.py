@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from joblattice.operators.filters import ready
 
-FEED_CAP = 20000
 PAGE_MAX = 5000
 
 
@@ -56,11 +55,12 @@ def page_after(df: DataFrame, last: dict, limit: int = 200) -> DataFrame:
     return df.filter(later).orderBy(*feed_order()).limit(limit)
 
 
-def capped(df: DataFrame, cap: int = FEED_CAP) -> tuple[DataFrame, DataFrame]:
-    """The feed's source rows, and one row saying whether the cap cut any off."""
-    rows = df.orderBy(*feed_order()).limit(cap)
-    flag = df.limit(cap).agg((F.count("*") >= cap).alias("truncated"))
-    return rows, flag
+def capped(df: DataFrame, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The feed's source rows, and one row saying whether a cap cut any off; without one, all rows."""
+    rows = df.orderBy(*feed_order())
+    if cap is None:
+        return rows, df.sparkSession.createDataFrame([(False,)], "truncated boolean")
+    return rows.limit(cap), df.limit(cap + 1).agg((F.count("*") > cap).alias("truncated"))
 
 
 def top_n_per(df: DataFrame, key, order: list[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -74,6 +74,15 @@ def top_n_per(df: DataFrame, key, order: list[Column], n: int, rank: str = "rank
     return numbered.filter(F.col(rank) <= n)
 
 
+def shown_per(df: DataFrame, key: str, order: list[Column], n: int | None) -> DataFrame:
+    """Rows of each group with their rank, and `truncated`: whether n left any out.  All rows if n is None."""
+    if n is None:
+        whole = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+        return df.withColumns({"rank": whole, "truncated": F.lit(False)})
+    sizes = df.groupBy(key).agg((F.count("*") > n).alias("truncated"))
+    return top_n_per(df, key, order, n).join(sizes, key)
+
+
 def first_per(df: DataFrame, key, order) -> DataFrame:
     """One row per key: the least by ``order`` (columns), found by plain aggregation."""
     keys = [key] if isinstance(key, str) else list(key)

@@ -228,15 +228,6 @@ TABLES = {
 }
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the files hold fewer row groups than that.
-
-    A table of many files is left as it is: no shuffle is added at scale.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
-
-
 def prepare(spark: SparkSession) -> None:
     """Times are read as UTC, and hot join keys may be split."""
     for name, value in {"spark.sql.session.timeZone": "UTC", **ADAPTIVE}.items():
@@ -246,7 +237,7 @@ def prepare(spark: SparkSession) -> None:
 def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table as given."""
     prepare(spark)
-    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 _STORED: dict[tuple, str] = {}
@@ -269,7 +260,7 @@ def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         _STORED[stored] = path
     else:
         prepare(spark)
-    return spread(spark.read.parquet(_STORED[stored]))
+    return spark.read.parquet(_STORED[stored])
 
 
 def check_cte(name: str) -> str:

@@ -142,7 +142,7 @@ def feed_page_after_key(spark, sf_dir):
     return ranking.page_after(rows, last.asDict(), 100).select("id")
 
 
-@query(f"SELECT id, count(*) OVER () >= 20000 AS truncated FROM (SELECT id FROM postings WHERE status = 'open' ORDER BY {FEED_ORDER} LIMIT 20000)", ("postings",))
+@query("SELECT id, false AS truncated FROM postings WHERE status = 'open'", ("postings",))
 def feed_source_rows(spark, sf_dir):
     rows, flag = ranking.capped(live(spark, sf_dir).filter("status = 'open'").select("id", "posted_at_ts", "first_seen"))
     return rows.select("id", flag.scalar().alias("truncated"))
@@ -159,9 +159,7 @@ row_number() OVER (ORDER BY d.first_seen DESC, d.id) AS position
 FROM swept d LEFT JOIN swept c ON c.id = d.duplicate_of WHERE d.status = 'duplicate' AND (contains(lower(d.company), 'a') OR contains(lower(d.title), 'a'))
 ORDER BY position LIMIT 500""", ("postings",))
 def duplicates_page(spark, sf_dir):
-    rows = entities.duplicates_audit(swept(spark, sf_dir), "a")
-    order = ranking.total_order(rows, [F.desc("first_seen")], "id")
-    return ranking.page(rows, order, 500).select("id", "title", "source", "canonical_id", "canonical_company", "canonical_source", "position")
+    return entities.duplicates_audit(swept(spark, sf_dir), "a", 500).select("id", "title", "source", "canonical_id", "canonical_company", "canonical_source", "position")
 
 
 @query("""SELECT id, company, ats, review_status, json_extract_string(evidence, '$.reason') AS reason,
@@ -191,9 +189,9 @@ def activity_page(spark, sf_dir):
     return ranking.page(log, [F.desc("ts"), F.desc("event_id")], 50).select("event_id", "position")
 
 
-@query("SELECT id, row_number() OVER (PARTITION BY ats ORDER BY company, id) AS rank FROM sources QUALIFY rank <= 600", ("sources",))
+@query("SELECT id, row_number() OVER (PARTITION BY ats ORDER BY company, id) AS rank, count(*) OVER (PARTITION BY ats) > 250 AS truncated FROM sources QUALIFY rank <= 250", ("sources",))
 def platform_sources(spark, sf_dir):
-    return entities.ats_page(bound(spark, sf_dir, "sources")).select("id", "rank")
+    return entities.ats_page(bound(spark, sf_dir, "sources"), 250).select("id", "rank", "truncated")
 
 
 # --- work queues ---------------------------------------------------------------
@@ -332,15 +330,16 @@ def seeds_not_yet_sources(spark, sf_dir):
     return entities.not_yet_sources(seeds, s)
 
 
-@query(f"""WITH {KEYED} SELECT source_id, id, rank, n >= 5 AS truncated FROM (SELECT source_id, id, count(*) OVER (PARTITION BY source_id) AS n,
+@query(f"""WITH {KEYED} SELECT source_id, id, rank, n > 5 AS truncated FROM (SELECT source_id, id, count(*) OVER (PARTITION BY source_id) AS n,
 row_number() OVER (PARTITION BY source_id ORDER BY {FEED_ORDER}) AS rank FROM keyed WHERE status = 'open') WHERE rank <= 5""", ("postings",))
 def source_pages(spark, sf_dir):
     return entities.source_page(keyed(spark, sf_dir), 5).select("source_id", "id", "rank", "truncated")
 
 
-@query(f"""WITH {KEYED} SELECT company_key, id, status FROM keyed WHERE company_key IS NOT NULL""", ("postings",))
+@query(f"""WITH {KEYED} SELECT company_key, id, status, rank, n > 20 AS truncated FROM (SELECT company_key, id, status, count(*) OVER (PARTITION BY company_key) AS n,
+row_number() OVER (PARTITION BY company_key ORDER BY status = 'open' DESC, {FEED_ORDER}) AS rank FROM keyed WHERE company_key IS NOT NULL) WHERE rank <= 20""", ("postings",))
 def company_pages(spark, sf_dir):
-    return entities.company_page(keyed(spark, sf_dir)).select("company_key", "id", "status")
+    return entities.company_page(keyed(spark, sf_dir), 20).select("company_key", "id", "status", "rank", "truncated")
 
 
 # --- facets and summaries -----------------------------------------------------------
@@ -381,9 +380,9 @@ def source_statistics(spark, sf_dir):
 
 
 @query(f"""WITH {KEYED} SELECT source_id, company_key, company, count(*) AS n, row_number() OVER (PARTITION BY source_id ORDER BY count(*) DESC, company_key, company) AS rank
-FROM keyed WHERE status = 'open' AND company_key IS NOT NULL GROUP BY source_id, company_key, company QUALIFY rank <= 200""", ("postings",))
+FROM keyed WHERE status = 'open' AND company_key IS NOT NULL GROUP BY source_id, company_key, company""", ("postings",))
 def source_employers(spark, sf_dir):
-    return facets.source_employers(keyed(spark, sf_dir))
+    return facets.source_employers(keyed(spark, sf_dir)).drop("truncated")
 
 
 @query(f"""WITH {KEYED}, s AS (SELECT ats, count(*) AS sources, count(*) FILTER (status = 'active') AS active FROM sources GROUP BY ats),
@@ -469,7 +468,7 @@ b AS (SELECT candidate, a, regexp_replace(lower(company), '[^a-z0-9]', '', 'g')
 s AS (SELECT candidate, max(1 - levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE)) AS sim FROM b GROUP BY candidate)
 SELECT candidate, coalesce(total, 0) AS total, coalesce(intern_count, 0) AS intern_count, coalesce(distinct_titles, 0) AS distinct_titles, sample_titles,
 round(coalesce(sim, 0), 2) AS name_similarity, CASE WHEN total IS NULL THEN 'zero_postings' WHEN intern_count < 1 THEN 'no_internship_titles'
-WHEN total >= 3 AND distinct_titles < 3 THEN 'not_distinct' WHEN coalesce(sim, 0) < 0.5 THEN 'name_mismatch' ELSE 'ok' END AS code
+WHEN total >= 2 AND distinct_titles < 2 THEN 'not_distinct' WHEN coalesce(sim, 0) < 0.5 THEN 'name_mismatch' ELSE 'ok' END AS code
 FROM c LEFT JOIN m USING (candidate) LEFT JOIN t USING (candidate) LEFT JOIN s USING (candidate)""", ("postings",))
 def verification_gate(spark, sf_dir):
     c = given(spark, sf_dir, "customer").selectExpr(*[f"{v} AS {n}" for n, v in _GATE_NAMES.items()])

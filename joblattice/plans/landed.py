@@ -211,20 +211,23 @@ def _sitemaps(spark, sf_dir):
         struct(home || 'sitemap' AS url, '<loc>' || home || '1.XML?v=2</loc><loc>' || home || '0.XML?v=2</loc>' AS body),
         struct(home || '1.XML?v=2' AS url, {body(4, 6)} AS body), struct(home || '0.XML?v=2' AS url, {body(1, 3)} AS body))
         ELSE array(struct(home || 'sitemap' AS url, {body(1, 6)} AS body)) END)""")
-    roots = sites.selectExpr("'entry ' || n AS source_entry", "home || 'sitemap' AS sitemap_url", "'/job/' AS url_pattern")
+    roots = sites.selectExpr("'entry ' || n AS source_entry", "home || 'sitemap' AS sitemap_url", "'/job/' AS url_pattern",
+                             "CASE WHEN n % 4 > 0 THEN n % 4 + 2 END AS max_pages")
     return files.selectExpr("'entry ' || n AS source_entry", "url", "body"), roots
 
 
 @query("""SELECT 'entry ' || o_orderkey AS source_entry, 'https://s' || o_orderkey || '.example/job/' || i AS url,
 row_number() OVER (PARTITION BY o_orderkey ORDER BY CASE WHEN o_orderkey % 3 = 0 AND i >= 4 THEN 0 ELSE 1 END, i) AS rank
-FROM (SELECT o_orderkey, unnest([1, 2, 3, 5, 6]) AS i FROM orders) QUALIFY rank <= 3""")
+FROM (SELECT o_orderkey, unnest([1, 2, 3, 5, 6]) AS i FROM orders) QUALIFY o_orderkey % 4 = 0 OR rank <= o_orderkey % 4 + 2""")
 def sitemap_urls(spark, sf_dir):
-    return pages.extract_sitemap_urls(*_sitemaps(spark, sf_dir), max_pages=3)
+    """Limits of three, four and five addresses, and none, as each source's row states."""
+    return pages.extract_sitemap_urls(*_sitemaps(spark, sf_dir))
 
 
 @query("SELECT 'entry ' || o_orderkey AS source_entry FROM orders WHERE o_orderkey % 10 NOT IN (1, 2, 3, 5, 6)")
 def sources_without_urls(spark, sf_dir):
     files, roots = _sitemaps(spark, sf_dir)
+    roots = roots.drop("max_pages")
     found = pages.extract_sitemap_urls(files, roots)
     same = F.regexp_extract("url", r"(\d)$", 1) == F.regexp_extract("source_entry", r"(\d)$", 1)
     return pages.sources_without_urls(roots, found.filter(same)).select("source_entry")

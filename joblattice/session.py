@@ -20,6 +20,8 @@ def local_session(cores: str = "*", app: str = "joblattice") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("JOBLATTICE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.showConsoleProgress", "false")
+        # small files are read by all cores
+        .config("spark.sql.files.maxPartitionBytes", "4m")
     )
     for name, value in ADAPTIVE.items():
         builder = builder.config(name, value)

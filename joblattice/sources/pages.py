@@ -72,11 +72,11 @@ def _is_index(found: Column) -> Column:
     return (F.size(found) > 0) & F.forall(found, lambda u: F.split_part(F.lower(u), F.lit("?"), F.lit(1)).endswith(".xml"))
 
 
-def sitemap_locs(files: DataFrame, roots: DataFrame, children: int = 25) -> DataFrame:
+def sitemap_locs(files: DataFrame, roots: DataFrame, children: int | None = None) -> DataFrame:
     """Every page address a source's root sitemap leads to, in reading order.
 
     ``files``: (source_entry, url, body); ``roots``: (source_entry, sitemap_url).
-    An index is opened one level deep, its first ``children`` sitemaps only.
+    An index is opened one level deep: all its sitemaps, or its first ``children``.
     """
     read = files.select("source_entry", "url", locs("body").alias("_locs"))
     top = read.join(
@@ -87,21 +87,24 @@ def sitemap_locs(files: DataFrame, roots: DataFrame, children: int = 25) -> Data
     )
     inner = (
         top.filter("_index")
-        .select("source_entry", F.posexplode(F.slice("_locs", 1, children)).alias("child", "url"))
+        .select("source_entry", F.posexplode("_locs" if children is None else F.slice("_locs", 1, children)).alias("child", "url"))
         .join(read, ["source_entry", "url"])
         .select("source_entry", "child", F.posexplode("_locs").alias("pos", "loc"))
     )
     return flat.unionByName(inner)
 
 
-def extract_sitemap_urls(files: DataFrame, roots: DataFrame, max_pages: int = 60, children: int = 25) -> DataFrame:
-    """The first ``max_pages`` addresses per source holding its ``url_pattern``."""
-    found = sitemap_locs(files, roots, children).join(roots.select("source_entry", "url_pattern"), "source_entry")
+def extract_sitemap_urls(files: DataFrame, roots: DataFrame, max_pages: int | None = None, children: int | None = None) -> DataFrame:
+    """The addresses per source holding its ``url_pattern``: the first ``max_pages`` that its row in ``roots`` or the argument
+    states, all if neither does."""
+    own = F.col("max_pages").cast("int") if "max_pages" in roots.columns else F.lit(None).cast("int")
+    most = F.coalesce(own, F.lit(max_pages).cast("int"))
+    found = sitemap_locs(files, roots, children).join(roots.select("source_entry", "url_pattern", most.alias("_most")), "source_entry")
     w = Window.partitionBy("source_entry").orderBy("child", "pos")
     return (
         found.filter(F.col("loc").contains(F.col("url_pattern")))
         .withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= max_pages)
+        .filter(F.col("_most").isNull() | (F.col("rank") <= F.col("_most")))
         .select("source_entry", "rank", F.col("loc").alias("url"))
     )
 

@@ -57,7 +57,7 @@ def stall_stream(runs: DataFrame, key: str | None = None, hours: int = vocab.STA
     named = F.lit("all") if key is None else F.col(key).cast("string")
     good = runs.filter("ok").select(named.alias("key"), "started_at").mapInPandas(_newest, "key string, started_at timestamp")
     if waits_event:
-        good = good.withWatermark("started_at", "0 seconds")
+        good = good.withWatermark("started_at", f"{hours} hours")  # a success may come that late
 
     def step(k, pdfs, state: GroupState):
         if state.hasTimedOut:
@@ -71,7 +71,8 @@ def stall_stream(runs: DataFrame, key: str | None = None, hours: int = vocab.STA
                 seen = max(seen, int(pdf["started_at"].max().value // 1000))
         state.update((seen,))
         if waits_event:
-            state.setTimeoutTimestamp(max(seen // 1000 + hours * 3600 * 1000, state.getCurrentWatermarkMs() + 1))
+            # the watermark is the stall time behind the newest success of any key
+            state.setTimeoutTimestamp(max(seen // 1000, state.getCurrentWatermarkMs() + 1))
         else:
             state.setTimeoutDuration(hours * 3600 * 1000)
 

@@ -172,11 +172,33 @@ def test_name_similarity_is_ratcliff_obershelp(spark):
 
 
 def test_gate_codes(spark):
-    c = spark.createDataFrame([(n, "Acme") for n in "abcde"], "candidate string, candidate_name string")
-    fetched = [("b", 1, "Acme", "Clerk")] + [("c", i, "Acme", "Intern") for i in range(3)] + [("d", 1, "Zzz", "Intern"), ("e", 1, "Acme Co", "Intern")]
+    c = spark.createDataFrame([(n, "Acme") for n in "abcdefg"], "candidate string, candidate_name string")
+    fetched = [("b", 1, "Acme", "Clerk")] + [("c", i, "Acme", "Intern") for i in range(2)] + [("d", 1, "Zzz", "Intern"), ("e", 1, "Acme Co", "Intern")]
+    fetched += [("f", i, "Acme", ("Intern", "Summer Intern")[i % 2]) for i in range(4)] + [("g", i, "Acme", f"Intern {i}") for i in range(3)]
     f = spark.createDataFrame(fetched, "candidate string, id long, company string, title string")
     got = {r["candidate"]: r["code"] for r in facets.verify_gate(c, f).collect()}
-    assert got == {"a": "zero_postings", "b": "no_internship_titles", "c": "not_distinct", "d": "name_mismatch", "e": "ok"}
+    assert got == {"a": "zero_postings", "b": "no_internship_titles", "c": "not_distinct", "d": "name_mismatch", "e": "ok", "f": "ok", "g": "ok"}
+
+
+def test_limits_tell_exactly_whether_rows_were_left_out(spark):
+    df = spark.createDataFrame([(k, i) for k, n in (("a", 1), ("b", 2), ("c", 3)) for i in range(n)], "k string, i int")
+    got = {(r.k, r.truncated, r.rank) for r in ranking.shown_per(df, "k", [F.asc("i")], 2).collect()}
+    assert got == {("a", False, 1), ("b", False, 1), ("b", False, 2), ("c", True, 1), ("c", True, 2)}
+    assert ranking.shown_per(df, "k", [F.asc("i")], None).count() == 6
+    feed = df.selectExpr("i AS id", "cast(null AS timestamp) AS posted_at_ts", "cast(null AS timestamp) AS first_seen")
+    assert [ranking.capped(feed, n)[1].first()[0] for n in (None, 5, 6, 7)] == [False, True, False, False]
+
+
+def test_two_outcomes_for_one_row_do_not_multiply_it(spark):
+    sources = spark.createDataFrame([(1, "disabled", 4, None)], "id long, status string, consecutive_failures int, next_scrape_at timestamp")
+    verdicts = spark.createDataFrame([(1, False), (1, True)], "id long, passed boolean")
+    out = maintain.reinstate(sources, verdicts, F.lit(AS_OF)).collect()
+    assert [r.status for r in out] == ["probation"]
+    names = spark.createDataFrame([("Q", "ashby", "z"), ("Q", "workday", "a"), ("R", None, None), ("R", "lever", "c")], "company string, ats string, config string")
+    none = spark.createDataFrame([], "company string, ats string, config string, review_status string")
+    got = {r.company: (r.ats, r.config) for r in maintain.seed_candidates(none, names).collect()}
+    assert got == {"Q": ("ashby", "z"), "R": ("lever", "c")}
+    assert maintain.seed_candidates(none, names.limit(0), names).count() == 2
 
 
 def test_same_company_leaves_itself_out(postings):
