@@ -1,8 +1,8 @@
 """Full-text search over an inverted index kept as a table.
 
 The index holds one row per (term, id, field) with the term's positions.  A
-query reads only its own terms' rows; the terms are a literal list, so the
-scan is pruned.  Stemming strips common English endings; it is a light rule,
+query reads only its own terms' rows; terms, and buckets of a stored index, are
+literal lists, so the scan is pruned.  Stemming strips common English endings; it is a light rule,
 not a dictionary.  Ranks add field weights, title above company above
 location above description.
 """
@@ -60,12 +60,11 @@ def build_index(df: DataFrame, key: str = "id", weights: dict = WEIGHTS, only: l
 
     ``only`` keeps the terms of a query's words, for a search without a stored index.
     """
-    # Spread by text before the words multiply; grouping by (term, text) then needs no further shuffle.
+    # Texts stay where they are: a text's positions meet before the shuffle, which moves index rows only.
     fields = [f for f in weights if f in df.columns]
-    spread = df.select(key, *fields).repartition(key)
     each = F.array(*[
         F.struct(F.lit(f).alias("field"), F.lit(float(weights[f])).alias("weight"), F.col(f).alias("text")) for f in fields])
-    texts = spread.select(key, F.explode(each).alias("t")).select(key, "t.field", "t.weight", words_of("t.text").alias("words"))
+    texts = df.select(key, *fields).select(key, F.explode(each).alias("t")).select(key, "t.field", "t.weight", words_of("t.text").alias("words"))
     placed = texts.select(key, "field", "weight", F.posexplode_outer("words").alias("pos", "word"))
     kept = placed.filter(~F.col("word").isin(STOP_WORDS))
     if only is not None:
@@ -79,7 +78,10 @@ def build_index(df: DataFrame, key: str = "id", weights: dict = WEIGHTS, only: l
     )
 
 
-def write_index(index: DataFrame, path: str, buckets: int = 64) -> None:
+BUCKETS = 64
+
+
+def write_index(index: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Clustered by term, so a query's scan skips what it does not need."""
     bucketed = index.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
     bucketed.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term").write.mode(
@@ -100,7 +102,7 @@ def read_query(q: str) -> list[dict]:
         run = [(i, w) for i, w in enumerate(re.findall(r"[^\W_]+", (quoted or word).lower())) if w not in STOP_WORDS]
         if run:
             groups[-1]["not" if minus else "must"].append(run)
-    return [g for g in groups if g["must"]]
+    return [g for g in groups if g["must"] or g["not"]]
 
 
 def query_words(q: str) -> list[str]:
@@ -109,14 +111,15 @@ def query_words(q: str) -> list[str]:
 
 def search_texts(df: DataFrame, q: str, weights: dict = WEIGHTS) -> DataFrame:
     """``search`` straight over the texts; only the query's words are grouped."""
-    return search(build_index(df, weights=weights, only=query_words(q)), q)
+    return search(build_index(df, weights=weights, only=query_words(q)), q, df)
 
 
-def search(index: DataFrame, q: str) -> DataFrame:
-    """(id, rank) of the texts matching a query, reading the index once.
+def search(index: DataFrame, q: str, texts: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """(id, rank) of the texts matching a query, reading the index once, and of it only the query's terms.
 
     A phrase is met where all its words stand at their distances from one
-    starting place in one field.
+    starting place in one field.  An alternative that only forbids is met, with
+    rank 0, by all texts (``texts``, or those of the index) without what it forbids.
     """
     groups = read_query(q)
     if not groups:
@@ -125,6 +128,11 @@ def search(index: DataFrame, q: str) -> DataFrame:
     at = {id(run): n for n, run in enumerate(runs)}
     rows = [(n, len(run), w, i - run[0][0]) for n, run in enumerate(runs) for i, w in run]
     wanted = with_stem(index.sparkSession.createDataFrame(rows, "run int, size int, word string, at int")).drop("word")
+    known = index.select("id").distinct() if texts is None else texts.select("id").distinct()
+    if "bucket" in index.columns:
+        # stored: the few terms of a query and their buckets become literals that reach the scan
+        terms = wanted.select("term", F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("b")).distinct().collect()
+        index = index.filter(F.col("bucket").isin(sorted({r["b"] for r in terms})) & F.col("term").isin(sorted({r["term"] for r in terms})))
     places = F.when(F.col("size") == 1, F.array(F.lit(0))).otherwise(F.col("positions"))
     met = (
         index.join(F.broadcast(wanted), "term")
@@ -137,10 +145,13 @@ def search(index: DataFrame, q: str) -> DataFrame:
     by_text = met.groupBy("id").agg(*[
         F.sum(F.when(F.col("run") == n, F.col("weight"))).alias(f"_run{n}") for n in range(len(runs))])
 
+    if not all(g["must"] for g in groups):
+        by_text = known.join(by_text, "id", "left")
+
     def rank_of(group) -> Column:
         must = [F.col(f"_run{at[id(r)]}") for r in group["must"]]
         never = [F.col(f"_run{at[id(r)]}").isNull() for r in group["not"]]
-        return F.when(reduce(lambda a, b: a & b, [m.isNotNull() for m in must] + never), reduce(lambda a, b: a + b, must))
+        return F.when(reduce(lambda a, b: a & b, [m.isNotNull() for m in must] + never), reduce(lambda a, b: a + b, must, F.lit(0.0)))
 
     ranks = F.array_compact(F.array(*[rank_of(g) for g in groups]))
     total = F.aggregate(ranks, F.lit(0.0), lambda a, r: a + r)
@@ -153,7 +164,7 @@ def search_feed(df: DataFrame, index: DataFrame, q: str) -> DataFrame:
     ``search_rank`` is 0 for a substring only; sort by it, descending, before
     the feed's own order.
     """
-    ranked = search(index, q)
+    ranked = search(index, q, df)
     return (
         df.join(ranked, "id", "left")
         .filter(F.col("rank").isNotNull() | contains_any(q, ("title", "company")))

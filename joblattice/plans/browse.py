@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
@@ -13,6 +13,7 @@ from joblattice.plans.bindings import AS_OF, RUNS_AS_OF, as_of, bound, given
 from joblattice.plans.columns import stamp
 from joblattice.plans.feed import feed, feed_rows, feed_total
 from joblattice.plans.registry import query
+from joblattice.session import shared_dir
 
 NOW = f"TIMESTAMP '{AS_OF}'"
 RUNS_NOW = f"TIMESTAMP '{RUNS_AS_OF}'"
@@ -258,6 +259,22 @@ def text_search(spark, sf_dir):
     return search.search_texts(_texts(spark, sf_dir), "FR -que OR en src4")
 
 
+@query(f"""WITH {INDEX} SELECT id, CAST(round(sum(rank), 4) AS DOUBLE) AS rank FROM (
+  SELECT id, 0.0 AS rank FROM texts WHERE id NOT IN (SELECT id FROM idx WHERE term = 'en')
+  UNION ALL SELECT id, sum(weight) FROM (SELECT DISTINCT id, field, weight FROM idx WHERE term = 'src4') GROUP BY id) GROUP BY id""")
+def negative_search(spark, sf_dir):
+    """All texts without a word, or with another."""
+    return search.search_texts(_texts(spark, sf_dir), "-en OR src4")
+
+
+@query(f"""WITH {INDEX} SELECT id, CAST(round(sum(w), 4) AS DOUBLE) AS rank FROM (SELECT DISTINCT id, field, weight AS w FROM idx WHERE term = 'fr') GROUP BY id""")
+def stored_index_search(spark, sf_dir):
+    """From an index written once; the scan reads one bucket and one term."""
+    path = f"{shared_dir(spark)}/index-{uuid4().hex}"
+    search.write_index(search.build_index(_texts(spark, sf_dir)), path)
+    return search.search(spark.read.parquet(path), "FR")
+
+
 @query(f"""WITH {INDEX}, p AS (SELECT DISTINCT a.id, a.field, a.weight FROM idx a JOIN idx b ON a.id = b.id AND a.field = b.field AND b.pos = a.pos + 1
   WHERE a.term = 'les' AND b.term = 'de') SELECT id, CAST(round(sum(weight) * 2, 4) AS DOUBLE) AS rank FROM p GROUP BY id""".replace("'les'", "'le'"))
 def phrase_search(spark, sf_dir):

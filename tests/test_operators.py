@@ -180,6 +180,17 @@ def test_gate_codes(spark):
     assert got == {"a": "zero_postings", "b": "no_internship_titles", "c": "not_distinct", "d": "name_mismatch", "e": "ok", "f": "ok", "g": "ok"}
 
 
+def test_a_stored_index_is_read_by_bucket_and_term(spark, tmp_path):
+    df = spark.createDataFrame([("1", "Rocket intern"), ("2", "Sales intern")], "id string, title string")
+    path = f"{tmp_path}/index"
+    search.write_index(search.build_index(df), path)
+    found = search.search(spark.read.parquet(path), "rocket")
+    assert [r["id"] for r in found.collect()] == ["1"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "EqualTo(term,rocket)" in plan.replace("In(term, [rocket])", "EqualTo(term,rocket)")
+    assert [r["id"] for r in search.search(spark.read.parquet(path), "-sales", df).collect()] == ["1"]
+
+
 def test_limits_tell_exactly_whether_rows_were_left_out(spark):
     df = spark.createDataFrame([(k, i) for k, n in (("a", 1), ("b", 2), ("c", 3)) for i in range(n)], "k string, i int")
     got = {(r.k, r.truncated, r.rank) for r in ranking.shown_per(df, "k", [F.asc("i")], 2).collect()}
