@@ -13,7 +13,7 @@ whole sets.
 Sketches travel packed, a row per batch of documents and range of keys.  Where
 up to `GROUP` sets meet, all their pairs are candidates.  Where more meet (large
 groups of copies, passages that many documents share), each is compared with
-the smallest set only, and two sets are let off if their other keys must bring
+the smallest and the middle set only, and two sets are let off if their other keys must bring
 them together should they be similar: a set of which too many keys are common
 takes part in a second round, in which what the links so far have not put into
 one component is compared.  Equal sets are one set throughout.
@@ -24,7 +24,7 @@ Exact up to coincidences of 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +44,15 @@ GROUP = 16
 RANGE, PACK = 1_000_000, 8192
 _U64 = np.uint64
 _KEY = _U64((1 << 40) - 1)
+_STEP = _U64(0x9E3779B97F4A7C15)
+#: Texts that are cut into shingles at once.
+AT_ONCE = 256
 
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """Hashes spread again (the finaliser of a common 64-bit mixer)."""
     with np.errstate(over="ignore"):
-        x = x + _U64(salt) * _U64(0x9E3779B97F4A7C15)
+        x = x + _U64(salt) * _STEP
         x = (x ^ (x >> _U64(30))) * _U64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> _U64(27))) * _U64(0x94D049BB133111EB)
         return x ^ (x >> _U64(31))
@@ -59,32 +62,51 @@ class Shingler:
     """Texts to sorted arrays of distinct shingle hashes; remembers words' hashes, up to a bound."""
 
     def __init__(self, n: int = WORDS):
-        self.n, self._words = n, {}
+        self.n = n
+        self._words: dict[bytes, int] = {}  # a word's place among the hashes
+        self._hashes = np.zeros(0, _U64)
 
-    def __call__(self, text: bytes) -> np.ndarray:
-        """A-Z in lower case, words between ASCII white space; fewer words than n make one shingle."""
-        words = text.lower().split()
-        if not words:
-            return np.zeros(0, _U64)
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        """A-Z in lower case, words between ASCII white space; fewer words than n make one shingle.
+
+        Word hashes of all texts lie in one array and are combined at once; windows that reach into the next text go.
+        """
+        words = [t.lower().split() for t in texts]
         known = self._words
-        try:
-            h = np.fromiter(map(known.__getitem__, words), _U64, len(words))
-        except KeyError:
-            if len(known) > 300_000:
-                known.clear()
-            known.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(words).difference(known))
-            h = np.fromiter(map(known.__getitem__, words), _U64, len(words))
-        k = min(self.n, len(h))
-        out = np.full(len(h) - k + 1, k, _U64)
-        for d in range(k):
-            out = mixed(out ^ h[d:len(h) - k + 1 + d], d + 1)
-        return np.unique(out)
-
-
-def set_id(shingles: np.ndarray) -> int:
-    """A hash of the whole set."""
+        if len(known) > 300_000:
+            known.clear()
+            self._hashes = self._hashes[:0]
+        new = list({w for text in words for w in text if w not in known})
+        if new:
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            self._hashes = np.r_[self._hashes, np.array(list(map(xxhash.xxh3_64_intdigest, new)), _U64)]
+        count = np.array([len(w) for w in words], np.int64)
+        h = self._hashes[np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, int(count.sum()))]
+        end = np.cumsum(count)
+        size = np.minimum(count, self.n)
+        h = np.r_[h, np.zeros(self.n, _U64)]
+        with np.errstate(over="ignore"):
+            full = h[:len(h) - self.n + 1]
+            for d in range(1, self.n):
+                full = full * _STEP + h[d:len(h) - self.n + 1 + d]
+        full = mixed(full, self.n)
+        out = []
+        for a, b, n in zip((end - count).tolist(), end.tolist(), size.tolist()):
+            if n == self.n:
+                out.append(np.unique(full[a:b - n + 1]))
+            else:  # the whole sequence as one, told apart by its length
+                out.append(np.array([xxhash.xxh3_64_intdigest(h[a:b].tobytes(), n + 1)] if n else [], _U64))
+        return out
+
+
+def set_ids(sets: list[np.ndarray]) -> np.ndarray:
+    """A hash of each whole set."""
+    size = np.array([len(s) for s in sets], np.int64)
+    flat = mixed(np.concatenate([*sets, np.zeros(1, _U64)]), 101)
+    sums = np.r_[_U64(0), np.cumsum(flat, dtype=_U64)]
+    end = np.cumsum(size)
     with np.errstate(over="ignore"):
-        return int(mixed(mixed(shingles, 101).sum(dtype=_U64)[None] + _U64(len(shingles)), 7)[0].astype(np.int64))
+        return mixed(sums[end] - sums[end - size] + size.astype(_U64), 7).astype(np.int64)
 
 
 def linked(a: int, b: int, common: int) -> bool:
@@ -130,8 +152,10 @@ def keys(shingles: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def _texts(column: pa.Array) -> Iterator[bytes]:
-    return (t.as_py() or b"" for t in column.cast(pa.binary()))
+def _texts(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """The column's texts in portions, with the place where each begins."""
+    for lo in range(0, len(column), AT_ONCE):
+        yield lo, [t or b"" for t in column.slice(lo, AT_ONCE).cast(pa.binary()).to_pylist()]
 
 
 def sets(docs: DataFrame, key: str, text: str, blob: bool = False) -> DataFrame:
@@ -141,11 +165,12 @@ def sets(docs: DataFrame, key: str, text: str, blob: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for b in batches:
-            found = [shingle(t) for t in _texts(b.column(1))]
-            out = [b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([set_id(s) for s in found], pa.int64())]
-            if blob:
-                out.append(pa.array([s.tobytes() for s in found], pa.binary()))
-            yield pa.RecordBatch.from_arrays(out, ["id", "n", "set", "shingles"][:len(out)])
+            for lo, texts in _texts(b.column(1)):
+                found = shingle(texts)
+                out = [b.column(0).slice(lo, len(texts)), pa.array([len(s) for s in found], pa.int64()), pa.array(set_ids(found))]
+                if blob:
+                    out.append(pa.array([s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in found], pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, ["id", "n", "set", "shingles"][:len(out)])
 
     return rows.mapInArrow(run, "id long, n long, set long" + ", shingles binary" * blob)
 
@@ -182,26 +207,28 @@ def packed_keys(docs: DataFrame, text: str, ranges: int) -> DataFrame:
 
         n = 0
         for b in batches:
-            for t in _texts(b.column(0)):
-                s = shingle(t)
-                if not len(s) or (i := set_id(s)) in seen:
-                    continue
-                seen.add(i)
-                for lev, k in keys(s):
-                    parts.append((k, lev, len(ids)))
-                    n += len(k)
-                ids.append(i)
-                sizes.append(len(s))
-                if len(ids) == PACK or n >= 4 * RANGE:
-                    yield packed()
-                    n = 0
+            for _, texts in _texts(b.column(0)):
+                found = shingle(texts)
+                for s, i in zip(found, set_ids(found).tolist()):
+                    if not len(s) or i in seen:
+                        continue
+                    seen.add(i)
+                    for lev, k in keys(s):
+                        parts.append((k, lev, len(ids)))
+                        n += len(k)
+                    ids.append(i)
+                    sizes.append(len(s))
+                    if len(ids) == PACK or n >= 4 * RANGE:
+                        yield packed()
+                        n = 0
         if parts:
             yield packed()
 
     return docs.select(text).mapInArrow(run, "r int, ids binary, sizes binary, keys binary, levels binary, owners binary")
 
 
-MEETINGS = "kind int, a long, b long, na int, nb int, level int"
+#: `c`: keys at which a pair met, but for common ones.
+MEETINGS = "kind int, a long, b long, na int, nb int, level int, c int"
 #: Kinds of rows: a candidate pair; a set (a) at a common key (b).
 PAIR, COMMON = 0, 1
 
@@ -239,24 +266,30 @@ def meetings(packed: DataFrame) -> DataFrame:
                 found.append(np.stack([at + i, at + j], 1))
         many = count > GROUP
         hub, members = np.repeat(start[many], count[many]), _spans(start[many], count[many])
+        n_few = sum(map(len, found))
         found.append(np.stack([hub, members], 1)[hub != members])
+        middle = np.repeat((start + count // 2)[many], count[many])
+        found.append(np.stack([np.minimum(middle, members), np.maximum(middle, members)], 1)[(middle != members) & (hub != members)])
         pair = np.concatenate(found)
-        small, large = size[pair[:, 0]].astype(np.int64), size[pair[:, 1]].astype(np.int64)
-        pair = pair[4 * np.minimum(small, large) >= 3 * np.maximum(small, large)]
-        swap = sid[pair[:, 0]] > sid[pair[:, 1]]
-        pair[swap] = pair[swap][:, ::-1]
-        order = np.lexsort((sid[pair[:, 1]], sid[pair[:, 0]]))
-        pair = pair[order]
-        a, b = sid[pair[:, 0]], sid[pair[:, 1]]
-        once = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
-        pair = pair[once]
+        c = (np.arange(len(pair)) < n_few).astype(np.int32)
+        na, nb = size[pair[:, 0]].astype(np.int64), size[pair[:, 1]].astype(np.int64)
+        near = 4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)
+        pair, c = pair[near], c[near]
+        level_of = (k >> _U64(40)).astype(np.int32)
+        order = np.lexsort((level_of[pair[:, 0]], sid[pair[:, 1]], sid[pair[:, 0]]))  # the first is the smaller by size, then id
+        pair, c = pair[order], c[order]
+        a, b, at = sid[pair[:, 0]], sid[pair[:, 1]], level_of[pair[:, 0]]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (at[1:] != at[:-1])]) if len(a) else np.zeros(0, int)
+        c = np.add.reduceat(c, first) if len(first) else c
+        pair = pair[first]
         r = int(rows["r"][0].as_py()) if len(rows) else 0
         common = (k[members] | _U64(r) << _U64(44)).astype(np.int64)
+        none = np.zeros(len(members), np.int32)
         return pa.table({
             "kind": np.r_[np.full(len(pair), PAIR, np.int32), np.full(len(members), COMMON, np.int32)],
             "a": np.r_[sid[pair[:, 0]], sid[members]], "b": np.r_[sid[pair[:, 1]], common],
-            "na": np.r_[size[pair[:, 0]], size[members]].astype(np.int32), "nb": np.r_[size[pair[:, 1]], np.zeros(len(members))].astype(np.int32),
-            "level": np.r_[np.zeros(len(pair)), (k[members] >> _U64(40))].astype(np.int32)})
+            "na": np.r_[size[pair[:, 0]], size[members]].astype(np.int32), "nb": np.r_[size[pair[:, 1]], none].astype(np.int32),
+            "level": np.r_[level_of[pair[:, 0]], level_of[members]].astype(np.int32), "c": np.r_[c, none].astype(np.int32)})
 
     return packed.groupBy("r").applyInArrow(meet, MEETINGS)
 
@@ -267,19 +300,44 @@ def _spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, count) + np.arange(int(count.sum()))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, key: str, text: str) -> DataFrame:
-    """Of distinct (a, b) those that are similar.  Texts of the sets concerned are read once, each from its first document."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(reps, "set").select(F.col("rep").alias("__nj_rep"))
-    texts = docs.select(key, text).join(wanted, F.col(key) == F.col("__nj_rep"), "leftsemi")
-    held = stored(sets(texts, key, text, blob=True).select("set", "shingles").dropDuplicates(["set"]), "shingles")
-    both = pairs.join(held.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(
+def possible(met: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b, c) that meet at enough keys to be similar, if all common keys of the poorer one count as shared."""
+    pairs = met.where(F.col("kind") == PAIR).groupBy("a", "b", "na", "nb", "level").agg(F.sum("c").alias("c"))
+    common = met.where(F.col("kind") == COMMON).groupBy("a", "level").agg(F.count(F.lit(1)).alias("k"))
+    common = stored(common, "common")
+    pairs = pairs.join(common.withColumnRenamed("k", "ka"), ["a", "level"], "left").join(
+        common.select(F.col("a").alias("b"), "level", F.col("k").alias("kb")), ["b", "level"], "left")
+    shared = F.col("c") + F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0)))
+    return pairs.where(shared >= _needed("level", F.col("na"), F.col("nb"))).groupBy("a", "b").agg(F.max("c").alias("c"))
+
+
+def _needed(level: str, na, nb):
+    """Keys that similar sets of these sizes share at least."""
+    return F.when(F.col(level) == 0, F.ceil((na + nb) * 3 / 7)).otherwise(_spare(F.least(na, nb)))
+
+
+def shingle_sets(wanted: DataFrame, docs: DataFrame, reps: DataFrame, key: str, text: str) -> DataFrame:
+    """(set, shingles) of the sets wanted, 48 bits of each hash; each text is read once, from its first document."""
+    first = wanted.distinct().join(reps, "set").select(F.col("rep").alias("__nj_rep"))
+    texts = docs.select(key, text).join(first, F.col(key) == F.col("__nj_rep"), "leftsemi")
+    return stored(sets(texts, key, text, blob=True).select("set", "shingles").dropDuplicates(["set"]), "shingles")
+
+
+def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Of distinct (a, b) those that are similar, by their whole sets."""
+    both = pairs.select("a", "b").join(held.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(
         held.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
+    def unpacked(x: bytes) -> np.ndarray:
+        out = np.zeros((len(x) // 6, 8), np.uint8)
+        out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+        return out.view("<u8").ravel()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), _U64), np.frombuffer(y.as_py(), _U64)
+                x, y = unpacked(x.as_py()), unpacked(y.as_py())
                 z = np.sort(np.concatenate([x, y]))
                 keep.append(linked(len(x), len(y), int((z[1:] == z[:-1]).sum())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -311,25 +369,29 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def mostly_common(met: DataFrame) -> DataFrame:
+    """(b: key, a: set, na, level, k: the set's common keys) of sets whose other keys need not bring similar sets to them."""
+    common = met.where(F.col("kind") == COMMON)
+    mine = Window.partitionBy("a", "level")
+    least = F.ceil(F.col("na") * 0.75)
+    return common.withColumn("k", F.count(F.lit(1)).over(mine)).where(
+        F.col("k") >= F.when(F.col("level") == 0, least).otherwise(_spare(least))).select("b", "a", "na", "level", "k")
+
+
 def second_round(common: DataFrame, so_far: DataFrame) -> DataFrame:
     """Pairs (a, b) that only common keys could bring together and that are not in one component yet.
 
     Of the sets at a common key those of its largest component are compared with
     the others, not with each other.
     """
-    mine = Window.partitionBy("a", "level")
-    agree = F.when(F.col("level") == 0, F.ceil(F.col("na") * 0.75)).otherwise(_spare(F.ceil(F.col("na") * 0.75)))
-    left = common.withColumn("k", F.count(F.lit(1)).over(mine)).where(F.col("k") >= agree)
-    left = left.join(so_far.select(F.col("set").alias("a"), "component"), "a", "left").select(
-        "b", "a", "na", "k", "level", F.coalesce("component", "a").alias("c"))
-    left = stored(left, "common")
+    left = stored(common.join(so_far.select(F.col("set").alias("a"), "component"), "a", "left").select(
+        "b", "a", "na", "k", "level", F.coalesce("component", "a").alias("c")), "common")
     sizes = left.groupBy("b", "c").count()
     main = sizes.groupBy("b").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     left = stored(left.join(main, "b"), "common")
     x, y = left.where("c <> main").alias("x"), left.alias("y")
     met = x.join(y, F.expr("x.b = y.b and x.c <> y.c and (y.c = y.main or x.a < y.a)"))
-    needed = F.ceil((F.col("x.na") + F.col("y.na")) * 3 / 7)
-    enough = F.when(F.col("x.level") == 0, F.least("x.k", "y.k") >= needed).otherwise(True)
+    enough = F.least("x.k", "y.k") >= _needed("x.level", F.col("x.na"), F.col("y.na"))
     near = 4 * F.least("x.na", "y.na") >= 3 * F.greatest("x.na", "y.na")
     return met.where(enough & near).select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
 
@@ -339,8 +401,7 @@ def _spare(n):
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, n_links): per row of docs the size of its set, the smallest id that links reach, and
-    with how many different sets of the candidates it was found similar.
+    """(id, n_shingles, component_id): per row of docs the size of its set and the smallest id that links reach.
 
     Null and empty texts, and texts without words, have an empty set, link with
     nothing and are their own component.  Null ids are rows with a null
@@ -351,22 +412,22 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     total = all_sets.agg(F.sum("n")).first()[0] or 0
     reps = stored(all_sets.where("n > 0").groupBy("set").agg(F.min("id").alias("rep")), "first")
     met = stored(meetings(packed_keys(docs, text, max(8, -(-total // RANGE)))), "meetings")
-    pairs = stored(met.where(F.col("kind") == PAIR).select("a", "b").distinct(), "pairs")
-    links = stored(verified(pairs, docs, reps, key, text), "links")
+    pairs = stored(possible(met), "pairs")
+    common = stored(mostly_common(met), "common")
+    held = shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("set")).union(common.select("a")), docs, reps, key, text)
+    links = stored(verified(pairs, held), "links")
     so_far = stored(components(links), "components")
-    more = stored(second_round(met.where(F.col("kind") == COMMON), so_far).join(pairs, ["a", "b"], "leftanti"), "pairs")
+    more = second_round(common, so_far).join(pairs, ["a", "b"], "leftanti")
+    more = stored(verified(stored(more, "pairs"), held), "links")
     if more.limit(1).count():
-        links = links.union(stored(verified(more, docs, reps, key, text), "links"))
-        so_far = stored(components(links), "components")
-    degree = links.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.count(F.lit(1)).alias("n_links"))
+        so_far = stored(components(links.union(more)), "components")
     named = reps.join(so_far, "set", "left").withColumn("component", F.coalesce("component", "set"))
     first = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_set = named.join(first, "component").join(degree, "set", "left").select("set", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = all_sets.where("n > 0").join(by_set, "set").select("id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    alone = all_sets.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(alone)
+    by_set = named.join(first, "component").select("set", "component_id")
+    out = all_sets.where("n > 0").join(by_set, "set").select("id", F.col("n").alias("n_shingles"), "component_id")
+    return out.unionByName(all_sets.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return join(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
+    return join(docs).withColumnRenamed("id", "doc_id")
