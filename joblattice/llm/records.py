@@ -126,6 +126,8 @@ def _tokenizer(path: str, dtype: str) -> Stretches:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    tokenizer.post_processor = None  # it only mends offsets, which nobody asks for
+    tokenizer.model._resize_cache(0)  # each stretch comes once; those that come again are kept here
 
     def encode(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

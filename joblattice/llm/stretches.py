@@ -46,7 +46,14 @@ class Recent:
             self._before, self._now = self._now, {}
         get = self._now.get
         found = [list(map(get, row)) for row in rows]
-        missing = {k for row, f in zip(rows, found) if None in f for k, v in zip(row, f) if v is None}
+        gaps: list[tuple[int, int]] = []
+        missing: set[str] = set()
+        for n, (row, f) in enumerate(zip(rows, found)):
+            i = -1
+            for _ in range(f.count(None)):
+                i = f.index(None, i + 1)
+                gaps.append((n, i))
+                missing.add(row[i])
         if missing:
             new: dict[str, bytes] = {}
             old = self._before
@@ -58,9 +65,8 @@ class Recent:
                 else:
                     new[k] = v
             new.update(zip(wanted, self._make(wanted), strict=True))
-            for row, f in zip(rows, found):
-                if None in f:
-                    f[:] = [new[k] if v is None else v for k, v in zip(row, f)]
+            for n, i in gaps:
+                found[n][i] = new[rows[n][i]]
             self._now.update((k, v) for k, v in new.items() if len(k) <= KEPT_KEY)
         return [b"".join(f) for f in found]
 
