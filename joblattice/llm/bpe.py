@@ -249,24 +249,43 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", keep: list[str] | None = None,
+           round_trip: str | None = None) -> DataFrame:
     """The columns `keep` (default: all) and the ids of each whole text, as packed 32-bit integers, in `out`.
 
+    `round_trip` names a further column that tells whether decoding the ids gives the text's bytes back.
+
     Null and empty texts give no ids; a column named like `out` is replaced.
     Repeated rows stay; an empty table gives an empty one.  No special tokens.
     """
-    names = [c for c in (df.columns if keep is None else keep) if c != out]
+    names = [c for c in (df.columns if keep is None else keep) if c not in (out, round_trip)]
     fields = [df.schema[c] for c in names]
     source = df.select(*names, F.col(text).alias("__bpe_text"))
+    made = [T.StructField(out, T.BinaryType())] + [T.StructField(c, T.BooleanType()) for c in (round_trip,) if c]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoder(path, pattern)
         for whole in batches:
             for b in portions(whole):
-                ids = pa.array(one.encode(b.column(len(names)).fill_null("")), pa.binary())
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], [*names, out])
+                texts = b.column(len(names)).fill_null("")
+                ids = one.encode(texts)
+                columns = [pa.array(ids, pa.binary())]
+                if round_trip:
+                    raw = texts.cast(pa.binary())
+                    columns.append(pa.array([decoded(one.vocabulary.tokens, x) == t.as_py() for x, t in zip(ids, raw)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], [*names, *(f.name for f in made)])
+
+    return source.mapInArrow(run, T.StructType([*fields, *made]))
 
-    return source.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.BinaryType())]))
+
+def decoded(tokens: list[bytes], packed: bytes | None) -> bytes | None:
+    """The bytes that packed ids stand for; None for null, or ids outside the vocabulary."""
+    if packed is None:
+        return None
+    try:
+        return b"".join(map(tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+    except (IndexError, ValueError):
+        return None
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
@@ -280,18 +299,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", kee
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = vocabulary(path).tokens
-
-        def one(packed: bytes | None) -> bytes | None:
-            if packed is None:
-                return None
-            try:
-                return b"".join(map(tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
-            except (IndexError, ValueError):
-                return None
-
         for whole in batches:
             for b in portions(whole):
-                raw = pa.array((one(x.as_py()) for x in b.column(len(names))), pa.binary(), size=b.num_rows)
+                raw = pa.array((decoded(tokens, x.as_py()) for x in b.column(len(names))), pa.binary(), size=b.num_rows)
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], raw], [*names, out])
 
     return source.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.BinaryType())]))
