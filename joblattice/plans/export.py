@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,14 +57,21 @@ def description_shards(table: DataFrame, store: DataFrame | None = None, older:
         std = standardize_posting(df.filter(has_text).withColumn("_text", F.col("description")))
         return std.withColumn("description", F.col("_text")).select(*[c for c in SHARD_COLUMNS if c in std.columns])
 
-    inputs = [whole(d) for d in (live, store) if d is not None]
+    # Who supplies an id is settled by ids alone; only the rows that go out are standardised.
+    inputs = [whole(live)]
+    wanting = live.filter(~has_text).select("id")
+    if store is not None:
+        store = store.filter(has_text).join(wanting, "id", "left_semi")
+        inputs.append(whole(store))
+        wanting = wanting.join(store.select("id"), "id", "left_anti")
     if older is not None:
         kept = ["title", "location", "job_function", "cycle_season", "cycle_year", "description"]
-        again = standardize_posting(older.filter(has_text).withColumns({f"_{c}": F.col(c) for c in kept}))
+        older = older.filter(has_text).join(wanting, "id", "left_semi")
+        again = standardize_posting(older.withColumns({f"_{c}": F.col(c) for c in kept}))
         again = again.withColumns({c: F.col(f"_{c}") for c in kept})
         inputs.append(again.select(*[c for c in SHARD_COLUMNS if c in again.columns]))
-    merged = priority_union(inputs)
-    return merged.join(live.select("id"), "id", "left_semi").withColumn("desc_id", identity.safe_id())
+    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), inputs)
+    return merged.withColumn("desc_id", identity.safe_id())
 
 
 def write_shards(shards: DataFrame, path: str, parts: int = 64) -> None:
