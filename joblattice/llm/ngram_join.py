@@ -370,12 +370,19 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def mostly_common(met: DataFrame) -> DataFrame:
-    """(b: key, a: set, na, level, k: the set's common keys) of sets whose other keys need not bring similar sets to them."""
-    common = met.where(F.col("kind") == COMMON)
+    """(b: key, a: set, na, level, k: the set's common keys) of sets whose other keys need not bring similar sets to them.
+
+    As such sets must share many of their common keys, the rarest few of each
+    are enough for two of them to meet, in an order that all follow.
+    """
+    common = met.where(F.col("kind") == COMMON).select("a", "b", "na", "level")
+    common = common.join(common.groupBy("b").agg(F.count(F.lit(1)).alias("size")), "b")
     mine = Window.partitionBy("a", "level")
     least = F.ceil(F.col("na") * 0.75)
-    return common.withColumn("k", F.count(F.lit(1)).over(mine)).where(
-        F.col("k") >= F.when(F.col("level") == 0, least).otherwise(_spare(least))).select("b", "a", "na", "level", "k")
+    least = F.when(F.col("level") == 0, least).otherwise(_spare(least))
+    return common.withColumns({
+        "k": F.count(F.lit(1)).over(mine), "at": F.row_number().over(mine.orderBy("size", "b")),
+    }).where((F.col("k") >= least) & (F.col("at") <= F.col("k") - least + 1)).select("b", "a", "na", "level", "k")
 
 
 def second_round(common: DataFrame, so_far: DataFrame) -> DataFrame:
