@@ -132,7 +132,7 @@ def _tokenizer(path: str, dtype: str) -> Stretches:
     def encode(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return Stretches(encode, 400_000)
+    return Stretches(encode, 700_000)
 
 
 def _width(path: str) -> str:
