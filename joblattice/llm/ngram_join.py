@@ -187,10 +187,11 @@ def packed_keys(docs: DataFrame, text: str, ranges: int) -> DataFrame:
 
         def packed() -> pa.RecordBatch:
             k = np.concatenate([p[0] for p in parts])
-            place = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-            owner = np.array([p[2] for p in parts])[place].astype(np.uint16)
-            lev = np.array([p[1] for p in parts], np.uint8)[place]
-            r = (k >> _U64(40)) % _U64(ranges)
+            each = [len(p[0]) for p in parts]
+            owner = np.repeat(np.array([p[2] for p in parts], np.uint16), each)
+            lev = np.repeat(np.array([p[1] for p in parts], np.uint8), each)
+            parts.clear()
+            r = ((k >> _U64(40)) % _U64(ranges)).astype(np.uint32)
             order = np.argsort(r, kind="stable")
             k, owner, lev, r = k[order] & _KEY, owner[order], lev[order], r[order]
             cut = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
@@ -201,7 +202,7 @@ def packed_keys(docs: DataFrame, text: str, ranges: int) -> DataFrame:
                 rows.append((int(r[a]), all_ids[used].tobytes(), all_sizes[used].tobytes(),
                              k[a:b].view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), lev[a:b].tobytes() if lev[a:b].any() else b"",
                              local.astype(np.uint16).tobytes()))
-            ids.clear(), sizes.clear(), seen.clear(), parts.clear()
+            ids.clear(), sizes.clear(), seen.clear()
             kinds = (pa.int32(), *[pa.binary()] * 5)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["r", "ids", "sizes", "keys", "levels", "owners"])
 
@@ -218,7 +219,7 @@ def packed_keys(docs: DataFrame, text: str, ranges: int) -> DataFrame:
                         n += len(k)
                     ids.append(i)
                     sizes.append(len(s))
-                    if len(ids) == PACK or n >= 4 * RANGE:
+                    if len(ids) == PACK or n >= 2 * RANGE:
                         yield packed()
                         n = 0
         if parts:
