@@ -96,6 +96,9 @@ def title_case(c) -> Column:
 
 # --- markup -----------------------------------------------------------------
 
+#: Characters of a description in snippet columns; descriptions themselves are stored whole.
+SNIPPET = 600
+
 
 @F.pandas_udf(T.StringType())
 def _unescape(raw: pd.Series) -> pd.Series:
@@ -125,13 +128,14 @@ def strip_tags(text: Column) -> Column:
     return squeeze(F.regexp_replace(text, r"<[^>]+>", " "))
 
 
-def strip_html(raw, max_len: int = 600) -> Column:
-    """Flat text for matching."""
-    return F.substring(strip_tags(unescape_html(raw)), 1, max_len)
+def strip_html(raw, max_len: int | None = None) -> Column:
+    """Flat text for matching: all of it, or its first ``max_len`` characters."""
+    t = strip_tags(unescape_html(raw))
+    return t if max_len is None else F.substring(t, 1, max_len)
 
 
-def display_text(raw, max_len: int = 40000) -> Column:
-    """Text for reading: list items become bullets, blocks become lines."""
+def display_text(raw, max_len: int | None = None) -> Column:
+    """Text for reading, whole unless ``max_len`` is given: list items become bullets, blocks become lines."""
     t = unescape_html(raw)
     for pattern, to in (
         (r"(?i)<li(?![\p{L}\p{N}_])[^>]*>", "\n• "),
@@ -142,7 +146,7 @@ def display_text(raw, max_len: int = 40000) -> Column:
         (r"\n{3,}", "\n\n"),
     ):
         t = F.regexp_replace(t, pattern, to)
-    return F.substring(strip(t), 1, max_len)
+    return strip(t) if max_len is None else F.substring(strip(t), 1, max_len)
 
 
 def xml_escape(c) -> Column:

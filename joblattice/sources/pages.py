@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from joblattice.functions.text import as_col, blank_to_null, display_text, strip_html, text_of
+from joblattice.functions.text import SNIPPET, as_col, blank_to_null, display_text, strip_html, text_of
 from joblattice.schema import POSTING_COLUMNS
 
 # fixed values: the marks of linked data, microdata and job addresses in a page
@@ -51,7 +51,7 @@ def extract_jobposting(pages: DataFrame) -> DataFrame:
         "job_function": F.lit(""),
         "work_arrangement": F.lit(""),
         "posted_at": at("$.datePosted"),
-        "description_snippet": strip_html(at("$.description")),
+        "description_snippet": strip_html(at("$.description"), SNIPPET),
         "description": display_text(at("$.description")),
         "source_entry": F.col("source_entry"),
     }

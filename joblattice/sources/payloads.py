@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from joblattice.functions.classify import normalise_arrangement
 from joblattice.functions.places import flag_arrangement, join_location
 from joblattice.functions.text import (
-    SPACE, blank_to_null, display_text, strip, strip_html, text_of,
+    SNIPPET, SPACE, blank_to_null, display_text, strip, strip_html, text_of,
 )
 from joblattice.schema import POSTING_COLUMNS
 
@@ -89,7 +89,7 @@ def _last_by_id(rows: DataFrame, order: list[str], keep: tuple[str, ...]) -> Dat
 
 
 def _brief(c) -> Column:
-    return F.substring(text_of(c), 1, 600)
+    return F.substring(text_of(c), 1, SNIPPET)
 
 
 @provider(
@@ -107,7 +107,7 @@ def _greenhouse(job, entry):
         "url": text_of(job["absolute_url"]),
         "category": text_of(entry("category")),
         "posted_at": job["updated_at"],
-        "description_snippet": strip_html(job["content"]),
+        "description_snippet": strip_html(job["content"], SNIPPET),
         "description": display_text(job["content"]),
     }
 
@@ -202,7 +202,7 @@ def _workday(job, entry):
         "url": F.concat(host, text_of(job["externalPath"])),
         "category": text_of(entry("category")),
         "posted_at": job["postedOn"],
-        "description_snippet": strip_html(F.get(job["bulletFields"], F.lit(0))),
+        "description_snippet": strip_html(F.get(job["bulletFields"], F.lit(0)), SNIPPET),
         "description": F.lit(""),
     }
 
@@ -226,7 +226,7 @@ def _muse(job, entry):
         "url": text_of(job["refs"]["landing_page"]),
         "job_function": F.coalesce(blank_to_null("query_category"), names(job["categories"]), F.lit("")),
         "posted_at": job["publication_date"],
-        "description_snippet": strip_html(job["contents"]),
+        "description_snippet": strip_html(job["contents"], SNIPPET),
         "description": display_text(job["contents"]),
     }
 
@@ -251,7 +251,7 @@ def _oracle(job, entry):
         "url": F.concat(entry("job_detail_base"), F.lit("/"), job["Id"]),
         "category": text_of(entry("category")),
         "posted_at": job["PostedDate"],
-        "description_snippet": strip_html(text),
+        "description_snippet": strip_html(text, SNIPPET),
         "description": display_text(text),
     }
 

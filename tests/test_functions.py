@@ -177,6 +177,25 @@ def test_markup(pairs):
     ], "h string", text.display_text("h"))
 
 
+def test_markup_keeps_whole_texts(pairs):
+    long = "word " * 20_000
+    check(pairs, [(f"<p>{long}</p>", long.strip())], "h string", text.strip_html("h"))
+    check(pairs, [(f"<p>{long}</p>", long.strip())], "h string", text.display_text("h"))
+    check(pairs, [(f"<p>{long}</p>", long[:600])], "h string", text.strip_html("h", 600))
+
+
+def test_payload_descriptions_are_stored_whole(spark):
+    import json
+
+    from joblattice.sources import payloads
+
+    long = "word " * 20_000
+    body = json.dumps({"jobs": [{"id": "1", "title": "t", "content": f"<p>{long}</p>"}]})
+    raw = spark.createDataFrame([("e", '{"token": "x"}', 1, body)], "source_entry string, entry string, page int, payload string")
+    [row] = payloads.normalize(raw, "greenhouse").select("description", "description_snippet").collect()
+    assert row.description == long.strip() and row.description_snippet == long[:600]
+
+
 def test_xml(pairs):
     check(pairs, [('a"b', "'a\"b'"), ("a&b", '"a&amp;b"'), ("a\"'b", '"a&quot;\'b"')], "h string", text.xml_attribute("h"))
 
