@@ -50,6 +50,9 @@ ENDS |= {
 CUT = set(
     "script style noscript template iframe object embed svg canvas audio video form button select textarea input label"
     " nav aside footer menu dialog head title".split())
+#: Of these, those that may hold a page's article; all but the second also what is most of its text outside the second.
+WRAPPERS = set("form label dialog aside footer nav menu".split())
+MENUS = set("nav menu footer".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words in class and id that name boilerplate.
 NAMES = set(
@@ -133,37 +136,78 @@ def _named(node: Node) -> tuple[set[str], dict[str, str]]:
     return set(_NAME.findall(f"{found.get('class', '')} {found.get('id', '')}".lower())), found
 
 
+def _boilerplate(node: Node) -> bool:
+    return node.tag in CUT - {"form", "label"} or bool(node.attributes) and node.tag not in KEEP - {"article"} and bool(_named(node)[0] & NAMES)
+
+
+def _article(nodes: list[Node], outer: list[int], titled: list[bool], size: list[int]) -> int:
+    """The page's article of those in no other: with a title before others, outside boilerplate before others, then the longest; 0 if none."""
+    if len(outer) < 2:
+        return outer[0] if outer else 0
+    within = [False] * len(nodes)
+    for i, n in enumerate(nodes[1:], 1):
+        within[i] = within[n.parent] or _boilerplate(n)
+    return max(outer, key=lambda i: (titled[i], not within[i], size[i], -i))
+
+
 def mark(nodes: list[Node]) -> None:
-    """Cuts off boilerplate; what holds the page's article or most of its text is never cut by name."""
+    """Cuts off boilerplate; what holds the page's article or main part, or most of its text, is not cut by name.
+
+    Nor is it cut as a form or other wrapper.  Beside an article that has a title or stands in main, boilerplate may
+    be longer than it.
+    """
     inside = [False] * len(nodes)  # in an article or main
+    nested = [False] * len(nodes)  # in an article
+    beside = [False] * len(nodes)  # in what is named as boilerplate and too long to be cut
     holds = [False] * len(nodes)
     titled = [False] * len(nodes)
     size = [0] * len(nodes)
+    plain = [0] * len(nodes)  # as size, without menus and footers
+    outer = []
     for i in range(len(nodes) - 1, 0, -1):
         n = nodes[i]
-        size[i] += sum(len(t) for _, t in n.text) if n.tag not in RAW else 0
+        own = sum(len(t) for _, t in n.text) if n.tag not in RAW else 0
+        size[i] += own
+        plain[i] += own
         size[n.parent] += size[i]
-        holds[n.parent] |= holds[i] or n.tag in ("article", "main")
+        plain[n.parent] += plain[i] if n.tag not in MENUS else 0
         titled[n.parent] |= titled[i] or n.tag == "h1"
     for i, n in enumerate(nodes[1:], 1):
-        p = nodes[n.parent]
         inside[i] = inside[n.parent] or n.tag in ("article", "main")
-        if p.cut or n.tag in CUT:
+        nested[i] = nested[n.parent] or n.tag == "article"
+        if n.tag == "article" and not nested[n.parent]:
+            outer.append(i)
+    article = _article(nodes, outer, titled, size)
+    for i in range(len(nodes) - 1, 0, -1):
+        holds[i] |= i == article or nodes[i].tag == "main"
+        holds[nodes[i].parent] |= holds[i]
+    sure = bool(article) and (titled[article] or inside[nodes[article].parent])
+    for i, n in enumerate(nodes[1:], 1):
+        p = nodes[n.parent]
+        beside[i] = beside[n.parent]
+        most = 2 * size[i] > max(1, size[0])
+        if p.cut or n.tag in CUT and not (n.tag in WRAPPERS and (holds[i] or n.tag not in MENUS and 2 * plain[i] > max(1, plain[0]) and not sure)):
             n.cut = True
             continue
         if n.tag == "header" and not inside[n.parent] and not holds[i]:
             n.cut = True
             continue
+        if beside[i] and n.tag == "article" and not holds[i] and not most:
+            n.cut = True
+            continue
         if not n.attributes:
             continue
         names, attributes = _named(n)
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(
             r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""))
         by_name = names & NAMES or "header" in names and not inside[i] and not titled[i] or attributes.get("role", "").lower() in ROLES
-        if n.tag == "article" and inside[n.parent]:  # articles inside an article are readers' comments
+        if n.tag == "article" and nested[n.parent]:  # articles inside an article are readers' comments
             by_name = by_name or names
-        if hidden or by_name and n.tag not in KEEP - {"article"} and not holds[i] and 2 * size[i] <= max(1, size[0]):
+        by_name = by_name and n.tag not in KEEP - {"article"} and not holds[i]
+        if hidden or by_name and (not most or sure and not nested[n.parent]):
             n.cut = True
+        elif by_name:
+            beside[i] = True
 
 
 def weigh(nodes: list[Node]) -> None:
@@ -220,6 +264,12 @@ def core(nodes: list[Node]) -> int:
             best = i
         elif nodes[i].tag == "main" and nodes[best].tag != "article":
             best = i
+    if nodes[best].tag == "article" and (around := next((i for i in _path(nodes, best) if nodes[i].tag == "main"), 0)):
+        headed = {k for t in titles for k in _path(nodes, t)}
+        like = [i for i in nodes[nodes[best].parent].children if nodes[i].tag == "article" and not nodes[i].cut
+                and 2 * nodes[i].link_chars <= nodes[i].chars and (i in headed or best not in headed)]
+        if len(like) > 1:  # a main part of several articles
+            best = around
     for i in live:
         n = nodes[i]
         if n.tag in ("ul", "ol", "div", "section", "p", "table") and n.link_tags >= 3 and n.density < threshold and 2 * n.link_chars > n.chars:

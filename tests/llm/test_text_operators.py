@@ -104,6 +104,38 @@ def test_main_text_leaves_boilerplate_out():
     assert main_text.main_text("<div>" * 5000 + "deep") == "deep"
 
 
+def test_main_text_keeps_named_articles_in_main():
+    post = '<article class="post" id="p1"><h1>Title</h1><p>The first paragraph of the post.<p>And its last one.</article>'
+    want = "Title\nThe first paragraph of the post.\nAnd its last one."
+    said = "<p>I have a great deal to say about this and will say it at length here.</p>" * 20
+    links = "<ul>" + "<li><a href=x>Some other page of this site</a>" * 60 + "</ul>"
+    for other in (f'<section id="comments">{said}</section>', f'<section id="comments"><article class="c">{said}</article></section>',
+                  f'<div class="related"><article class="card"><p>Another post, in short.</article></div>', links):
+        assert main_text.main_text(f"<body><main>{post}{other}</main></body>") == want, other
+    for other in (f"<nav>{links}</nav>", f"<footer>{said}</footer>", f'<div id="comments">{said}</div>', f"<aside><article>{said}</article></aside>"):
+        assert main_text.main_text(f"<body><main>{post}</main>{other}</body>") == want, other
+    reply = '<article class="x"><p>A reply inside the article.</article>'
+    assert main_text.main_text(f"<main>{post.replace('</article>', reply + '</article>')}</main>") == want
+
+
+def test_main_text_keeps_several_articles_of_one_main():
+    posts = [f'<article class="post"><h2>Post {i}</h2><p>Words of post {i}, some of them.<p>More of it.</article>' for i in range(3)]
+    want = "\n".join(f"Post {i}\nWords of post {i}, some of them.\nMore of it." for i in range(3))
+    footer = "<footer>" + "<p>Terms, conditions and much else that nobody reads.</p>" * 30 + "</footer>"
+    assert main_text.main_text(f"<body><main>{''.join(posts)}</main>{footer}</body>") == want
+
+
+def test_main_text_keeps_pages_wrapped_in_a_form():
+    text = "<h1>Title</h1><p>Words of the page, quite a few of them.<p>And more."
+    controls = "<label>Name <input name=n></label><select><option>One</select><button>Send</button>"
+    want = "Title\nWords of the page, quite a few of them.\nAnd more."
+    for inner in (text, f"<article>{text}</article>", f"<div class=c>{text}</div>", f"<main>{text}</main>"):
+        assert main_text.main_text(f"<body><form action=x>{controls}{inner}</form></body>") == want, inner
+        assert main_text.main_text(f"<body><form action=x><nav>Menu</nav>{inner}</form><footer>{'Much small print. ' * 5}</footer></body>") == want, inner
+    assert main_text.main_text(f"<body><aside>{text}</aside></body>") == want
+    assert main_text.main_text(f"<body><article>{text}</article><form>{'Sign up for our letters. ' * 30}</form></body>") == want
+
+
 def test_main_text_query(spark):
     import re
     from html import unescape
