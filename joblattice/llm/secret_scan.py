@@ -30,14 +30,14 @@ ANNOUNCE = frozenset("token key secret password passwd pwd api apikey auth beare
 EXAMPLE = ("test", "example", "sample", "mock", "fixture", "doc", "demo")
 #: Characters whose transitions are told apart; digits count as one, all others as another.
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyz0?"
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}")
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}(?:={1,2}(?![A-Za-z0-9_+/=-]))?")
 _WORD = re.compile(r"[^\W\d_]+")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 
 FEATURES = (
     "length", "entropy", "digit_share", "upper_share", "hex", "class_changes", "transition_bits", "dictionary_share",
     "path_depth", "path_example", "announced", "announced_far", "assigned", "quoted", "after_word")
-FOUND = "start long, end long, candidate string, " + ", ".join(f"{f} double" for f in FEATURES)
+FOUND = "text_hash long, start long, end long, candidate string, " + ", ".join(f"{f} double" for f in FEATURES)
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -79,45 +79,49 @@ def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
 
 
+def _assigned(text: str, start: int) -> bool:
+    return text[max(0, start - 60):start].rstrip("\"' \t")[-1:] in ("=", ":")
+
+
 def features(text: str, start: int, end: int, path: str, known: frozenset[str], bits: dict[str, float]) -> tuple[float, ...]:
     s = text[start:end]
     n = len(s)
     plain = "".join(c if c in _SYMBOLS[:26] else "0" if c.isdigit() else "?" for c in s.lower())
     before, after = text[max(0, start - 60):start], text[end:end + 40]
     near = [w.lower() for w in _WORD.findall(before)][-5:]
-    tail = before.rstrip("\"' \t")
     return (
         float(n), -sum(k / n * log2(k / n) for k in Counter(s).values()), sum(map(str.isdigit, s)) / n, sum(map(str.isupper, s)) / n,
         float(_HEX.fullmatch(s) is not None), sum(_kind(a) != _kind(b) for a, b in zip(s, s[1:])) / (n - 1),
         sum(bits[a + b] for a, b in zip(plain, plain[1:])) / (n - 1), _covered(s, known),
         float(path.count("/")), float(any(w in path.lower() for w in EXAMPLE)),
         float(bool(near) and near[-1] in ANNOUNCE), float(any(w in ANNOUNCE for w in near)),
-        float(tail[-1:] in ("=", ":")), float(before[-1:] in ("\"", "'") and after[:1] == before[-1:]),
+        float(_assigned(text, start)), float(before[-1:] in ("\"", "'") and after[:1] == before[-1:]),
         float(bool(_WORD.match(after.lstrip("\"'., ")))))
 
 
 def candidates(docs: DataFrame, known: frozenset[str], bits: dict[str, float], key: str = "doc_id", path: str = "source", text: str = "text") -> DataFrame:
-    """A row per candidate of each whole text: key, path, place in code points, the string, and `FEATURES`.
+    """A row per candidate of each whole text: key, path, the text's hash, place in code points, the string, and `FEATURES`.
 
-    Strings of 16 characters or more that keys are made of, with a digit or at
-    least 24 long.  Null and empty texts have none; a null path is empty.
+    Strings of 16 characters or more that keys are made of, with a digit, or at
+    least 24 long, or assigned; = parts them but at the end.  Null and empty texts have
+    none; a null path is empty.
     """
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.col(text).alias("t"))
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, found = [], []
-            for i, (p, t) in enumerate(zip(b.column(1).to_pylist(), b.column(2))):
+            for i, (p, t) in enumerate(zip(b.column(1).to_pylist(), b.column(3))):
                 t = t.as_py() or ""
                 for m in _CANDIDATE.finditer(t):
-                    if len(m[0]) >= 24 or any(map(str.isdigit, m[0])):
+                    if len(m[0]) >= 24 or any(map(str.isdigit, m[0])) or _assigned(t, m.start()):
                         at.append(i)
                         found.append((m.start(), m.end(), m[0], *features(t, m.start(), m.end(), p, known, bits)))
             columns = list(zip(*found)) or [[]] * (3 + len(FEATURES))
             kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.float64()] * len(FEATURES)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at, pa.int32())), b.column(1).take(pa.array(at, pa.int32())), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                ["key", "path", "start", "end", "candidate", *FEATURES])
+                [*(b.column(i).take(pa.array(at, pa.int32())) for i in range(3)), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                ["key", "path", "text_hash", "start", "end", "candidate", *FEATURES])
 
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, path string, " + FOUND)
 
@@ -125,14 +129,15 @@ def candidates(docs: DataFrame, known: frozenset[str], bits: dict[str, float], k
 def weak_labels(found: DataFrame) -> DataFrame:
     """`found` with `label` where its makeup and repetition settle it, for corpora without reviewed findings.
 
-    1: at least 32 letters and digits in quotes, high in entropy, in one document only.  0: numbers, words that the
-    dictionary covers by half, and strings that three documents or more share.
+    1: after a word that announces a secret and a sign of assignment, high in entropy, whatever its length, quotes or
+    copies.  0: numbers, words that the dictionary covers by half, and strings low in entropy that three different texts
+    or more share; copies of a text count once.
     """
-    shared = found.groupBy("candidate").agg(F.count_distinct("key").alias("__n_docs"))
+    shared = found.groupBy("candidate").agg(F.count_distinct("text_hash").alias("__n_texts"))
     out = found.join(shared, "candidate")
-    good = (F.col("length") >= 32) & (F.col("quoted") == 1) & (F.col("entropy") >= 3) & (F.col("__n_docs") == 1)
-    bad = (F.col("digit_share") == 1) | (F.col("dictionary_share") >= 0.5) | ((F.col("__n_docs") >= 3) & (F.col("entropy") < 3))
-    return out.withColumn("label", F.when(bad, 0).when(good, 1)).drop("__n_docs")
+    good = (F.col("announced") == 1) & (F.col("assigned") == 1) & (F.col("entropy") >= 3)
+    bad = (F.col("digit_share") == 1) | (F.col("dictionary_share") >= 0.5) | ((F.col("__n_texts") >= 3) & (F.col("entropy") < 3))
+    return out.withColumn("label", F.when(bad, 0).when(good, 1)).drop("__n_texts")
 
 
 def _assembled(df: DataFrame) -> DataFrame:
@@ -142,10 +147,10 @@ def _assembled(df: DataFrame) -> DataFrame:
 def train(findings: DataFrame, most: int = SAMPLE) -> RandomForestClassificationModel | None:
     """A forest from labelled findings (`FEATURES`, label 0 or 1; other labels are ignored).
 
-    About `most` of each label, chosen by hash, in one small partition so that training repeats exactly.  None if a
-    label is missing.
+    About `most` of each label, chosen by hash among different findings, in one small partition so that training repeats
+    exactly.  None if a label is missing.
     """
-    known = findings.where(F.col("label").isin(0, 1)).select(*FEATURES, F.col("label").cast("double").alias("label"), F.xxhash64(*FEATURES).alias("h"))
+    known = findings.where(F.col("label").isin(0, 1)).select(*FEATURES, F.col("label").cast("double").alias("label"), F.xxhash64(*FEATURES).alias("h")).distinct()
     counts = {int(r[0]): r[1] for r in known.groupBy("label").count().collect()}
     if len(counts) < 2:
         return None
@@ -158,9 +163,10 @@ def train(findings: DataFrame, most: int = SAMPLE) -> RandomForestClassification
 
 
 def scan(found: DataFrame, model: RandomForestClassificationModel | None, threshold: float = THRESHOLD) -> DataFrame:
-    """`found` with `score` and `secret`; without a model all candidates stay."""
+    """`found` with `score` and `secret`; without a model all candidates stay but those labelled 0."""
     if model is None:
-        return found.withColumns({"score": F.lit(1.0), "secret": F.lit(True)})
+        stays = ~F.col("label").eqNullSafe(0) if "label" in found.columns else F.lit(True)
+        return found.withColumns({"score": stays.cast("double"), "secret": stays})
     scored = model.transform(_assembled(found)).withColumn("score", vector_to_array("probability")[1])
     return scored.withColumn("secret", F.col("score") >= threshold).drop("features", "rawPrediction", "probability", "prediction")
 
@@ -169,5 +175,5 @@ def op8(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     counts = stored(word_counts(docs), "words")
     found = stored(candidates(docs, dictionary(counts), transitions(counts)), "candidates")
-    model = train(weak_labels(found))
-    return scan(found, model).select(F.col("key").alias("doc_id"), "start", "end", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "secret")
+    labelled = stored(weak_labels(found), "labelled")
+    return scan(labelled, train(labelled)).select(F.col("key").alias("doc_id"), "start", "end", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "secret")

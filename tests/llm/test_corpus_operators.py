@@ -96,6 +96,27 @@ def test_sketches_never_miss_a_similar_set():
 
 # secrets
 
+def test_unquoted_short_and_copied_secrets(spark):
+    rng = random.Random(9)
+    make = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    upper, mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ123456789"
+    rows = []
+    for i in range(60):  # no secret in quotes, all in copies
+        line = (f"AWS_ACCESS_KEY=AKIA{make(16, upper)}", f"password: {make(9, mixed)}7{make(8, mixed)}", f"API_TOKEN={make(24, mixed)}==")[i % 3]
+        rows += [(10 * i + k, "src/app", f"some plain words here\n{line}\nand some other plain words") for k in range(4)]
+    rows += [(1000 + i, "docs/x", f"some plain words and the number {rng.randrange(10**15, 10**16)} here") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    counts = secret_scan.word_counts(docs).cache()
+    found = secret_scan.candidates(docs, secret_scan.dictionary(counts), secret_scan.transitions(counts)).cache()
+    labelled = secret_scan.weak_labels(found).cache()
+    assert labelled.where("key < 1000 and label = 1").count() == 240 and labelled.where("key < 1000").count() == 240
+    model = secret_scan.train(labelled)
+    assert model is not None
+    out = secret_scan.scan(labelled, model).collect()
+    assert len(out) == 300 and sum(r.secret == (r.key < 1000) for r in out) >= 296
+    assert not any(r.secret for r in secret_scan.scan(labelled.where("key >= 1000"), None).collect())  # no positive: numbers still go
+
+
 def test_forest_on_held_out_findings(spark):
     rng = random.Random(7)
     hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(120)]
