@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from joblattice.llm.common import stored, table, whole_text, words
 
-#: Bounds: words in the dictionary, labelled findings in the training sample.
-DICTIONARY, SAMPLE = 20_000, 5_000
+#: Share of all words, and times at least, that a word of the dictionary occurs; labelled findings in the training sample.
+SHARE, LEAST, SAMPLE = 1e-6, 3, 5_000
 TREES, DEPTH, SEED, THRESHOLD = 20, 6, 8, 0.5
 #: Words that announce a secret, and path parts that speak of examples.
 ANNOUNCE = frozenset("token key secret password passwd pwd api apikey auth bearer credential credentials private access".split())
@@ -32,12 +32,14 @@ EXAMPLE = ("test", "example", "sample", "mock", "fixture", "doc", "demo")
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyz0?"
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}(?:={1,2}(?![A-Za-z0-9_+/=-]))?")
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(r"[a-z]{4,}")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 
 FEATURES = (
     "length", "entropy", "digit_share", "upper_share", "hex", "class_changes", "transition_bits", "dictionary_share",
     "path_depth", "path_example", "announced", "announced_far", "assigned", "quoted", "after_word")
-FOUND = "text_hash long, start long, end long, candidate string, " + ", ".join(f"{f} double" for f in FEATURES)
+SEEN = tuple(f for f in FEATURES if f != "dictionary_share")
+FOUND = "text_hash long, start long, end long, candidate string, " + ", ".join(f"{f} double" for f in SEEN)
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -47,9 +49,13 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def dictionary(counts: DataFrame, most: int = DICTIONARY) -> frozenset[str]:
-    """The most frequent words of four letters or more; `most` bounds what comes to the driver."""
-    return frozenset(r[0] for r in counts.where(F.length("word") >= 4).orderBy(F.col("n").desc(), "word").limit(most).collect())
+def dictionary(counts: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
+    """(word): all words of four plain letters or more, however long, that make up at least `share` of all words.
+
+    Other letters and signs do not occur in candidates.
+    """
+    most = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("word").rlike("^[a-z]{4,}$") & (F.col("n") >= max(least, share * most))).select("word")
 
 
 def transitions(counts: DataFrame) -> dict[str, float]:
@@ -65,16 +71,57 @@ def transitions(counts: DataFrame) -> dict[str, float]:
     return out
 
 
-def _covered(s: str, known: frozenset[str]) -> float:
+def _covered(s: str, known: set[str]) -> float:
     """The share of characters in dictionary words, the longest first at each place."""
+    lengths = sorted(set(map(len, known)), reverse=True)
     s, at, hit = s.lower(), 0, 0
     while at < len(s):
-        n = next((n for n in range(min(14, len(s) - at), 3, -1) if s[at:at + n] in known), 0)
+        n = next((n for n in lengths if s[at:at + n] in known), 0)
         hit += n
         at += n or 1
     return hit / len(s)
 
 
+def coverage(strings: DataFrame, known: DataFrame) -> DataFrame:
+    """(candidate, dictionary_share) of different candidates.
+
+    Their parts between places in runs of letters, of the lengths that dictionary words have, are joined to the stored
+    dictionary.
+    """
+    lengths = sorted(r[0] for r in known.select(F.length("word")).distinct().collect())
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, str]] = []
+
+        def batch() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array((x[k] for x in held), pa.string()) for k in (0, 1)], ["candidate", "word"])
+            held.clear()
+            return out
+
+        for b in batches:
+            for c in b.column(0).to_pylist():
+                seen = set()
+                for run in _LETTERS.findall(c.lower()):
+                    for n in lengths:
+                        if n > len(run):
+                            break
+                        seen.update(run[i:i + n] for i in range(len(run) - n + 1))
+                for w in sorted(seen):
+                    held.append((c, w))
+                    if len(held) >= 10_000:
+                        yield batch()
+        yield batch()
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [_covered(c, set(w or ())) for c, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(each, pa.float64())], ["candidate", "dictionary_share"])
+
+    met = strings.mapInArrow(parts, "candidate string, word string").join(known, "word")
+    words_of = met.groupBy("candidate").agg(F.collect_list("word").alias("known"))
+    return words_of.mapInArrow(shares, "candidate string, dictionary_share double")
+
+
 def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
 
@@ -83,7 +130,8 @@ def _assigned(text: str, start: int) -> bool:
     return text[max(0, start - 60):start].rstrip("\"' \t")[-1:] in ("=", ":")
 
 
-def features(text: str, start: int, end: int, path: str, known: frozenset[str], bits: dict[str, float]) -> tuple[float, ...]:
+def features(text: str, start: int, end: int, path: str, bits: dict[str, float]) -> tuple[float, ...]:
+    """`SEEN` of one candidate: all of `FEATURES` but what the dictionary covers."""
     s = text[start:end]
     n = len(s)
     plain = "".join(c if c in _SYMBOLS[:26] else "0" if c.isdigit() else "?" for c in s.lower())
@@ -92,14 +140,14 @@ def features(text: str, start: int, end: int, path: str, known: frozenset[str],
     return (
         float(n), -sum(k / n * log2(k / n) for k in Counter(s).values()), sum(map(str.isdigit, s)) / n, sum(map(str.isupper, s)) / n,
         float(_HEX.fullmatch(s) is not None), sum(_kind(a) != _kind(b) for a, b in zip(s, s[1:])) / (n - 1),
-        sum(bits[a + b] for a, b in zip(plain, plain[1:])) / (n - 1), _covered(s, known),
+        sum(bits[a + b] for a, b in zip(plain, plain[1:])) / (n - 1),
         float(path.count("/")), float(any(w in path.lower() for w in EXAMPLE)),
         float(bool(near) and near[-1] in ANNOUNCE), float(any(w in ANNOUNCE for w in near)),
         float(_assigned(text, start)), float(before[-1:] in ("\"", "'") and after[:1] == before[-1:]),
         float(bool(_WORD.match(after.lstrip("\"'., ")))))
 
 
-def candidates(docs: DataFrame, known: frozenset[str], bits: dict[str, float], key: str = "doc_id", path: str = "source", text: str = "text") -> DataFrame:
+def candidates(docs: DataFrame, known: DataFrame, bits: dict[str, float], key: str = "doc_id", path: str = "source", text: str = "text") -> DataFrame:
     """A row per candidate of each whole text: key, path, the text's hash, place in code points, the string, and `FEATURES`.
 
     Strings of 16 characters or more that keys are made of, with a digit, or at
@@ -116,14 +164,16 @@ def candidates(docs: DataFrame, known: frozenset[str], bits: dict[str, float], k
                 for m in _CANDIDATE.finditer(t):
                     if len(m[0]) >= 24 or any(map(str.isdigit, m[0])) or _assigned(t, m.start()):
                         at.append(i)
-                        found.append((m.start(), m.end(), m[0], *features(t, m.start(), m.end(), p, known, bits)))
-            columns = list(zip(*found)) or [[]] * (3 + len(FEATURES))
-            kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.float64()] * len(FEATURES)]
+                        found.append((m.start(), m.end(), m[0], *features(t, m.start(), m.end(), p, bits)))
+            columns = list(zip(*found)) or [[]] * (3 + len(SEEN))
+            kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.float64()] * len(SEEN)]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(i).take(pa.array(at, pa.int32())) for i in range(3)), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                ["key", "path", "text_hash", "start", "end", "candidate", *FEATURES])
+                ["key", "path", "text_hash", "start", "end", "candidate", *SEEN])
 
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, path string, " + FOUND)
+    found = stored(rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, path string, " + FOUND), "found")
+    shares = coverage(found.select("candidate").distinct(), known)
+    return found.join(shares, "candidate", "left").fillna(0.0, ["dictionary_share"])
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
@@ -174,6 +224,7 @@ def scan(found: DataFrame, model: RandomForestClassificationModel | None, thresh
 def op8(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     counts = stored(word_counts(docs), "words")
-    found = stored(candidates(docs, dictionary(counts), transitions(counts)), "candidates")
+    known = stored(dictionary(counts), "dictionary")
+    found = stored(candidates(docs, known, transitions(counts)), "candidates")
     labelled = stored(weak_labels(found), "labelled")
     return scan(labelled, train(labelled)).select(F.col("key").alias("doc_id"), "start", "end", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "secret")

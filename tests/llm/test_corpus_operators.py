@@ -96,6 +96,18 @@ def test_sketches_never_miss_a_similar_set():
 
 # secrets
 
+def test_dictionary_takes_all_usual_words_of_any_length(spark):
+    names = ["".join(chr(97 + i // 26 ** k % 26) for k in range(4)) + "word" for i in range(25_000)]
+    long = "internationalizationworkinggroup"
+    counts = spark.createDataFrame([(w, 5) for w in names] + [(long, 4), ("rare", 2), ("über", 9), ("a1b2c3", 9)], "word string, n long")
+    known = secret_scan.dictionary(counts)
+    assert known.count() == 25_001
+    got = secret_scan.coverage(spark.createDataFrame([(f"{names[-1]}-{long}_12",), ("1234567890123456",)], "candidate string"), known).collect()
+    assert [(r.candidate[:4], round(r.dictionary_share * 44)) for r in got] == [(names[-1][:4], 40)]
+    more = secret_scan.dictionary(spark.createDataFrame([("seldom", 50), ("usual", 5_000), ("others", 100_000_000)], "word string, n long"))
+    assert sorted(r.word for r in more.collect()) == ["others", "usual"]
+
+
 def test_unquoted_short_and_copied_secrets(spark):
     rng = random.Random(9)
     make = lambda n, of: "".join(rng.choice(of) for _ in range(n))
