@@ -55,6 +55,15 @@ def also_listed(postings: DataFrame, ids: DataFrame) -> DataFrame:
     return asked.join(other, "dedup_key").filter(F.col("id") != F.col("asked_id")).drop("dedup_key")
 
 
+def also_listed_groups(postings: DataFrame) -> DataFrame:
+    """Every posting with its dedup key and how many other postings have it: the same job listed elsewhere.
+
+    The rows of a key are the group's members, so no posting's list is left out and no pair is built.
+    """
+    sizes = postings.filter(F.col("dedup_key").isNotNull()).groupBy("dedup_key").agg((F.count("*") - 1).alias("n_elsewhere"))
+    return lookup(postings, sizes, "dedup_key", "id").withColumn("n_elsewhere", F.coalesce("n_elsewhere", F.lit(0)))
+
+
 def same_company(postings: DataFrame, asked: DataFrame | None = None, n: int = 25) -> DataFrame:
     """For each posting asked about (all, if none named): its employer's n newest other open postings.
 

@@ -312,6 +312,12 @@ def also_listed(spark, sf_dir):
     return entities.also_listed(rows, asked).select("asked_id", "id", "status")
 
 
+@query(f"""WITH {KEYED} SELECT id, status, dedup_key, CASE WHEN dedup_key IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY dedup_key) - 1 END AS n_elsewhere FROM keyed""", ("postings",))
+def also_listed_all(spark, sf_dir):
+    """Other listings of all postings, as groups."""
+    return entities.also_listed_groups(keyed(spark, sf_dir)).select("id", "status", "dedup_key", "n_elsewhere")
+
+
 @query(f"""WITH {KEYED}, asked AS (SELECT id AS asked_id, company_key FROM keyed WHERE company_key IS NOT NULL),
 newest AS (SELECT id, company_key, posted_at_ts, row_number() OVER (PARTITION BY company_key ORDER BY posted_at_ts DESC NULLS LAST, id) AS n
 FROM keyed WHERE status = 'open' AND company_key IS NOT NULL QUALIFY n <= 26)
@@ -359,6 +365,18 @@ def company_pages(spark, sf_dir):
     return entities.company_page(keyed(spark, sf_dir), 20).select("company_key", "id", "status", "rank", "truncated")
 
 
+@query(f"""WITH {KEYED} SELECT source_id, id, rank, n > 200 AS truncated FROM (SELECT source_id, id, count(*) OVER (PARTITION BY source_id) AS n,
+row_number() OVER (PARTITION BY source_id ORDER BY {FEED_ORDER}) AS rank FROM keyed WHERE status = 'open') WHERE rank <= 200""", ("postings",))
+def source_full_pages(spark, sf_dir):
+    return entities.source_page(keyed(spark, sf_dir)).select("source_id", "id", "rank", "truncated")
+
+
+@query(f"""WITH {KEYED} SELECT company_key, id, status, rank, n > 200 AS truncated FROM (SELECT company_key, id, status, count(*) OVER (PARTITION BY company_key) AS n,
+row_number() OVER (PARTITION BY company_key ORDER BY status = 'open' DESC, {FEED_ORDER}) AS rank FROM keyed WHERE company_key IS NOT NULL) WHERE rank <= 200""", ("postings",))
+def company_full_pages(spark, sf_dir):
+    return entities.company_page(keyed(spark, sf_dir)).select("company_key", "id", "status", "rank", "truncated")
+
+
 # --- facets and summaries -----------------------------------------------------------
 
 

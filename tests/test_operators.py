@@ -311,3 +311,10 @@ def test_feed_page_reads_and_limits_early(postings, tmp_path):
     assert "TakeOrderedAndProject" in plan and "EqualTo(status,open)" in plan
     read = [line for line in plan.splitlines() if "ReadSchema" in line][0]
     assert "description" not in read.split("ReadSchema")[1]
+
+
+def test_also_listed_groups_answer_for_every_posting(spark):
+    rows = [(i, "open", f"k{i // 2}") for i in range(600)] + [(600, "closed", "k0"), (601, "open", None), (602, "open", None)]
+    got = {r.id: r.n_elsewhere for r in entities.also_listed_groups(spark.createDataFrame(rows, "id long, status string, dedup_key string")).collect()}
+    assert len(got) == 603 and got[0] == got[1] == got[600] == 2 and got[601] == got[602] == 0
+    assert all(got[i] == 1 for i in range(2, 600))
