@@ -512,14 +512,6 @@ def verification_gate(spark, sf_dir):
         "candidate", "total", "intern_count", "distinct_titles", F.array_join("sample_titles", "|").alias("sample_titles"), "name_similarity", "code")
 
 
-@query()
-def verification_gate_exact(spark, sf_dir):
-    """The same gate by Ratcliff-Obershelp similarity, which the checking engine lacks."""
-    c = given(spark, sf_dir, "customer").selectExpr(*[f"{v} AS {n}" for n, v in _GATE_NAMES.items()])
-    fetched = live(spark, sf_dir).select(F.col("source_entry").alias("candidate"), "id", "company", "title")
-    return facets.verify_gate(c, fetched).select("candidate", "name_similarity", "code", "passed")
-
-
 @query(f"SELECT source_id, id, {k.stamp('started_at')} AS started, ok FROM runs QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, id DESC) = 1", ("runs",))
 def latest_runs(spark, sf_dir):
     return facets.latest_run(bound(spark, sf_dir, "runs")).select("source_id", "id", stamp("started_at").alias("started"), "ok")

@@ -183,11 +183,6 @@ def _name_pairs(spark, sf_dir):
         F.col("n_name").alias("candidate"), F.concat(F.lower("n_name"), F.lit(" works")).alias("candidate_name"), "company")
 
 
-@query()
-def name_similarities(spark, sf_dir):
-    return name_similarity(_name_pairs(spark, sf_dir))
-
-
 @query(f"""
 SELECT candidate, max(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0
        ELSE 1 - levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE) END) AS name_similarity

@@ -31,3 +31,8 @@ def test_contract():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert sum(q.sql is None for q in QUERIES.values()) <= 3
+
+
+def test_names_are_compared_by_forms_that_sql_checks():
+    assert not {"name_similarities", "verification_gate_exact"} & set(QUERIES)
+    assert all(QUERIES[n].sql for n in ("name_edit_similarities", "verification_gate"))
