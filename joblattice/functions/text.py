@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -115,13 +116,28 @@ def _unescape(raw: pd.Series) -> pd.Series:
     return raw.map(one, na_action="ignore")
 
 
+# fixed values: the references that nearly all markup uses, and what they stand for
+_COMMON = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "nbsp": "\u00a0", "amp": "&"}
+#: A reference outside the common ones; other ampersands stand for themselves.
+_UNCOMMON = r"&(?!(?:" + "|".join(_COMMON) + r");|[\t\n\f <&;]|\z)"
+
+
 def unescape_html(c) -> Column:
     """Entities replaced until stable, three passes at most.
 
-    The full entity table has no built-in counterpart, so this is an Arrow
-    UDF; apply it after filters.
+    Common references are replaced by built-in functions.  The full table has
+    no built-in counterpart, so only texts with others go through an Arrow UDF.
     """
-    return _unescape(text_of(c))
+    t = text_of(c)
+    plain, passes = t, []
+    for _ in range(3):
+        passes.append(plain)
+        # the ampersand goes last, so that one pass replaces each reference once
+        for name, sign in _COMMON.items():
+            plain = F.replace(plain, F.lit(f"&{name};"), F.lit(sign))
+    common = reduce(lambda a, b: a & b, [~p.rlike(_UNCOMMON) for p in passes])
+    marked = t.contains("&")
+    return F.when(~marked, t).when(common, plain).otherwise(_unescape(F.when(marked & ~common, t)))
 
 
 def strip_tags(text: Column) -> Column:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from joblattice import vocab
+from joblattice.functions.similarity import with_ratio
 from joblattice.functions.text import blank_to_null, is_internship, slug, text_of
 from joblattice.operators.ranking import first_per, shown_per, top_n_per
 
@@ -182,31 +180,24 @@ def confirmation_rates(candidates: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.DoubleType())
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
-
-
 def _levenshtein_ratio(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def name_similarity(pairs: DataFrame, key: str = "candidate", native: bool = False) -> DataFrame:
+def name_similarity(pairs: DataFrame, key: str = "candidate", edits: bool = False) -> DataFrame:
     """(candidate, name_similarity): the best match among a candidate's fetched names.
 
-    Names are compared as slugs, each distinct pair once.  The ratio is
-    Ratcliff-Obershelp's, for which Spark has no function; ``native`` uses an
-    edit-distance ratio instead, which differs.
+    Names are compared as slugs, each distinct pair of slugs once, by their
+    common blocks; ``edits`` takes an edit-distance ratio instead, which differs.
     """
-    distinct = pairs.select(
-        key, slug("candidate_name").alias("a"), slug("company").alias("b"),
-    ).distinct().fillna("", ["a", "b"])
-    ratio = _levenshtein_ratio(F.col("a"), F.col("b")) if native else _similarity("a", "b")
-    return distinct.withColumn("r", ratio).groupBy(key).agg(F.max("r").alias("name_similarity"))
+    named = pairs.select(key, slug("candidate_name").alias("a"), slug("company").alias("b")).distinct()
+    distinct = named.select("a", "b").distinct()
+    ratios = distinct.withColumn("r", _levenshtein_ratio(F.col("a"), F.col("b"))) if edits else with_ratio(distinct, into="r")
+    return named.join(ratios, ["a", "b"]).groupBy(key).agg(F.max("r").alias("name_similarity"))
 
 
-def verify_gate(candidates: DataFrame, fetched: DataFrame, native: bool = False, distinct_titles: int = 2,
+def verify_gate(candidates: DataFrame, fetched: DataFrame, distinct_titles: int = 2,
                 threshold: float = vocab.NAME_MATCH_THRESHOLD, samples: int = 5) -> DataFrame:
     """Whether a candidate's trial fetch is worth trusting, and the first reason why not.
 
@@ -223,7 +214,7 @@ def verify_gate(candidates: DataFrame, fetched: DataFrame, native: bool = False,
     titles = shown.withColumn("_any", has_intern).filter(F.col("_intern") == F.col("_any")).groupBy("candidate").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "title"))), lambda t: t["title"]).alias("sample_titles"))
     named = rows.filter(text_of("company") != "").select("candidate", "company").distinct()
-    similar = name_similarity(named.join(candidates, "candidate"), "candidate", native)
+    similar = name_similarity(named.join(candidates, "candidate"))
     out = (
         candidates.join(counts, "candidate", "left").join(titles, "candidate", "left").join(similar, "candidate", "left")
         .na.fill(0, ["total", "intern_count", "distinct_titles"]).na.fill(0.0, ["name_similarity"])

@@ -7,6 +7,7 @@ rendered for Spark and for the checking SQL.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -243,24 +244,35 @@ def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 _STORED: dict[tuple, str] = {}
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all cores where their files are too few to be read by all."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def stored_once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table made and stored once per session, as a live one lies in storage, in files for all cores."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    prepare(spark)
+    if key not in _STORED:
+        path = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+        make().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A logical table over the given one, stored once per session like a live table.
 
     Postings are stored with their comparison keys, as ingest stores them, so
     scans prune columns and push filters down to the files.
     """
-    stored = (spark.sparkContext.applicationId, sf_dir, name)
-    if stored not in _STORED:
+    def make() -> DataFrame:
         source, columns = TABLES[name]
-        rows = given(spark, sf_dir, source).selectExpr(*[f"{sql} AS {c}" for c, sql in columns(Dialect())])
-        if name == "postings":
-            rows = rows.withColumns({"dedup_key": identity.dedup_key(), "company_key": identity.company_key()})
-        path = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
-        rows.write.parquet(path)
-        _STORED[stored] = path
-    else:
-        prepare(spark)
-    return spark.read.parquet(_STORED[stored])
+        rows = spread(given(spark, sf_dir, source)).selectExpr(*[f"{sql} AS {c}" for c, sql in columns(Dialect())])
+        return rows.withColumns({"dedup_key": identity.dedup_key(), "company_key": identity.company_key()}) if name == "postings" else rows
+
+    return stored_once(spark, sf_dir, name, make)
 
 
 def check_cte(name: str) -> str:

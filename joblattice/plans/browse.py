@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from joblattice import vocab
 from joblattice.operators import entities, facets, filters, maintain, ranking, search
 from joblattice.plans import checks as k
-from joblattice.plans.bindings import AS_OF, RUNS_AS_OF, as_of, bound, given
+from joblattice.plans.bindings import AS_OF, RUNS_AS_OF, as_of, bound, given, spread, stored_once
 from joblattice.plans.columns import stamp
 from joblattice.plans.feed import feed, feed_rows, feed_total
 from joblattice.plans.registry import query
@@ -228,7 +228,7 @@ for _name, _spec in _CLAIMS.items():
 
 
 def _texts(spark, sf_dir):
-    return given(spark, sf_dir, "documents").select(
+    return stored_once(spark, sf_dir, "texts", lambda: spread(given(spark, sf_dir, "documents"))).select(
         F.col("doc_id").alias("id"), F.concat_ws(" ", "source", F.substring_index("text", " ", 4)).alias("title"),
         F.col("lang").alias("location"), F.col("text").alias("description"))
 
@@ -494,21 +494,22 @@ def confirmation_rates(spark, sf_dir):
 _GATE_NAMES = {"candidate": "'board ' || CAST(c_custkey AS STRING)", "candidate_name": "CASE WHEN c_custkey % 2 = 0 THEN 'Solar Power Group' ELSE 'Acme' END"}
 
 
-@query(f"""WITH c AS (SELECT c_custkey AS k, 'board ' || c_custkey AS candidate, CASE WHEN c_custkey % 2 = 0 THEN 'solarpowergroup' ELSE 'acme' END AS a FROM customer),
+@query(f"""WITH RECURSIVE c AS (SELECT c_custkey AS k, 'board ' || c_custkey AS candidate, CASE WHEN c_custkey % 2 = 0 THEN 'solarpowergroup' ELSE 'acme' END AS a FROM customer),
 f AS (SELECT source_entry AS candidate, id, title, company, {k.has('lower(title)', vocab.INTERN_WORDS)} AS i FROM postings),
 m AS (SELECT candidate, count(*) AS total, count(*) FILTER (i) AS intern_count, count(DISTINCT title) AS distinct_titles FROM f GROUP BY candidate),
 t AS (SELECT candidate, string_agg(title, '|' ORDER BY id) AS sample_titles FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY i DESC, id) AS n,
       bool_or(i) OVER (PARTITION BY candidate) AS any_i FROM f) WHERE n <= 5 AND i = any_i GROUP BY candidate),
 b AS (SELECT candidate, a, regexp_replace(lower(company), '[^a-z0-9]', '', 'g') AS b FROM c JOIN f USING (candidate) WHERE company <> ''),
-s AS (SELECT candidate, max(1 - levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE)) AS sim FROM b GROUP BY candidate)
+pairs AS (SELECT DISTINCT a, b FROM b), {k.matched_blocks('pairs')},
+s AS (SELECT candidate, max({k.RATIO}) AS sim FROM b JOIN matched USING (a, b) GROUP BY candidate)
 SELECT candidate, coalesce(total, 0) AS total, coalesce(intern_count, 0) AS intern_count, coalesce(distinct_titles, 0) AS distinct_titles, sample_titles,
 round(coalesce(sim, 0), 2) AS name_similarity, CASE WHEN total IS NULL THEN 'zero_postings' WHEN intern_count < 1 THEN 'no_internship_titles'
-WHEN total >= 2 AND distinct_titles < 2 THEN 'not_distinct' WHEN coalesce(sim, 0) < 0.5 THEN 'name_mismatch' ELSE 'ok' END AS code
+WHEN total >= 2 AND distinct_titles < 2 THEN 'not_distinct' WHEN coalesce(sim, 0) < {vocab.NAME_MATCH_THRESHOLD} THEN 'name_mismatch' ELSE 'ok' END AS code
 FROM c LEFT JOIN m USING (candidate) LEFT JOIN t USING (candidate) LEFT JOIN s USING (candidate)""", ("postings",))
 def verification_gate(spark, sf_dir):
     c = given(spark, sf_dir, "customer").selectExpr(*[f"{v} AS {n}" for n, v in _GATE_NAMES.items()])
     fetched = live(spark, sf_dir).select(F.col("source_entry").alias("candidate"), "id", "company", "title")
-    return facets.verify_gate(c, fetched, native=True).select(
+    return facets.verify_gate(c, fetched).select(
         "candidate", "total", "intern_count", "distinct_titles", F.array_join("sample_titles", "|").alias("sample_titles"), "name_similarity", "code")
 
 

@@ -261,3 +261,23 @@ def posted_approx(raw="posted_at", seen="first_seen") -> str:
 
 def backoff(attempts: str, hours, as_of: str) -> str:
     return f"({as_of} + to_hours([{', '.join(map(str, hours))}][CAST(least({attempts} + 1, {len(hours)}) AS INT)]))"
+
+
+def matched_blocks(pairs: str) -> str:
+    """WITH items (for WITH RECURSIVE): `matched`(a, b, m), the characters of each pair of `pairs`(a, b) that lie in common blocks.
+
+    A round takes the longest common block of each open span and opens what
+    lies left and right of it.
+    """
+    size = "len(list_filter(range(1, least(ahi - i, bhi - j) + 1), lambda n: a[i + 1:i + n] = b[j + 1:j + n]))"
+    # the first block of the greatest size: size, then the smallest i, then the smallest j, as one number
+    best = f"list_max(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi), lambda j: {size} * 1000000 + (999 - i) * 1000 + (999 - j)))))"
+    look = f"SELECT a, b, alo, ahi, blo, bhi, {best} AS v FROM"
+    child = """SELECT a, b, unnest([{'alo': alo, 'ahi': 999 - v // 1000 % 1000, 'blo': blo, 'bhi': 999 - v % 1000},
+        {'alo': 999 - v // 1000 % 1000 + v // 1000000, 'ahi': ahi, 'blo': 999 - v % 1000 + v // 1000000, 'bhi': bhi}], recursive := true) FROM spans WHERE v >= 1000000"""
+    return f"""spans AS ({look} (SELECT a, b, 0 AS alo, length(a) AS ahi, 0 AS blo, length(b) AS bhi FROM {pairs} WHERE a <> '' AND b <> '')
+    UNION ALL {look} ({child}) c WHERE alo < ahi AND blo < bhi),
+    matched AS (SELECT p.a, p.b, coalesce(sum(v // 1000000), 0) AS m FROM {pairs} p LEFT JOIN spans s ON s.a = p.a AND s.b = p.b GROUP BY ALL)"""
+
+
+RATIO = "CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0 * CAST(m AS DOUBLE) / (length(a) + length(b)) END"

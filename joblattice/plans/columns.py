@@ -191,4 +191,15 @@ FROM (SELECT DISTINCT n_name AS candidate, regexp_replace(lower(n_name || ' work
 GROUP BY candidate
 """, ("postings",))
 def name_edit_similarities(spark, sf_dir):
-    return name_similarity(_name_pairs(spark, sf_dir), native=True)
+    return name_similarity(_name_pairs(spark, sf_dir), edits=True)
+
+
+@query(f"""
+WITH RECURSIVE named AS (SELECT DISTINCT n_name AS candidate, regexp_replace(lower(n_name || ' works'), '[^a-z0-9]', '', 'g') AS a,
+      regexp_replace(lower(company), '[^a-z0-9]', '', 'g') AS b FROM postings JOIN nation ON source_id % 25 = n_nationkey),
+pairs AS (SELECT DISTINCT a, b FROM named), {k.matched_blocks('pairs')}
+SELECT candidate, max({k.RATIO}) AS name_similarity FROM named JOIN matched USING (a, b) GROUP BY candidate
+""", ("postings",))
+def name_similarities(spark, sf_dir):
+    """By common blocks, as the verification gate compares names."""
+    return name_similarity(_name_pairs(spark, sf_dir))

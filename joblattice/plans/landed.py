@@ -12,7 +12,7 @@ from joblattice import vocab
 from joblattice.operators import filters, ranking
 from joblattice.plans import checks as k
 from joblattice.plans import export
-from joblattice.plans.bindings import LOCATIONS, TITLES, CheckDialect, Dialect, as_of, bound, given
+from joblattice.plans.bindings import LOCATIONS, TITLES, CheckDialect, Dialect, as_of, bound, given, spread, stored_once
 from joblattice.plans.browse import KEYED, NOW, PRESETS, keyed, live, spec_sql
 from joblattice.plans.columns import stamp
 from joblattice.plans.registry import query
@@ -34,12 +34,12 @@ HTML = "'&lt;p&gt;Team ' || o_orderpriority || ' &amp;amp; co&lt;/p&gt;'"
 PLAIN = "'Team ' || o_orderpriority || ' & co'"
 
 
-def _landed(spark, sf_dir, fields: dict, wrap, page="1"):
-    """One body per order with JOBS jobs; ``fields`` are Spark SQL of (i) per job field."""
+def _landed(spark, sf_dir, name, fields: dict, wrap, page="1"):
+    """One body per order with JOBS jobs, stored as it landed; ``fields`` are Spark SQL of (i) per job field."""
     jobs = ", ".join(f"struct({', '.join(f'{f(i)} AS {n}' for n, f in fields.items())})" for i in range(JOBS))
     entry = "to_json(named_struct('company', 'Board ' || o_custkey % 50, 'token', 't' || o_custkey, 'tenant', 't' || o_custkey, 'wd_host', 'wd5', 'site', 'ext', 'host', 'h' || o_custkey, 'job_detail_base', 'https://x.example/job', 'category', 'Retail'))"
-    return given(spark, sf_dir, "orders").selectExpr(
-        "'entry ' || o_custkey AS source_entry", f"{entry} AS entry", f"{page} AS page", f"to_json({wrap(f'array({jobs})')}) AS payload")
+    return stored_once(spark, sf_dir, f"landed-{name}", lambda: spread(given(spark, sf_dir, "orders")).selectExpr(
+        "'entry ' || o_custkey AS source_entry", f"{entry} AS entry", f"{page} AS page", f"to_json({wrap(f'array({jobs})')}) AS payload"))
 
 
 def _check(cols: dict, where: str = "true") -> str:
@@ -57,7 +57,7 @@ def _payload_query(name, fields, wrap, cols, where="true", page="1"):
 
     @query(_check({c: base[c] for c in _COMMON}, where), name=f"payload_{name}")
     def run(spark, sf_dir):
-        return payloads.normalize(_landed(spark, sf_dir, fields, wrap, page), name).select(*_COMMON)
+        return payloads.normalize(_landed(spark, sf_dir, name, fields, wrap, page), name).select(*_COMMON)
 
 
 _N = "o_orderkey * 3"
@@ -135,7 +135,7 @@ def payload_muse(spark, sf_dir):
     d = _D
     jobs = {"id": lambda i: f"o_orderkey + {i}", "name": lambda i: _title(d, i), "contents": lambda i: HTML, "company": lambda i: "struct('Acme' AS name)",
             "locations": lambda i: f"array(struct('Reno' AS name), struct({_place(d, i)} AS name))", "refs": lambda i: "struct('https://m.example' AS landing_page)"}
-    raw = _landed(spark, sf_dir, jobs, lambda a: f"struct(1 AS page_count, {a} AS results)", "o_orderkey % 10")
+    raw = _landed(spark, sf_dir, "muse", jobs, lambda a: f"struct(1 AS page_count, {a} AS results)", "o_orderkey % 10")
     raw = raw.withColumn("query_category", F.concat(F.lit("cat "), "page"))
     return payloads.normalize(raw.withColumn("page", F.col("page").cast("int")), "muse").select("id", "title", "location", "job_function")
 

@@ -39,4 +39,7 @@ def with_tables(sql: str, uses: tuple[str, ...]) -> str:
         return sql
     ctes = ", ".join(check_cte(u) for u in uses)
     rest = sql.strip()
-    return f"WITH {ctes}, {rest[5:]}" if rest[:5].upper() == "WITH " else f"WITH {ctes} {rest}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if rest.upper().startswith(start):
+            return f"{start}{ctes}, {rest[len(start):]}"
+    return f"WITH {ctes} {rest}"

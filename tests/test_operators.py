@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from joblattice.functions.similarity import with_ratio
 from joblattice.operators import entities, facets, filters, maintain, ranking, search
 from joblattice.operators.skew import lookup
 from joblattice.operators.standardize import standardize_posting
@@ -318,3 +319,12 @@ def test_also_listed_groups_answer_for_every_posting(spark):
     got = {r.id: r.n_elsewhere for r in entities.also_listed_groups(spark.createDataFrame(rows, "id long, status string, dedup_key string")).collect()}
     assert len(got) == 603 and got[0] == got[1] == got[600] == 2 and got[601] == got[602] == 0
     assert all(got[i] == 1 for i in range(2, 600))
+
+
+def test_common_block_ratio_equals_a_plain_one(spark):
+    rng = random.Random(4)
+    texts = ["", "a", "ab" * 60, "abcabba", "x" * 30, "z" * 240 + "abc", "abc" * 90] + ["".join(rng.choices("aab c1", k=rng.randrange(1, 24))) for _ in range(60)]
+    pairs = [(a, b) for a in texts for b in rng.sample(texts, 8)] + [("abc" * 90, "z" * 240 + "abc"), ("", ""), ("a", "")]
+    df = spark.createDataFrame(pairs, "a string, b string").repartition(4)
+    for r in with_ratio(df).collect():
+        assert r.ratio == pytest.approx(SequenceMatcher(None, r.a, r.b).ratio(), abs=1e-12), (r.a, r.b)

@@ -33,6 +33,6 @@ def test_contract():
     assert sum(q.sql is None for q in QUERIES.values()) <= 3
 
 
-def test_names_are_compared_by_forms_that_sql_checks():
-    assert not {"name_similarities", "verification_gate_exact"} & set(QUERIES)
-    assert all(QUERIES[n].sql for n in ("name_edit_similarities", "verification_gate"))
+def test_the_gate_and_its_name_measure_are_checked_by_sql():
+    assert all(QUERIES[n].sql for n in ("name_similarities", "name_edit_similarities", "verification_gate"))
+    assert "levenshtein" not in QUERIES["verification_gate"].sql
