@@ -132,17 +132,25 @@ def reconcile(postings: DataFrame, fresh: DataFrame, ok_sources: DataFrame, seen
     return both.select("id", *[value(c).alias(c) for c in columns if c != "id"], action.alias("action"))
 
 
-def dedup_sweep(postings: DataFrame, direct=vocab.DIRECT_PLATFORMS) -> DataFrame:
+def dedup_winners(postings: DataFrame, direct=vocab.DIRECT_PLATFORMS) -> DataFrame:
+    """(_live_key, _winner): the posting that stands for each dedup key's open and duplicate rows.
+
+    A plain aggregation, which combines before the shuffle; a window would sort
+    a hot key's rows in one task.
+    """
+    order = F.struct(identity.precedence("ats", direct).alias("p"), "first_seen", "id")
+    return postings.filter(F.col("status").isin("open", "duplicate") & F.col("dedup_key").isNotNull()).groupBy(
+        F.col("dedup_key").alias("_live_key")).agg(F.min(order)["id"].alias("_winner"))
+
+
+def dedup_sweep(postings: DataFrame, direct=vocab.DIRECT_PLATFORMS, winners: DataFrame | None = None) -> DataFrame:
     """One open posting per dedup key, the rest duplicates of it; closed rows stay closed.
 
-    The winner comes from a plain aggregation, which combines before the
-    shuffle; a window would sort a hot key's rows in one task.
+    With ``winners`` (``dedup_winners`` of some keys) only these keys are swept.
     """
     live = F.col("status").isin("open", "duplicate")
-    order = F.struct(identity.precedence("ats", direct).alias("p"), "first_seen", "id")
-    winners = postings.filter(live).groupBy(F.col("dedup_key").alias("_live_key")).agg(F.min(order)["id"].alias("_winner"))
     keyed = postings.withColumn("_live_key", F.when(live, F.col("dedup_key")))
-    met = lookup(keyed, winners, "_live_key", "id")
+    met = lookup(keyed, dedup_winners(postings, direct) if winners is None else winners, "_live_key", "id")
     first, ranked = F.col("id") == F.col("_winner"), F.col("_winner").isNotNull()
     out = _swap(met, {
         "status": F.when(ranked, F.when(first, "open").otherwise("duplicate")).otherwise(F.col("status")),

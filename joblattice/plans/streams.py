@@ -7,6 +7,7 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from joblattice import vocab
+from joblattice.operators import changes
 from joblattice.plans import checks as k
 from joblattice.plans.bindings import RUNS_AS_OF, TITLES, CheckDialect, Dialect, as_of, bound, given
 from joblattice.plans.browse import RUNS_NOW
@@ -114,13 +115,23 @@ _C = CheckDialect()
 _JOBS = f"""jobs AS (SELECT o_orderkey AS o, i, {_C.pick(TITLES, f"(o_orderkey + i) % {len(TITLES)}")} || ' ' || i AS title FROM (SELECT *, unnest([0, 1, 2]) AS i FROM orders)), rel AS (SELECT * FROM jobs WHERE {k.has('lower(title)', vocab.INTERN_WORDS)})"""
 
 
-def _ingested(spark, sf_dir, files_per_batch: int = 1):
-    """Two crawls, each page landed as a file of its own and taken in by the stream, by default in a batch of its own."""
+_INGESTED: dict[tuple, str] = {}
+
+
+def _ingested(spark, sf_dir, again: bool = False):
+    """Two crawls, each page landed as a file of its own and taken in by the stream in a batch of its own.
+
+    The folder is kept for the queries that read what the stream left there.
+    """
+    made = (spark.sparkContext.applicationId, sf_dir)
+    if made in _INGESTED and not again:
+        return _INGESTED[made]
     out = _folder(spark, "ingest")
     for later in (False, True):
         for page in (1, 2):
             _crawl(spark, sf_dir, later, page).coalesce(1).write.mode("append").parquet(f"{out}/landing")
-        ingest.ingest_stream(spark, f"{out}/landing", f"{out}/live", f"{out}/log", files_per_batch=files_per_batch, availableNow=True).awaitTermination()
+        ingest.ingest_stream(spark, f"{out}/landing", f"{out}/live", f"{out}/log", files_per_batch=1, availableNow=True).awaitTermination()
+    _INGESTED[made] = f"{out}/live"
     return f"{out}/live"
 
 
@@ -130,7 +141,7 @@ CASE WHEN i > 0 AND o % 7 > 0 THEN '2001-07-01 00:00:00' ELSE '2001-07-01 00:00:
 CASE WHEN i > 0 AND o % 7 > 0 THEN '2001-08-02 00:00:00' ELSE '2001-07-02 00:00:00' END AS last_seen FROM rel""")
 def ingest_stream(spark, sf_dir):
     """Dates are whole days, so approximate: the earlier one stays."""
-    rows = ingest.current(spark, _ingested(spark, sf_dir))
+    rows = ingest.current(spark, _ingested(spark, sf_dir, again=True))
     return rows.select("id", "status", "title", *[stamp(c).alias(c) for c in ("first_seen", "posted_at_ts", "last_seen")])
 
 
@@ -140,3 +151,51 @@ CASE WHEN o_orderkey % 7 > 0 THEN (SELECT count(*) FROM rel WHERE o = o_orderkey
 def ingest_run_log(spark, sf_dir):
     log = ingest.run_log(spark, _ingested(spark, sf_dir))
     return log.groupBy("ok").agg(F.count("*").alias("sources"), F.sum("fetched_count").alias("fetched"), F.sum("internship_count").alias("relevant"))
+
+
+_CHANGES = f"""WITH {_JOBS}, feed AS (SELECT 1 AS batch, 'greenhouse:t' || o || ':' || (o * 3 + i) AS id, o AS source_id, 'inserted' AS kind, NULL AS was, title AS now, NULL AS status_was, 'open' AS status_now FROM rel
+UNION ALL SELECT 3, 'greenhouse:t' || o || ':' || (o * 3 + i), o, CASE WHEN i = 0 THEN 'closed' ELSE 'updated' END, title, CASE WHEN i = 0 THEN title ELSE title || ' Again' END, 'open', CASE WHEN i = 0 THEN 'closed' ELSE 'open' END FROM rel WHERE o % 7 > 0)"""
+
+
+@query(f"{_CHANGES} SELECT * FROM feed")
+def posting_changes(spark, sf_dir):
+    """The change feed of the stream's batches: what each did to which posting."""
+    feed = ingest.feed(spark, _ingested(spark, sf_dir))
+    return feed.select(
+        "batch", "id", "source_id", "kind", F.col("before.title").alias("was"), F.col("after.title").alias("now"),
+        F.col("before.status").alias("status_was"), F.col("after.status").alias("status_now"))
+
+
+@query(f"{_CHANGES} SELECT 'postings_' || kind AS kind, 'Board ' || source_id AS company, count(*) || ' postings ' || kind AS detail, batch FROM feed WHERE kind <> 'updated' GROUP BY batch, source_id, feed.kind")
+def posting_activity(spark, sf_dir):
+    """Activity rows of each batch, from the feed alone."""
+    feed = ingest.feed(spark, _ingested(spark, sf_dir))
+    each = [changes.posting_events(feed.filter(F.col("batch") == n), F.lit(n)).select("kind", "company", "detail", F.col("created_at").cast("int").alias("batch")) for n in (1, 3)]
+    return each[0].unionByName(each[1])
+
+
+_NOW = f"""WITH {_JOBS}, open AS (SELECT 'Board ' || o AS company, o, CASE WHEN o % 7 > 0 THEN title || ' Again' ELSE title END AS title FROM rel WHERE i > 0 OR o % 7 = 0)"""
+_AXES = {
+    "company": "company", "category": "'Retail'", "ats": "'greenhouse'", "location": "'Reno'", "cycle_season": k.season(), "cycle_year": f"CAST({k.year()} AS VARCHAR)",
+}
+
+
+@query(f"{_NOW} " + " UNION ALL ".join(f"SELECT '{a}' AS axis, {v} AS value, count(*) AS n FROM open WHERE {v} <> '' GROUP BY 2" for a, v in _AXES.items()))
+def maintained_facets(spark, sf_dir):
+    """Facet counts kept up by signed changes batch by batch, never recounted."""
+    return changes.counted_metadata(ingest.counts(spark, _ingested(spark, sf_dir)))
+
+
+@query(f"{_NOW} SELECT count(*) AS total_open_postings, count(DISTINCT company) AS total_companies FROM open")
+def maintained_totals(spark, sf_dir):
+    return changes.counted_totals(ingest.counts(spark, _ingested(spark, sf_dir)))
+
+
+@query(f"WITH {_JOBS} SELECT o AS source_id, count(*) AS total, count(*) FILTER (i > 0 OR o % 7 = 0) AS open, CAST(1 AS BIGINT) AS companies, false AS is_aggregator FROM rel GROUP BY o")
+def maintained_sources(spark, sf_dir):
+    return changes.counted_sources(ingest.counts(spark, _ingested(spark, sf_dir)))
+
+
+@query(f"{_NOW} SELECT 'greenhouse' AS ats, count(*) AS open_postings, (SELECT count(DISTINCT o) FROM rel) AS companies, count(*) AS with_description FROM open HAVING count(*) > 0")
+def maintained_platforms(spark, sf_dir):
+    return changes.counted_platforms(ingest.counts(spark, _ingested(spark, sf_dir)))
