@@ -34,13 +34,15 @@ from pyspark.sql.window import Window
 from joblattice.llm.common import scratch, stored, table
 
 #: Bits of a chunk, positions per document and term, hashes per term, widest signature.
-CHUNK_BITS, PER_KEY, HASHES, WIDEST = 2**23, 10, 4, 2**22
+CHUNK_BITS, PER_KEY, HASHES, WIDEST = 2**23, 16, 6, 2**22
 #: Most documents of a chunk.
 CHUNK_ROWS = 8192
 #: Words that are worked on at once, and terms that a task counts before it hands its counts on.
 WORDS, TERMS = 1_000_000, 300_000
 #: Terms of a block of queries (a longer query is a block of its own), and queries of a block.
-BLOCK_TERMS, BLOCK_QUERIES = 8_000, 64
+BLOCK_TERMS, BLOCK_QUERIES = 30_000, 256
+#: So many documents for each one wanted are scored first; short ones may owe a high bound to false marks.
+LIKELY = 4
 
 #: Maximal runs of other than ASCII punctuation, space and control characters.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -312,7 +314,7 @@ _BOUND = "query int, ref long, bound long"
 
 
 def _bound_rows(index: Index, spark, block: Block, floor: np.ndarray | None, k: int) -> DataFrame:
-    """(query, ref, bound): with a floor per query, all documents at or above it and 0; else each task's k highest."""
+    """(query, ref, bound): with a floor per query, all documents at or above it and above 0; else each task's k highest."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best_refs = [np.zeros(0, np.int64) for _ in block.queries]
@@ -411,8 +413,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 50, index: Index | None
     for block in blocks(queries, index, query_key, query_text):
         if not len(block.hashes):
             continue
-        likely = _first(_bound_rows(index, spark, block, None, k), k, [F.col("bound").desc(), "ref"])
-        scores = stored(_scored(docs, likely, block, key, text), "likely")
+        some = k * LIKELY
+        likely = stored(_first(_bound_rows(index, spark, block, None, some), some, [F.col("bound").desc(), "ref"]), "likely")
+        scores = stored(_scored(docs, likely, block, key, text), "scored")
         # the k-th exact score; nothing is excluded where there are fewer
         kth = _first(scores, k, [F.col("score").desc()]).groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("s"))
         floor = np.ones(len(block.queries), np.int64)
