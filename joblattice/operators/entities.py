@@ -64,20 +64,34 @@ def also_listed_groups(postings: DataFrame) -> DataFrame:
     return lookup(postings, sizes, "dedup_key", "id").withColumn("n_elsewhere", F.coalesce("n_elsewhere", F.lit(0)))
 
 
-def same_company(postings: DataFrame, asked: DataFrame | None = None, n: int = 25) -> DataFrame:
-    """For each posting asked about (all, if none named): its employer's n newest other open postings.
+def _newest_of(postings: DataFrame, n: int) -> DataFrame:
+    open_ = postings.filter((F.col("status") == "open") & F.col("company_key").isNotNull())
+    order = [F.desc_nulls_last("posted_at_ts"), F.asc("id")]
+    return top_n_per(open_.select("id", "title", "location", "posted_at_ts", "company_key"), "company_key", order, n + 1)
+
+
+def company_lists(postings: DataFrame, n: int = 25) -> DataFrame:
+    """(company_key, newest, members, listed): each employer's newest n+1 open postings, as one list that all its postings share.
+
+    A posting's related ones are the list without itself, at most n.  Nothing is
+    written per posting: `members` counts them, `listed` those in the list.
+    """
+    short = _newest_of(postings, n).groupBy("company_key").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda p: p["id"]).alias("newest"))
+    sizes = postings.filter(F.col("company_key").isNotNull()).groupBy("company_key").agg(F.count("*").alias("members"))
+    return short.join(sizes, "company_key").withColumn("listed", F.size("newest").cast("long"))
+
+
+def same_company(postings: DataFrame, asked: DataFrame, n: int = 25) -> DataFrame:
+    """For the postings asked about (``id``): their employer's n newest other open postings.
 
     An employer's newest n+1 form one short list, looked up by each posting;
     leaving itself out, a posting has its n.
     """
-    open_ = postings.filter((F.col("status") == "open") & F.col("company_key").isNotNull())
-    order = [F.desc_nulls_last("posted_at_ts"), F.asc("id")]
-    newest = top_n_per(open_.select("id", "title", "location", "posted_at_ts", "company_key"), "company_key", order, n + 1)
-    short = newest.groupBy("company_key").agg(
+    short = _newest_of(postings, n).groupBy("company_key").agg(
         F.sort_array(F.collect_list(F.struct("rank", "id", "title", "location", "posted_at_ts"))).alias("_newest"))
     rows = postings.filter(F.col("company_key").isNotNull()).select(F.col("id").alias("asked_id"), "company_key")
-    if asked is not None:
-        rows = rows.join(asked.select(F.col("id").alias("asked_id")), "asked_id", "left_semi")
+    rows = rows.join(asked.select(F.col("id").alias("asked_id")), "asked_id", "left_semi")
     met = lookup(rows, short, "company_key", "asked_id")
     others = F.slice(F.filter("_newest", lambda p: p["id"] != F.col("asked_id")), 1, n)
     return met.select("asked_id", F.posexplode(others).alias("_at", "_p")).select(

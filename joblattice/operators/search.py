@@ -2,8 +2,8 @@
 
 The index holds one row per (term, id, field) with the term's positions.  A
 query reads only its own terms' rows; terms, and buckets of a stored index, are
-literal lists, so the scan is pruned.  Stemming strips common English endings; it is a light rule,
-not a dictionary.  Ranks add field weights, title above company above
+literal lists, so the scan is pruned.  Words are stemmed by the English suffix
+algorithm (``functions.stem``), each distinct word once.  Ranks add field weights, title above company above
 location above description.
 """
 
@@ -12,10 +12,11 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joblattice.functions.text import blank_to_null, text_of
+from joblattice.functions.stem import with_stem
+from joblattice.functions.text import text_of
 from joblattice.operators.filters import contains_any
 
 # fixed values: field weights A, B, C, D of weighted text search
@@ -31,24 +32,17 @@ STOP_WORDS = (
     "own same so than too very s t can will just don should now"
 ).split()
 
-# Each rule is tried only on words that end so: (endings, pattern, what stays).
-_ENDINGS = [
-    (["s"], r"(ss|i)es$|([^su])s$", "$1$2"),
-    (["ing", "ed"], r"^([^aeiouy]*[aeiouy].*?)(?:ing|ed)$", "$1"),
-    (list("bdfgmnprt"), r"(?:(b)b|(d)d|(f)f|(g)g|(m)m|(n)n|(p)p|(r)r|(t)t)$", "$1$2$3$4$5$6$7$8$9"),
-    (["y"], r"([^aeiou])y$", "$1i"),
-    (["e", "ment", "ion", "ions"], r"(at)ions?$|(..)(?:ment|e)$", "$1$2"),
-]
+def _stemmed(placed: DataFrame) -> DataFrame:
+    """Adds the term of each row's word; a word is stemmed once, however often it stands."""
+    # the aggregation, which needs no further shuffle, keeps tests of terms from being carried into the stages
+    vocabulary = with_stem(placed.select("word").distinct()).groupBy("word").agg(F.max("term").alias("term"))
+    return placed.join(vocabulary, "word")
 
 
-def with_stem(df: DataFrame, word: str = "word", into: str = "term") -> DataFrame:
-    """Words without their common endings, one stage per ending; the first letter always stays."""
-    out = df.withColumn(into, F.coalesce(F.col(word), F.lit("")))
-    for endings, pattern, stays in _ENDINGS:
-        w = F.col(into)
-        has = reduce(lambda a, b: a | b, [w.endswith(e) for e in endings])
-        out = out.withColumn(into, F.coalesce(F.when(has, F.regexp_replace(w, pattern, stays)).otherwise(w), F.lit("")))
-    return out
+def stems_of(spark: SparkSession, words: list[str]) -> dict[str, str]:
+    """The stems of a query's few words."""
+    rows = with_stem(spark.createDataFrame([(w,) for w in words], "word string")).collect() if words else []
+    return {r["word"]: r["term"] for r in rows}
 
 
 def words_of(text) -> Column:
@@ -69,10 +63,9 @@ def build_index(df: DataFrame, key: str = "id", weights: dict = WEIGHTS, only: l
     kept = placed.filter(~F.col("word").isin(STOP_WORDS))
     if only is not None:
         kept = kept.filter(F.substring("word", 1, 1).isin(sorted({w[0] for w in only})))
-    terms = with_stem(kept)
+    terms = _stemmed(kept)
     if only is not None:
-        wanted = with_stem(df.sparkSession.createDataFrame([(w,) for w in only], "word string")).select("term").distinct()
-        terms = terms.join(F.broadcast(wanted), "term", "left_semi")
+        terms = terms.filter(F.col("term").isin(sorted(set(stems_of(df.sparkSession, only).values()))))
     return terms.groupBy("term", key, "field").agg(
         F.max("weight").alias("weight"), F.sort_array(F.collect_list("pos")).alias("positions"),
     )
@@ -126,8 +119,9 @@ def search(index: DataFrame, q: str, texts: DataFrame | None = None, buckets: in
         return index.select("id", F.lit(0.0).alias("rank")).limit(0)
     runs = [run for g in groups for kind in ("must", "not") for run in g[kind]]
     at = {id(run): n for n, run in enumerate(runs)}
-    rows = [(n, len(run), w, i - run[0][0]) for n, run in enumerate(runs) for i, w in run]
-    wanted = with_stem(index.sparkSession.createDataFrame(rows, "run int, size int, word string, at int")).drop("word")
+    stems = stems_of(index.sparkSession, query_words(q))
+    rows = [(n, len(run), stems[w], i - run[0][0]) for n, run in enumerate(runs) for i, w in run]
+    wanted = index.sparkSession.createDataFrame(rows, "run int, size int, term string, at int")
     known = index.select("id").distinct() if texts is None else texts.select("id").distinct()
     if "bucket" in index.columns:
         # stored: the few terms of a query and their buckets become literals that reach the scan
@@ -171,3 +165,74 @@ def search_feed(df: DataFrame, index: DataFrame, q: str) -> DataFrame:
         .withColumn("search_rank", F.coalesce("rank", F.lit(0.0)))
         .drop("rank")
     )
+
+
+# --- rank by frequency and closeness ------------------------------------------
+
+# fixed values: the sum of 1/n^2, and how closeness falls with distance
+_SQUARES = 1.64493406685
+_NEAR = {"base": 1.005, "rise": 0.05, "width": 1.5, "shift": 2.0, "far": 100, "least": 1e-30}
+
+
+def placed_terms(df: DataFrame, words: list[str], key: str = "id", weights: dict = WEIGHTS) -> DataFrame:
+    """(id, term, pos, weight): where the terms of some words stand, fields counted on one after the other.
+
+    A field starts where the last word of meaning of the one before it stood.
+    """
+    fields = [f for f in weights if f in df.columns]
+    texts = df.select(key, *[words_of(f).alias(f"_{f}") for f in fields])
+
+    def last(f: str) -> Column:
+        return F.coalesce(F.array_max(F.transform(f"_{f}", lambda w, i: F.when(w.isin(STOP_WORDS), 0).otherwise(i + 1))), F.lit(0))
+
+    before, parts = F.lit(0), []
+    for f in fields:
+        parts.append(F.struct(before.alias("base"), F.lit(float(weights[f])).alias("weight"), F.col(f"_{f}").alias("words")))
+        before = before + last(f)
+    first = sorted({w[0] for w in words})
+    rows = texts.select(key, F.explode(F.array(*parts)).alias("f")).select(key, "f.base", "f.weight", F.posexplode("f.words").alias("at", "word"))
+    rows = rows.filter(~F.col("word").isin(STOP_WORDS) & F.substring("word", 1, 1).isin(first))
+    terms = sorted(set(stems_of(df.sparkSession, words).values()))
+    return _stemmed(rows).filter(F.col("term").isin(terms)).select(key, "term", (F.col("base") + F.col("at") + 1).alias("pos"), "weight")
+
+
+def rank_by_frequency(placed: DataFrame, n_terms: int, key: str = "id") -> DataFrame:
+    """(id, rank): per term its occurrences, each counting less by the square of its place in order, but the best weighted one in full.
+
+    The sum goes over the query's number of terms.
+    """
+    places = placed.groupBy(key, "term").agg(F.sort_array(F.collect_list(F.struct("pos", "weight"))).alias("p"))
+    weights = F.transform("p", lambda x: x["weight"])
+    falling = F.aggregate(F.transform(weights, lambda w, i: w / ((i + 1) * (i + 1))), F.lit(0.0), lambda a, x: a + x)
+    best = F.array_max(weights)
+    at = F.array_position(weights, best)
+    each = places.withColumn("r", (best + falling - best / (at * at)) / F.lit(_SQUARES))
+    return each.groupBy(key).agg((F.sum("r") / F.lit(float(n_terms))).alias("rank"))
+
+
+def rank_by_closeness(placed: DataFrame, key: str = "id") -> DataFrame:
+    """(id, rank): one minus what is left after each pair of places of two different terms took its share, more the closer they are."""
+    a = placed.select(key, F.col("term").alias("ta"), F.col("pos").alias("pa"), F.col("weight").alias("wa"))
+    b = placed.select(key, F.col("term").alias("tb"), F.col("pos").alias("pb"), F.col("weight").alias("wb"))
+    apart = F.abs(F.col("pa") - F.col("pb")).cast("double")
+    near = F.when(apart > _NEAR["far"], _NEAR["least"]).otherwise(
+        1.0 / (_NEAR["base"] + _NEAR["rise"] * F.exp(apart / _NEAR["width"] - _NEAR["shift"])))
+    met = a.join(b, key).filter((F.col("ta") < F.col("tb")) & (F.col("pa") != F.col("pb")))
+    share = F.sqrt(F.col("wa") * F.col("wb") * near)
+    return met.select(key, (1.0 - share).alias("left")).groupBy(key).agg((1.0 - F.product("left")).alias("rank"))
+
+
+def ranked_search(df: DataFrame, q: str, key: str = "id", weights: dict = WEIGHTS) -> DataFrame:
+    """(id, rank) of the texts that match a query.
+
+    One alternative of several terms ranks by closeness; alternatives, and a
+    single term, by frequency.  Texts found only for what they do not hold rank 0.
+    """
+    groups, words = read_query(q), query_words(q)
+    matches = search_texts(df, q, weights).select(key)
+    if not words:
+        return matches.withColumn("rank", F.lit(0.0))
+    placed = placed_terms(df.join(matches, key, "left_semi"), words, key, weights)
+    terms = len(set(stems_of(df.sparkSession, words).values()))
+    ranks = rank_by_closeness(placed, key) if len(groups) == 1 and terms > 1 else rank_by_frequency(placed, terms, key)
+    return matches.join(ranks, key, "left").withColumn("rank", F.coalesce("rank", F.lit(0.0)))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joblattice.functions import identity
-from joblattice.operators.skew import ADAPTIVE
+from joblattice.operators.skew import ADAPTIVE, spread
 from joblattice.session import shared_dir
 
 AS_OF = "2001-09-01 00:00:00"
@@ -244,12 +244,6 @@ def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 _STORED: dict[tuple, str] = {}
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """The rows over all cores where their files are too few to be read by all."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def stored_once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """A table made and stored once per session, as a live one lies in storage, in files for all cores."""
     key = (spark.sparkContext.applicationId, sf_dir, name)

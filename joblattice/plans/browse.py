@@ -7,6 +7,7 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from joblattice import vocab
+from joblattice.functions.stem import with_stem
 from joblattice.operators import entities, facets, filters, maintain, ranking, search
 from joblattice.plans import checks as k
 from joblattice.plans.bindings import AS_OF, RUNS_AS_OF, as_of, bound, given, spread, stored_once
@@ -233,15 +234,13 @@ def _texts(spark, sf_dir):
         F.col("lang").alias("location"), F.col("text").alias("description"))
 
 
-_STEM = "word"
-for _test, _pattern, _to in search._ENDINGS:
-    _STEM = k.sub(_STEM, _pattern, _to.replace("$", "\\"), "")
 INDEX = f"""texts AS (SELECT doc_id AS id, source || ' ' || array_to_string(string_split(text, ' ')[1:4], ' ') AS title, lang AS location, text AS description FROM documents),
 fields AS (SELECT id, 'title' AS field, 1.0 AS weight, title AS body FROM texts UNION ALL SELECT id, 'location', 0.2, location FROM texts
            UNION ALL SELECT id, 'description', 0.1, description FROM texts),
 listed AS (SELECT id, field, weight, regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+') AS words FROM fields),
 placed AS (SELECT id, field, weight, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM listed),
-idx AS (SELECT id, field, weight, pos, {_STEM} AS term FROM placed WHERE NOT {k.among('word', search.STOP_WORDS)})"""
+said AS (SELECT * FROM placed WHERE NOT {k.among('word', search.STOP_WORDS)}), {k.stems('said')},
+idx AS (SELECT id, field, weight, pos, term FROM said JOIN stems USING (word))"""
 
 
 @query(f"WITH {INDEX} SELECT id, field, term, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM idx GROUP BY ALL")
@@ -253,7 +252,7 @@ def text_index(spark, sf_dir):
 
 @query(f"""WITH {INDEX}, hits AS (SELECT id, term, sum(weight) AS w FROM (SELECT DISTINCT id, term, field, weight FROM idx) GROUP BY id, term)
 SELECT id, CAST(round(sum(rank), 4) AS DOUBLE) AS rank FROM (
-  SELECT id, w AS rank FROM hits WHERE term = 'fr' AND id NOT IN (SELECT id FROM hits WHERE term = 'qu')
+  SELECT id, w AS rank FROM hits WHERE term = 'fr' AND id NOT IN (SELECT id FROM hits WHERE term = 'que')
   UNION ALL SELECT a.id, a.w + b.w FROM hits a JOIN hits b USING (id) WHERE a.term = 'en' AND b.term = 'src4') GROUP BY id""")
 def text_search(spark, sf_dir):
     return search.search_texts(_texts(spark, sf_dir), "FR -que OR en src4")
@@ -276,7 +275,7 @@ def stored_index_search(spark, sf_dir):
 
 
 @query(f"""WITH {INDEX}, p AS (SELECT DISTINCT a.id, a.field, a.weight FROM idx a JOIN idx b ON a.id = b.id AND a.field = b.field AND b.pos = a.pos + 1
-  WHERE a.term = 'les' AND b.term = 'de') SELECT id, CAST(round(sum(weight) * 2, 4) AS DOUBLE) AS rank FROM p GROUP BY id""".replace("'les'", "'le'"))
+  WHERE a.term = 'les' AND b.term = 'de') SELECT id, CAST(round(sum(weight) * 2, 4) AS DOUBLE) AS rank FROM p GROUP BY id""")
 def phrase_search(spark, sf_dir):
     return search.search(search.build_index(_texts(spark, sf_dir)), '"les de"')
 
@@ -288,6 +287,32 @@ def search_with_substrings(spark, sf_dir):
     return search.search_feed(texts, search.build_index(texts), "EN").select("id", "search_rank")
 
 
+_PLACED = f"""{INDEX}, ends AS (SELECT id, coalesce(max(pos + 1) FILTER (field = 'title'), 0) AS t, coalesce(max(pos + 1) FILTER (field = 'location'), 0) AS l FROM said GROUP BY id),
+spots AS (SELECT id, term, weight, pos + 1 + CASE field WHEN 'title' THEN 0 WHEN 'location' THEN t ELSE t + l END AS pos FROM idx JOIN ends USING (id))"""
+
+
+@query(f"""WITH {_PLACED}, hits AS (SELECT id FROM spots GROUP BY id HAVING bool_or(term = 'en') AND bool_or(term = 'src4')),
+pairs AS (SELECT a.id, a.weight * b.weight AS w, abs(a.pos - b.pos) AS d FROM spots a JOIN spots b ON a.id = b.id AND a.term = 'en' AND b.term = 'src4' AND a.pos <> b.pos SEMI JOIN hits h ON h.id = a.id)
+SELECT id, round(1 - product(1 - sqrt(w * CASE WHEN d > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(d / 1.5 - 2)) END)), 6) AS rank FROM pairs GROUP BY id""")
+def closeness_ranks(spark, sf_dir):
+    return search.ranked_search(_texts(spark, sf_dir), "en src4").withColumn("rank", F.round("rank", 6))
+
+
+@query(f"""WITH {_PLACED}, n AS (SELECT id, term, weight, row_number() OVER (PARTITION BY id, term ORDER BY pos) AS i FROM spots WHERE term IN ('en', 'src4', 'ing')),
+each AS (SELECT id, term, (max(weight) + sum(weight / (i * i)) - max(weight) / pow(arg_min(i, (-weight, i)), 2)) / 1.64493406685 AS r FROM n GROUP BY id, term)
+SELECT id, round(sum(r) / 3, 6) AS rank FROM each GROUP BY id""")
+def frequency_ranks(spark, sf_dir):
+    return search.ranked_search(_texts(spark, sf_dir), "en or src4 OR ing").withColumn("rank", F.round("rank", 6))
+
+
+@query(f"""WITH {INDEX} SELECT word, term, count(*) AS n FROM said JOIN stems USING (word) GROUP BY ALL""")
+def word_stems(spark, sf_dir):
+    """Every word of the texts with its stem and how often it stands."""
+    words = _texts(spark, sf_dir).select(F.explode(F.concat(*[search.words_of(c) for c in ("title", "location", "description")])).alias("word"))
+    counts = words.filter(~F.col("word").isin(search.STOP_WORDS)).groupBy("word").agg(F.count("*").alias("n"))
+    return with_stem(counts).select("word", "term", "n")
+
+
 # --- joins ------------------------------------------------------------------------
 
 
@@ -303,27 +328,19 @@ def listing_groups(spark, sf_dir):
     return entities.listing_groups(keyed(spark, sf_dir)).select("id", "dedup_key", "group_size")
 
 
-@query(f"""WITH {KEYED}, asked AS (SELECT id AS asked_id, dedup_key FROM keyed WHERE status = 'open' ORDER BY {FEED_ORDER} LIMIT 200)
-SELECT asked_id, k.id, k.status FROM asked JOIN keyed k USING (dedup_key) WHERE k.id <> asked_id""", ("postings",))
-def also_listed(spark, sf_dir):
-    """Other listings of the feed's first page."""
-    rows = keyed(spark, sf_dir)
-    asked = rows.filter("status = 'open'").orderBy(*ranking.feed_order()).limit(200).select("id")
-    return entities.also_listed(rows, asked).select("asked_id", "id", "status")
-
-
 @query(f"""WITH {KEYED} SELECT id, status, dedup_key, CASE WHEN dedup_key IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY dedup_key) - 1 END AS n_elsewhere FROM keyed""", ("postings",))
-def also_listed_all(spark, sf_dir):
-    """Other listings of all postings, as groups."""
+def also_listed(spark, sf_dir):
+    """Other listings of every posting: its group and how many others are in it; the group's rows are the list."""
     return entities.also_listed_groups(keyed(spark, sf_dir)).select("id", "status", "dedup_key", "n_elsewhere")
 
 
-@query(f"""WITH {KEYED}, asked AS (SELECT id AS asked_id, company_key FROM keyed WHERE company_key IS NOT NULL),
-newest AS (SELECT id, company_key, posted_at_ts, row_number() OVER (PARTITION BY company_key ORDER BY posted_at_ts DESC NULLS LAST, id) AS n
-FROM keyed WHERE status = 'open' AND company_key IS NOT NULL QUALIFY n <= 26)
-SELECT asked_id, id, row_number() OVER (PARTITION BY asked_id ORDER BY n) AS rank FROM asked JOIN newest USING (company_key) WHERE id <> asked_id QUALIFY rank <= 25""", ("postings",))
+@query(f"""WITH {KEYED}, newest AS (SELECT id, company_key, row_number() OVER (PARTITION BY company_key ORDER BY posted_at_ts DESC NULLS LAST, id) AS n
+FROM keyed WHERE status = 'open' AND company_key IS NOT NULL QUALIFY n <= 26),
+lists AS (SELECT company_key, string_agg(id, ' ' ORDER BY n) AS newest FROM newest GROUP BY company_key)
+SELECT company_key, newest, count(*) AS members, count(*) FILTER (n IS NOT NULL) AS listed FROM keyed LEFT JOIN newest USING (company_key, id) JOIN lists USING (company_key) GROUP BY ALL""", ("postings",))
 def same_company(spark, sf_dir):
-    return entities.same_company(keyed(spark, sf_dir)).select("asked_id", "id", "rank")
+    """One short list per employer, and how many of its postings read it."""
+    return entities.company_lists(keyed(spark, sf_dir)).select("company_key", F.array_join("newest", " ").alias("newest"), "members", "listed")
 
 
 @query(f"""WITH {KEYED}, via AS (SELECT DISTINCT company_key, source_entry, ats, source_id FROM keyed WHERE company_key IS NOT NULL),
@@ -353,27 +370,15 @@ def seeds_not_yet_sources(spark, sf_dir):
     return entities.not_yet_sources(seeds, s)
 
 
-@query(f"""WITH {KEYED} SELECT source_id, id, rank, n > 5 AS truncated FROM (SELECT source_id, id, count(*) OVER (PARTITION BY source_id) AS n,
-row_number() OVER (PARTITION BY source_id ORDER BY {FEED_ORDER}) AS rank FROM keyed WHERE status = 'open') WHERE rank <= 5""", ("postings",))
-def source_pages(spark, sf_dir):
-    return entities.source_page(keyed(spark, sf_dir), 5).select("source_id", "id", "rank", "truncated")
-
-
-@query(f"""WITH {KEYED} SELECT company_key, id, status, rank, n > 20 AS truncated FROM (SELECT company_key, id, status, count(*) OVER (PARTITION BY company_key) AS n,
-row_number() OVER (PARTITION BY company_key ORDER BY status = 'open' DESC, {FEED_ORDER}) AS rank FROM keyed WHERE company_key IS NOT NULL) WHERE rank <= 20""", ("postings",))
-def company_pages(spark, sf_dir):
-    return entities.company_page(keyed(spark, sf_dir), 20).select("company_key", "id", "status", "rank", "truncated")
-
-
 @query(f"""WITH {KEYED} SELECT source_id, id, rank, n > 200 AS truncated FROM (SELECT source_id, id, count(*) OVER (PARTITION BY source_id) AS n,
 row_number() OVER (PARTITION BY source_id ORDER BY {FEED_ORDER}) AS rank FROM keyed WHERE status = 'open') WHERE rank <= 200""", ("postings",))
-def source_full_pages(spark, sf_dir):
+def source_pages(spark, sf_dir):
     return entities.source_page(keyed(spark, sf_dir)).select("source_id", "id", "rank", "truncated")
 
 
 @query(f"""WITH {KEYED} SELECT company_key, id, status, rank, n > 200 AS truncated FROM (SELECT company_key, id, status, count(*) OVER (PARTITION BY company_key) AS n,
 row_number() OVER (PARTITION BY company_key ORDER BY status = 'open' DESC, {FEED_ORDER}) AS rank FROM keyed WHERE company_key IS NOT NULL) WHERE rank <= 200""", ("postings",))
-def company_full_pages(spark, sf_dir):
+def company_pages(spark, sf_dir):
     return entities.company_page(keyed(spark, sf_dir)).select("company_key", "id", "status", "rank", "truncated")
 
 

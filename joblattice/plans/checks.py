@@ -281,3 +281,47 @@ def matched_blocks(pairs: str) -> str:
 
 
 RATIO = "CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0 * CAST(m AS DOUBLE) / (length(a) + length(b)) END"
+
+
+def stems(words: str) -> str:
+    """WITH items: `stems`(word, term) of the words of `words`(word), the English suffix steps one after the other."""
+    from joblattice.functions import stem
+
+    def end(options) -> str:
+        return "'(" + "|".join(sorted(options, key=len, reverse=True)) + ")$'"
+
+    def cut(n: str, w: str = "w") -> str:
+        return f"left({w}, length({w}) - {n})"
+
+    def swaps(table: dict) -> str:
+        return "CASE s " + " ".join(f"WHEN {lit(a)} THEN {lit(b)}" for a, b in table.items()) + " END"
+
+    r1, r2 = "s <> '' AND length(w) - length(s) >= p1", "s <> '' AND length(w) - length(s) >= p2"
+    short = f"'{stem.SHORT}'"
+    region = f"'{stem.REGION}'"
+    own = "CASE word " + " ".join(f"WHEN {lit(a)} THEN {lit(b)}" for a, b in stem.IRREGULAR.items()) + " END"
+
+    def found(options) -> str:
+        return f"regexp_extract(w, {end(options)}, 1) AS s"
+
+    return f"""t0 AS (SELECT DISTINCT word, regexp_replace(regexp_replace(word, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS w FROM {words}),
+    t1 AS (SELECT *, CASE WHEN regexp_matches(w, '^({"|".join(stem.PREFIXES)})') THEN length(regexp_extract(w, '^({"|".join(stem.PREFIXES)})'))
+        WHEN regexp_matches(w, {region}) THEN length(regexp_extract(w, {region})) ELSE length(w) END AS p1 FROM t0),
+    t2 AS (SELECT *, CASE WHEN regexp_matches(substr(w, p1 + 1), {region}) THEN p1 + length(regexp_extract(substr(w, p1 + 1), {region})) ELSE length(w) END AS p2,
+        {found(["sses", "ied", "ies", "us", "ss", "s"])} FROM t1),
+    t3 AS (SELECT word, p1, p2, CASE WHEN s = 'sses' THEN {cut("2")} WHEN s IN ('ied', 'ies') THEN CASE WHEN length(w) > 4 THEN {cut("2")} ELSE {cut("1")} END
+        WHEN s = 's' AND regexp_matches(w, '[aeiouy].+s$') THEN {cut("1")} ELSE w END AS w FROM t2),
+    t4 AS (SELECT *, {among("w", stem.KEPT)} AS kept, {found(["eedly", "ingly", "edly", "eed", "ing", "ed"])} FROM t3),
+    t5 AS (SELECT *, CASE WHEN s <> '' AND s NOT IN ('eed', 'eedly') AND regexp_matches({cut("length(s)")}, '[aeiouy]') THEN {cut("length(s)")} END AS b FROM t4),
+    t6 AS (SELECT word, p1, p2, kept, w AS w_kept, CASE WHEN s IN ('eed', 'eedly') THEN CASE WHEN {r1} THEN {cut("length(s)")} || 'ee' ELSE w END WHEN b IS NULL THEN w
+        WHEN regexp_matches(b, '(at|bl|iz)$') THEN b || 'e' WHEN regexp_matches(b, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN {cut("1", "b")}
+        WHEN length(b) = p1 AND regexp_matches(b, {short}) THEN b || 'e' ELSE b END AS w FROM t5),
+    t7 AS (SELECT * EXCLUDE (w), CASE WHEN regexp_matches(w, '.[^aeiouy][yY]$') THEN {cut("1")} || 'i' ELSE w END AS w FROM t6),
+    t8 AS (SELECT *, {found(stem.STEP2)} FROM t7),
+    t9 AS (SELECT * EXCLUDE (w, s), CASE WHEN {r1} AND (s <> 'ogi' OR w LIKE '%logi') AND (s <> 'li' OR regexp_matches(w, '[cdeghkmnrt]li$')) THEN {cut("length(s)")} || {swaps(stem.STEP2)} ELSE w END AS w FROM t8),
+    t10 AS (SELECT *, {found(stem.STEP3)} FROM t9),
+    t11 AS (SELECT * EXCLUDE (w, s), CASE WHEN {r1} AND (s <> 'ative' OR {r2}) THEN {cut("length(s)")} || {swaps(stem.STEP3)} ELSE w END AS w FROM t10),
+    t12 AS (SELECT *, {found(stem.STEP4)} FROM t11),
+    t13 AS (SELECT * EXCLUDE (w, s), CASE WHEN {r2} AND (s <> 'ion' OR regexp_matches(w, '[st]ion$')) THEN {cut("length(s)")} ELSE w END AS w FROM t12),
+    t14 AS (SELECT * EXCLUDE (w), CASE WHEN w LIKE '%e' AND (length(w) > p2 OR (length(w) > p1 AND NOT regexp_matches({cut("1")}, {short}))) OR w LIKE '%ll' AND length(w) > p2 THEN {cut("1")} ELSE w END AS w FROM t13),
+    stems AS (SELECT word, coalesce({own}, CASE WHEN length(word) <= 2 THEN word END, replace(CASE WHEN kept THEN w_kept ELSE w END, 'Y', 'y')) AS term FROM t14)"""

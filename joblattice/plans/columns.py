@@ -105,14 +105,11 @@ def _unescaped(expr: str) -> str:
 
 _TAGLESS = k.sub(_unescaped("html"), "<[^>]+>", " ")
 scalar("unescaped_pages", lambda: {"plain": F.md5(text.unescape_html("html"))}, {"plain": f"md5({_unescaped('html')})"}, "pages", "page_id")
-scalar("stripped_pages", lambda: {"plain": text.strip_html("html", 600)}, {"plain": f"substring({k.squeeze(_TAGLESS)}, 1, 600)"}, "pages", "page_id")
-scalar("whole_stripped_pages", lambda: {"plain": text.strip_html("html")}, {"plain": k.squeeze(_TAGLESS)}, "pages", "page_id")
+scalar("stripped_pages", lambda: {"plain": text.strip_html("html")}, {"plain": k.squeeze(_TAGLESS)}, "pages", "page_id")
 _DISPLAY = k.sub(_unescaped("html"), r"<li\b[^>]*>", "\n• ", "gi")
 _DISPLAY = k.sub(_DISPLAY, r"</(?:p|div|li|ul|ol|h[1-6]|tr|table|section|article|blockquote)\s*>|<br\s*/?>", "\n", "gi")
 _DISPLAY = k.sub(k.sub(k.sub(k.sub(_DISPLAY, "<[^>]+>"), r"[ \t\r\f\p{Z}]+", " "), " *\n *", "\n"), r"\n{3,}", "\n\n")
-scalar("page_texts", lambda: {"plain": text.display_text("html", 40000), "n": F.length(text.display_text("html", 40000))},
-       {"plain": f"substring({k.strip(_DISPLAY)}, 1, 40000)", "n": f"length(substring({k.strip(_DISPLAY)}, 1, 40000))"}, "pages", "page_id")
-scalar("whole_page_texts", lambda: {"plain": text.display_text("html"), "n": F.length(text.display_text("html"))},
+scalar("page_texts", lambda: {"plain": text.display_text("html"), "n": F.length(text.display_text("html"))},
        {"plain": k.strip(_DISPLAY), "n": f"length({k.strip(_DISPLAY)})"}, "pages", "page_id")
 scalar("gone_pages", lambda: {"gone": text.is_gone_page(F.concat("text", F.when(F.col("doc_id") % 5 == 0, " This Posting has EXPIRED").otherwise("")))},
        {"gone": "regexp_matches(lower(text), '" + "|".join(k.esc(p).replace("'", "''") for p in vocab.GONE_PHRASES) + "') OR doc_id % 5 = 0"}, "documents", "doc_id")

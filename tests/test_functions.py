@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from joblattice.functions.stem import with_stem
 from joblattice.functions import classify, cycle, dates, identity, places, text, titles
 
 SEEN = datetime(2026, 8, 1, 12, 0)
@@ -214,3 +215,36 @@ def test_detail_urls(pairs):
     ], "i string, t string, h string, s string", build)
     check(pairs, [(("workday:a:b:/x", "https://a.wd12.myworkdayjobs.com/b"), "https://a.wd12.myworkdayjobs.com/wday/cxs/a/b/x")],
           "i string, u string", identity.workday_liveness_url("i", "u"))
+
+
+STEMS = """consign:consign consigned:consign consigning:consign consignment:consign consist:consist consisted:consist consistency:consist
+consistent:consist consistently:consist consisting:consist consists:consist consolation:consol consolations:consol consolatory:consolatori
+console:consol consoled:consol consoles:consol consolidate:consolid consolidated:consolid consolidating:consolid consoling:consol
+consolingly:consol consols:consol consonant:conson consort:consort consorted:consort consorting:consort conspicuous:conspicu
+conspicuously:conspicu conspiracy:conspiraci conspirator:conspir conspirators:conspir conspire:conspir conspired:conspir conspiring:conspir
+constable:constabl constables:constabl constance:constanc constancy:constanc constant:constant knack:knack knackeries:knackeri knacks:knack
+knave:knave knaves:knave knavish:knavish kneaded:knead kneading:knead knee:knee kneel:kneel kneeled:kneel kneeling:kneel kneels:kneel
+knees:knee knell:knell knelt:knelt knew:knew knife:knife knight:knight knightly:knight knights:knight knit:knit knits:knit knitted:knit
+knitting:knit knives:knive knob:knob knobs:knob knock:knock knocked:knock knocker:knocker knockers:knocker knocking:knock knocks:knock
+knot:knot knots:knot caresses:caress ponies:poni ties:tie caress:caress cats:cat gas:gas gaps:gap kiwis:kiwi feed:feed agreed:agre
+plastered:plaster bled:bled motoring:motor sing:sing conflated:conflat troubled:troubl sized:size hopping:hop tanned:tan falling:fall
+hissing:hiss fizzed:fizz failing:fail filing:file happy:happi sky:sky cry:cri by:by say:say relational:relat conditional:condit
+rational:ration valency:valenc hesitancy:hesit digitizer:digit conformably:conform radically:radic differently:differ vilely:vile
+analogously:analog vietnamization:vietnam predication:predic operator:oper feudalism:feudal decisiveness:decis hopefulness:hope
+callousness:callous formality:formal sensitivity:sensit sensibility:sensibl triplicate:triplic formative:format formalize:formal
+electricity:electr electrical:electr hopeful:hope goodness:good revival:reviv allowance:allow inference:infer airliner:airlin
+gyroscopic:gyroscop adjustable:adjust defensible:defens irritant:irrit replacement:replac adjustment:adjust dependent:depend adoption:adopt
+communism:communism activate:activ angularity:angular homologous:homolog effective:effect bowdlerize:bowdler probate:probat rate:rate
+cease:ceas controlling:control roll:roll skis:ski skies:sky dying:die lying:lie tying:tie idly:idl gently:gentl ugly:ugli early:earli
+only:onli singly:singl news:news howe:howe atlas:atlas cosmos:cosmos bias:bias andes:andes inning:inning innings:inning outing:outing
+herring:herring proceed:proceed exceed:exceed succeed:succeed generate:generat generates:generat general:general generally:general
+communication:communic arsenal:arsenal interns:intern internship:internship internships:internship engineering:engin engineer:engin
+logistics:logist supply:suppli chains:chain summer:summer data:data science:scienc sciences:scienc marketing:market"""
+
+
+def test_stems_of_known_words(spark):
+    known = dict(p.split(":") for p in STEMS.split())
+    rows = [(w,) for w in known] + [(None,), ("",), ("ab",), ("日本",), ("x9ing",)]
+    got = {r.word: r.term for r in with_stem(spark.createDataFrame(rows, "word string")).collect()}
+    assert {w: got[w] for w in known} == known
+    assert got[None] == got[""] == "" and got["ab"] == "ab" and got["日本"] == "日本"

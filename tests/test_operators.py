@@ -222,7 +222,7 @@ def test_same_company_leaves_itself_out(postings):
         return [r["id"] for r in sorted(open_, key=lambda r: (r["posted_at_ts"] is None, far - (r["posted_at_ts"] or far), r["id"]))][:5]
 
     got = {}
-    for r in entities.same_company(postings, n=5).orderBy("asked_id", "rank").collect():
+    for r in entities.same_company(postings, postings.select("id"), n=5).orderBy("asked_id", "rank").collect():
         got.setdefault(r["asked_id"], []).append(r["id"])
     assert all(got[r["id"]] == newest(r["company_key"], r["id"]) for r in rows)
 
