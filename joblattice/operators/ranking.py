@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from joblattice.operators.filters import ready
+from joblattice.session import shared_dir
 
 PAGE_MAX = 5000
 
@@ -74,11 +76,31 @@ def top_n_per(df: DataFrame, key, order: list[Column], n: int, rank: str = "rank
     return numbered.filter(F.col(rank) <= n)
 
 
+def numbered(df: DataFrame, key: str, order: list[Column], rank: str = "rank") -> DataFrame:
+    """All rows with their number within their group, from 1, however large a group is.
+
+    Rows are dealt by range over key and order, so a hot group spans many
+    tasks, and stored as dealt; each stretch is numbered by itself and starts
+    where the counts of the group's stretches before it end.  ``order`` should
+    end in a unique column.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/numbered-{uuid4().hex}"
+    df.repartitionByRange(F.asc(key), *order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    # a row per group and stretch, as many as tasks at most for one group
+    counts = dealt.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_part")) - F.col("_n")
+    starts = counts.select(F.col(key).alias("_key"), F.col("_part").alias("_at"), before.alias("_before"))
+    mine = dealt.withColumn("_mine", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)))
+    met = mine.join(starts, mine[key].eqNullSafe(starts["_key"]) & (mine["_part"] == starts["_at"]))
+    return met.select(*df.columns, (F.col("_before") + F.col("_mine")).cast("int").alias(rank))
+
+
 def shown_per(df: DataFrame, key: str, order: list[Column], n: int | None) -> DataFrame:
     """Rows of each group with their rank, and `truncated`: whether n left any out.  All rows if n is None."""
     if n is None:
-        whole = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-        return df.withColumns({"rank": whole, "truncated": F.lit(False)})
+        return numbered(df, key, order).withColumn("truncated", F.lit(False))
     sizes = df.groupBy(key).agg((F.count("*") > n).alias("truncated"))
     return top_n_per(df, key, order, n).join(sizes, key)
 

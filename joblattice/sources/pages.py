@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joblattice.functions.text import SNIPPET, as_col, blank_to_null, display_text, strip_html, text_of
 from joblattice.schema import POSTING_COLUMNS
+from joblattice.operators.ranking import numbered
 
 # fixed values: the marks of linked data, microdata and job addresses in a page
 _LD_JSON = r"""(?s)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
@@ -100,10 +101,9 @@ def extract_sitemap_urls(files: DataFrame, roots: DataFrame, max_pages: int | No
     own = F.col("max_pages").cast("int") if "max_pages" in roots.columns else F.lit(None).cast("int")
     most = F.coalesce(own, F.lit(max_pages).cast("int"))
     found = sitemap_locs(files, roots, children).join(roots.select("source_entry", "url_pattern", most.alias("_most")), "source_entry")
-    w = Window.partitionBy("source_entry").orderBy("child", "pos")
+    kept = found.filter(F.col("loc").contains(F.col("url_pattern")))
     return (
-        found.filter(F.col("loc").contains(F.col("url_pattern")))
-        .withColumn("rank", F.row_number().over(w))
+        numbered(kept, "source_entry", [F.asc("child"), F.asc("pos")])
         .filter(F.col("_most").isNull() | (F.col("rank") <= F.col("_most")))
         .select("source_entry", "rank", F.col("loc").alias("url"))
     )

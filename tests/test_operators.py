@@ -328,3 +328,15 @@ def test_common_block_ratio_equals_a_plain_one(spark):
     df = spark.createDataFrame(pairs, "a string, b string").repartition(4)
     for r in with_ratio(df).collect():
         assert r.ratio == pytest.approx(SequenceMatcher(None, r.a, r.b).ratio(), abs=1e-12), (r.a, r.b)
+
+
+def test_numbering_spreads_a_hot_group(spark):
+    rows = [("hot" if i % 3 else None if i % 2 else f"k{i % 5}", (i * 7919) % 3000, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "key string, at int, id int").repartition(4)
+    want, seen = {}, {}
+    for k, a, i in sorted(rows, key=lambda r: (-r[1], r[2])):
+        seen[k] = want[i] = seen.get(k, 0) + 1
+    out = ranking.numbered(df, "key", [F.desc("at"), F.asc("id")])
+    assert {r.id: r["rank"] for r in out.collect()} == want and out.columns == ["key", "at", "id", "rank"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "_part" in plan and ranking.numbered(df.limit(0), "key", [F.asc("id")]).count() == 0
