@@ -25,10 +25,23 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar ones, that of the smallest id; rows without an id stay."""
-    docs = docs.select(*COLUMNS)
-    gone = ngram_join.join(docs).where("id <> component_id").select(F.col("id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "leftanti")
+    """One row of each component of similar ones: that of the smallest id, then of the smallest hash of id and text.
+
+    Rows are told apart by id and text, so two texts under one id are two rows,
+    equal rows are copies of which one stays, and rows without an id come last.
+    Rows without words are linked with nothing and all stay.
+    """
+    docs = docs.select(*COLUMNS).withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = ngram_join.join(docs.select("_row", "text"), key="_row").select(
+        F.col("id").alias("_row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_component")).distinct()
+    named = docs.groupBy("_row").agg(F.min("doc_id").alias("_id"), F.count("*").alias("_copies")).join(found, "_row")
+    first = named.where("_component IS NOT NULL").groupBy("_component").agg(
+        F.min_by("_row", F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_row"))
+    single = named.where("_component IS NULL").select("_row", F.lit(1).alias("_copies")).unionByName(
+        first.join(named.select("_row", "_copies"), "_row").select("_row", F.col("_copies").cast("int")))
+    kept = docs.join(single, "_row")
+    # only rows that occur more than once are dealt by their hash
+    return kept.where("_copies = 1").unionByName(kept.where("_copies > 1").dropDuplicates(["_row"])).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
