@@ -16,7 +16,11 @@ groups of copies, passages that many documents share), each is compared with
 the smallest and the middle set only, and two sets are let off if their other keys must bring
 them together should they be similar: a set of which too many keys are common
 takes part in a second round, in which what the links so far have not put into
-one component is compared.  Equal sets are one set throughout.
+one component is compared.  There, keys with the same members are one key, and
+each set brings the parities of its shingles as a row of bits: the bits in which
+two such rows differ bound the symmetric difference from below, so that of the
+many pairs at a crowded key only those that may be similar become rows.  Equal
+sets are one set throughout.
 
 Exact up to coincidences of 64-bit hashes.
 """
@@ -24,6 +28,7 @@ Exact up to coincidences of 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain, combinations
 
 import numpy as np
@@ -42,6 +47,10 @@ SMALL = 256
 GROUP = 16
 #: Keys in a range, and documents in a packed row.
 RANGE, PACK = 1_000_000, 8192
+#: Most bits of a set's row of parities in the second round.
+BITS = 2048
+#: Keys before each that a set brings along there, so that a pair that met just before is no row again.
+BEFORE = 8
 _U64 = np.uint64
 _KEY = _U64((1 << 40) - 1)
 _STEP = _U64(0x9E3779B97F4A7C15)
@@ -329,16 +338,11 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     both = pairs.select("a", "b").join(held.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(
         held.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
-    def unpacked(x: bytes) -> np.ndarray:
-        out = np.zeros((len(x) // 6, 8), np.uint8)
-        out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
-        return out.view("<u8").ravel()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = unpacked(x.as_py()), unpacked(y.as_py())
+                x, y = _unpacked(x.as_py()), _unpacked(y.as_py())
                 z = np.sort(np.concatenate([x, y]))
                 keep.append(linked(len(x), len(y), int((z[1:] == z[:-1]).sum())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -371,37 +375,85 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def mostly_common(met: DataFrame) -> DataFrame:
-    """(b: key, a: set, na, level, k: the set's common keys) of sets whose other keys need not bring similar sets to them.
+    """(b: key, a: set, na, level, k: the set's common keys, before) of sets whose other keys need not bring similar sets to them.
 
     As such sets must share many of their common keys, the rarest few of each
-    are enough for two of them to meet, in an order that all follow.
+    are enough for two of them to meet, in an order that all follow.  Keys with
+    the same members stand together in that order and come out as one, a hash of
+    the members; should two lists of members share a hash, more sets meet.
+    `before` holds the set's keys that come just before this one: two sets that
+    have one of them in common meet there already.
     """
     common = met.where(F.col("kind") == COMMON).select("a", "b", "na", "level")
-    common = common.join(common.groupBy("b").agg(F.count(F.lit(1)).alias("size")), "b")
+    members = F.xxhash64(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "level")), F.bit_xor(F.xxhash64("level", "a")))
+    common = common.join(common.groupBy("b").agg(F.count(F.lit(1)).alias("size"), members.alias("members")), "b")
     mine = Window.partitionBy("a", "level")
+    ordered = mine.orderBy("size", "members", "b")
     least = F.ceil(F.col("na") * 0.75)
     least = F.when(F.col("level") == 0, least).otherwise(_spare(least))
-    return common.withColumns({
-        "k": F.count(F.lit(1)).over(mine), "at": F.row_number().over(mine.orderBy("size", "b")),
-    }).where((F.col("k") >= least) & (F.col("at") <= F.col("k") - least + 1)).select("b", "a", "na", "level", "k")
+    first = common.withColumns({
+        "k": F.count(F.lit(1)).over(mine), "at": F.row_number().over(ordered), "last": F.lag("members").over(ordered),
+    }).where((F.col("k") >= least) & (F.col("at") <= F.col("k") - least + 1) & ~F.col("members").eqNullSafe(F.col("last")))
+    before = F.collect_list("members").over(mine.orderBy("size", "members").rowsBetween(-BEFORE, -1))
+    return first.select(F.col("members").alias("b"), "a", "na", "level", "k", before.alias("before"))
+
+
+def parities(held: DataFrame, asked: DataFrame) -> DataFrame:
+    """(a, level, p0 .. ): per set and level asked for a row of bits; each hash of the set turns one of them.
+
+    A hash that only one of two sets has turns one bit of the difference, so as
+    many bits as differ, hashes differ at least.  Rows are longer on higher
+    levels, up to `BITS`; unused bits are 0.  Sets much larger than that differ
+    in too few bits to be told apart, which only makes more rows.
+    """
+    names = [f"p{i}" for i in range(BITS // 64)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_unpacked(x.as_py()) for x in batch.column(2)]
+            width = np.minimum(BITS, 512 << np.minimum(batch.column(1).to_numpy(), 16).astype(np.int64)).astype(_U64)
+            each = [len(s) for s in found]
+            bit = (np.concatenate([*found, np.zeros(0, _U64)]) % np.repeat(width, each)).astype(np.int64)
+            owner = np.repeat(np.arange(len(found)), each)
+            odd = (np.bincount(owner * BITS + bit, minlength=len(found) * BITS) & 1).astype(np.uint8)
+            rows = np.packbits(odd).view("<i8").reshape(len(found), -1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c) for c in rows.T.copy()]], ["a", "level", *names])
+
+    texts = asked.join(held.withColumnRenamed("set", "a"), "a").select("a", "level", "shingles")
+    return texts.mapInArrow(run, "a long, level int, " + ", ".join(f"{n} long" for n in names))
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
-def second_round(common: DataFrame, so_far: DataFrame) -> DataFrame:
+def second_round(common: DataFrame, so_far: DataFrame, held: DataFrame) -> DataFrame:
     """Pairs (a, b) that only common keys could bring together and that are not in one component yet.
 
     Of the sets at a common key those of its largest component are compared with
-    the others, not with each other.
+    the others, not with each other, and only pairs whose parities differ in no
+    more bits than similar sets have different hashes become rows, at the first
+    of each run of keys that they share.
     """
     left = stored(common.join(so_far.select(F.col("set").alias("a"), "component"), "a", "left").select(
-        "b", "a", "na", "k", "level", F.coalesce("component", "a").alias("c")), "common")
+        "b", "a", "na", "k", "level", "before", F.coalesce("component", "a").alias("c")), "common")
     sizes = left.groupBy("b", "c").count()
     main = sizes.groupBy("b").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    left = stored(left.join(main, "b"), "common")
+    left = left.join(main, "b")
+    bits = [f"p{i}" for i in range(BITS // 64)]
+    rows = stored(parities(held, common.select("a", "level").distinct()), "parities")
+    left = stored(left.join(rows, ["a", "level"]), "common")
     x, y = left.where("c <> main").alias("x"), left.alias("y")
     met = x.join(y, F.expr("x.b = y.b and x.c <> y.c and (y.c = y.main or x.a < y.a)"))
     enough = F.least("x.k", "y.k") >= _needed("x.level", F.col("x.na"), F.col("y.na"))
     near = 4 * F.least("x.na", "y.na") >= 3 * F.greatest("x.na", "y.na")
-    return met.where(enough & near).select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in bits])
+    alike = 7 * differ <= F.col("x.na") + F.col("y.na")
+    # a lambda keeps the condition out of the join's one long method, which would be too long to be compiled
+    first = ~F.exists("x.before", lambda k: F.array_contains("y.before", k))
+    return met.where(enough & near & alike & first).select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
 
 
 def _spare(n):
@@ -425,7 +477,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     held = shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("set")).union(common.select("a")), docs, reps, key, text)
     links = stored(verified(pairs, held), "links")
     so_far = stored(components(links), "components")
-    more = second_round(common, so_far).join(pairs, ["a", "b"], "leftanti")
+    more = second_round(common, so_far, held).join(pairs, ["a", "b"], "leftanti")
     more = stored(verified(stored(more, "pairs"), held), "links")
     if more.limit(1).count():
         so_far = stored(components(links.union(more)), "components")
