@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from joblattice import vocab
 from joblattice.functions.stem import with_stem
-from joblattice.operators import entities, facets, filters, maintain, ranking, search
+from joblattice.operators import entities, facets, filters, maintain, ranking, search, subscriptions
 from joblattice.plans import checks as k
 from joblattice.plans.bindings import AS_OF, RUNS_AS_OF, as_of, bound, given, spread, stored_once
 from joblattice.plans.columns import stamp
@@ -90,6 +90,12 @@ def preset_membership(spark, sf_dir):
     return filters.apply_presets(live(spark, sf_dir), PRESETS, as_of()).select("id", "preset")
 
 
+@query(" UNION ALL ".join(f"SELECT id, '{n}' AS preset FROM postings WHERE {spec_sql(s)}" for n, s in PRESETS.items()), ("postings",))
+def preset_subscriptions(spark, sf_dir):
+    rows = subscriptions.preset_rows(spark, PRESETS)
+    return subscriptions.apply_subscriptions(live(spark, sf_dir), rows, as_of()).select("id", "preset")
+
+
 @query("SELECT id FROM postings WHERE category = 'Retail' AND job_function = 'Data Science' AND work_arrangement = 'onsite'", ("postings",))
 def axis_filters(spark, sf_dir):
     return filters.axis_filter(live(spark, sf_dir), "Retail", "Data Science", " OnSite ").select("id")
