@@ -54,7 +54,9 @@ def apply_subscriptions(postings: DataFrame, presets: DataFrame, as_of: Column,
     """
     text = F.concat_ws(" ", text_of("title"), text_of("description_snippet"))
     words = presets.select("preset", F.explode(F.array_distinct(F.transform(_filled("keywords_any"), F.lower))).alias("word"))
-    parts = words.select("word").distinct().select("word", F.explode(_runs(F.col("word"))).alias("run"))
+    runs = _runs(F.col("word"))
+    wordy = F.filter(runs, lambda r: r.rlike(f"[{WORD}]"))  # blanks are in nearly every text: only words of nothing else need such runs
+    parts = words.select("word").distinct().select("word", F.explode(F.when(F.size(wordy) > 0, wordy).otherwise(runs)).alias("run"))
     said = postings.select(F.col(key).alias("key"), F.explode(_runs(text)).alias("run")).join(parts.select("run").distinct(), "run")
     often = said.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
     # a word of which a run is nowhere cannot be found, and its rarest run is that one
