@@ -82,8 +82,8 @@ def company_lists(postings: DataFrame, n: int = 25) -> DataFrame:
     return short.join(sizes, "company_key").withColumn("listed", F.size("newest").cast("long"))
 
 
-def same_company(postings: DataFrame, asked: DataFrame, n: int = 25) -> DataFrame:
-    """For the postings asked about (``id``): their employer's n newest other open postings.
+def same_company(postings: DataFrame, asked: DataFrame | None = None, n: int = 25) -> DataFrame:
+    """For the postings asked about (``id``; all, if none are given): their employer's n newest other open postings.
 
     An employer's newest n+1 form one short list, looked up by each posting;
     leaving itself out, a posting has its n.
@@ -91,7 +91,8 @@ def same_company(postings: DataFrame, asked: DataFrame, n: int = 25) -> DataFram
     short = _newest_of(postings, n).groupBy("company_key").agg(
         F.sort_array(F.collect_list(F.struct("rank", "id", "title", "location", "posted_at_ts"))).alias("_newest"))
     rows = postings.filter(F.col("company_key").isNotNull()).select(F.col("id").alias("asked_id"), "company_key")
-    rows = rows.join(asked.select(F.col("id").alias("asked_id")), "asked_id", "left_semi")
+    if asked is not None:
+        rows = rows.join(asked.select(F.col("id").alias("asked_id")), "asked_id", "left_semi")
     met = lookup(rows, short, "company_key", "asked_id")
     others = F.slice(F.filter("_newest", lambda p: p["id"] != F.col("asked_id")), 1, n)
     return met.select("asked_id", F.posexplode(others).alias("_at", "_p")).select(

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
@@ -12,12 +13,14 @@ from joblattice.functions.similarity import with_ratio
 from joblattice.operators import entities, facets, filters, maintain, ranking, search
 from joblattice.operators.skew import lookup
 from joblattice.operators.standardize import standardize_posting
-from joblattice.plans import export, feed
+from joblattice.plans import catalog, export, feed
+from joblattice.plans.bindings import bound
 from joblattice.streaming import stall
 from joblattice.streaming.lifecycle import lifecycle
 
 T0 = datetime(2026, 8, 1)
 AS_OF = datetime(2026, 9, 1)
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -225,6 +228,16 @@ def test_same_company_leaves_itself_out(postings):
     for r in entities.same_company(postings, postings.select("id"), n=5).orderBy("asked_id", "rank").collect():
         got.setdefault(r["asked_id"], []).append(r["id"])
     assert all(got[r["id"]] == newest(r["company_key"], r["id"]) for r in rows)
+    assert entities.same_company(postings, n=5).exceptAll(entities.same_company(postings, postings.select("id"), n=5)).isEmpty()
+
+
+def test_same_company_query_answers_every_posting(spark):
+    """A posting has 25 rows, or as many as its employer has other open postings."""
+    rows = [tuple(r) for r in catalog.QUERIES["same_company"].run(spark, SF).select("asked_id", "id").collect()]
+    kept = bound(spark, SF, "postings").select("id", "company_key", "status").collect()
+    open_ = Counter(r["company_key"] for r in kept if r["status"] == "open")
+    want = {r["id"]: min(25, open_[r["company_key"]] - (r["status"] == "open")) for r in kept if r["company_key"] is not None}
+    assert Counter(a for a, _ in rows) == Counter({k: n for k, n in want.items() if n})
 
 
 def _fold(status, failures, scraped, outcomes, threshold=5):
