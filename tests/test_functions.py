@@ -248,3 +248,8 @@ def test_stems_of_known_words(spark):
     got = {r.word: r.term for r in with_stem(spark.createDataFrame(rows, "word string")).collect()}
     assert {w: got[w] for w in known} == known
     assert got[None] == got[""] == "" and got["ab"] == "ab" and got["日本"] == "日本"
+
+
+def test_references_without_a_semicolon(pairs):
+    """As html.unescape reads them, also before a tag."""
+    check(pairs, [("<b>ver&amp</b>", "<b>ver&</b>"), ("a &amp;amp b", "a & b"), ("R&amd", "R&amd")], "h string", text.unescape_html("h"))
