@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from joblattice import vocab
 from joblattice.operators import filters, ranking
+from joblattice.operators.skew import TASK_ROWS
 from joblattice.plans import checks as k
 from joblattice.plans import export
 from joblattice.plans.bindings import LOCATIONS, TITLES, CheckDialect, Dialect, as_of, bound, given, spread, stored_once
@@ -38,7 +39,7 @@ def _landed(spark, sf_dir, name, fields: dict, wrap, page="1"):
     """One body per order with JOBS jobs, stored as it landed; ``fields`` are Spark SQL of (i) per job field."""
     jobs = ", ".join(f"struct({', '.join(f'{f(i)} AS {n}' for n, f in fields.items())})" for i in range(JOBS))
     entry = "to_json(named_struct('company', 'Board ' || o_custkey % 50, 'token', 't' || o_custkey, 'tenant', 't' || o_custkey, 'wd_host', 'wd5', 'site', 'ext', 'host', 'h' || o_custkey, 'job_detail_base', 'https://x.example/job', 'category', 'Retail'))"
-    return stored_once(spark, sf_dir, f"landed-{name}", lambda: spread(given(spark, sf_dir, "orders")).selectExpr(
+    return stored_once(spark, sf_dir, f"landed-{name}", lambda: spread(given(spark, sf_dir, "orders"), TASK_ROWS).selectExpr(
         "'entry ' || o_custkey AS source_entry", f"{entry} AS entry", f"{page} AS page", f"to_json({wrap(f'array({jobs})')}) AS payload"))
 
 
@@ -137,7 +138,7 @@ def payload_muse(spark, sf_dir):
             "locations": lambda i: f"array(struct('Reno' AS name), struct({_place(d, i)} AS name))", "refs": lambda i: "struct('https://m.example' AS landing_page)"}
     raw = _landed(spark, sf_dir, "muse", jobs, lambda a: f"struct(1 AS page_count, {a} AS results)", "o_orderkey % 10")
     raw = raw.withColumn("query_category", F.concat(F.lit("cat "), "page"))
-    return payloads.normalize(raw.withColumn("page", F.col("page").cast("int")), "muse").select("id", "title", "location", "job_function")
+    return payloads.normalize(raw.withColumn("page", F.col("page").cast("int")), "muse", columns=("id", "title", "location", "job_function"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0")
@@ -415,7 +416,7 @@ def detail_texts(spark, sf_dir):
 
     section = "CASE WHEN p_partkey % 3 = 0 THEN '{}' ELSE '{\"title\": \"About \", \"text\": \"<p>' || p_name || '</p>\"}' END"
     body = f"'{{\"jobAd\": {{\"sections\": {{\"qualifications\": {{\"text\": \"Needs ' || p_brand || '\"}}, \"jobDescription\": ' || {section} || '}}}}}}'"
-    return given(spark, sf_dir, "part").selectExpr("p_partkey", f"{body} AS payload").select("p_partkey", detail_text("payload", "smartrecruiters").alias("text"))
+    return spread(given(spark, sf_dir, "part"), TASK_ROWS).selectExpr("p_partkey", f"{body} AS payload").select("p_partkey", detail_text("payload", "smartrecruiters").alias("text"))
 
 
 @query("SELECT p_partkey, p_name || chr(10) || chr(10) || '• ' || p_brand AS text FROM part")
@@ -423,4 +424,4 @@ def workday_detail_texts(spark, sf_dir):
     from joblattice.sources.details import detail_text
 
     body = "'{\"jobPostingInfo\": {\"jobDescription\": \"<p>' || p_name || '</p><li>' || p_brand || '</li>\"}}'"
-    return given(spark, sf_dir, "part").selectExpr("p_partkey", f"{body} AS payload").select("p_partkey", detail_text("payload", "workday").alias("text"))
+    return spread(given(spark, sf_dir, "part"), TASK_ROWS).selectExpr("p_partkey", f"{body} AS payload").select("p_partkey", detail_text("payload", "workday").alias("text"))

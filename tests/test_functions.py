@@ -253,3 +253,38 @@ def test_stems_of_known_words(spark):
 def test_references_without_a_semicolon(pairs):
     """As html.unescape reads them, also before a tag."""
     check(pairs, [("<b>ver&amp</b>", "<b>ver&</b>"), ("a &amp;amp b", "a & b"), ("R&amd", "R&amd")], "h string", text.unescape_html("h"))
+
+
+def test_references_behind_written_ampersands(spark):
+    """A reference that only a later pass brings out is read as html.unescape reads it, common or not."""
+    import html
+
+    texts = ["&amp;copy; x", "&amp;amp;lt;", "&&amp;lt;b", "&amp", "&amp;#39;", "a & b", "&&quot;x", "&amp;amp;amp;amp;lt;", "plain", "&copy", "&amp; &lt;p&gt;"]
+
+    def three(t):
+        for _ in range(3):
+            t = html.unescape(t)
+        return t
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.unescape_html("t").alias("u")).collect()
+    assert {r["t"]: r["u"] for r in rows} == {t: three(t) for t in texts}
+
+
+def test_bodies_are_parsed_once(spark):
+    """No test of an array's length has each body parsed again before it is unfolded."""
+    from joblattice.sources import payloads
+
+    raw = spark.createDataFrame([("e", "{}", 1, '{"jobs": [{"id": "7", "title": "Intern", "content": "a"}, null]}'), ("f", "{}", 1, '{"jobs": []}'), ("g", "{}", 1, "no")],
+                                "source_entry string, entry string, page int, payload string")
+    rows = payloads.normalize(raw, "greenhouse")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(StructField(jobs") == 1
+    assert sorted((r["id"], r["title"]) for r in rows.collect()) == [("greenhouse", ""), ("greenhouse:7", "Intern")]
+
+
+def test_tasks_grow_in_number(spark):
+    from joblattice.operators.skew import spread
+
+    rows = spark.range(0, 1000, 1, 1)
+    assert spread(rows, 10).rdd.getNumPartitions() == 100
+    assert spread(rows, 10).count() == 1000
