@@ -32,13 +32,14 @@ def _workday_text(payload: Column) -> Column:
 
 
 def _smartrecruiters_text(payload: Column) -> Column:
-    def part(name):
-        base = f"$.jobAd.sections.{name}"
-        text = blank_to_null(display_text(F.get_json_object(payload, f"{base}.text")))
-        title = blank_to_null(strip(text_of(F.get_json_object(payload, f"{base}.title"))))
-        return F.when(text.isNotNull(), F.concat_ws("\n", title, text))
-
-    return F.concat_ws("\n\n", *[part(s) for s in SECTIONS])
+    def field(name, of):
+        return F.get_json_object(payload, f"$.jobAd.sections.{name}.{of}")
+
+    # an array of the sections, so that no text is cleaned once to be tested and once to be used
+    parts = F.array(*[
+        F.struct(blank_to_null(strip(text_of(field(s, "title")))).alias("title"), display_text(field(s, "text")).alias("text")) for s in SECTIONS])
+    told = F.filter(parts, lambda p: p["text"] != "")
+    return F.array_join(F.transform(told, lambda p: F.concat_ws("\n", p["title"], p["text"])), "\n\n")
 
 
 DETAILS = {
