@@ -353,3 +353,10 @@ def test_numbering_spreads_a_hot_group(spark):
     assert {r.id: r["rank"] for r in out.collect()} == want and out.columns == ["key", "at", "id", "rank"]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and "_part" in plan and ranking.numbered(df.limit(0), "key", [F.asc("id")]).count() == 0
+
+
+def test_places_of_words_are_not_shuffled_to_meet_their_stems(spark):
+    df = spark.createDataFrame([("1", "Rocket Intern", "Builds rockets, many rockets"), ("2", "Baker", None)], "id string, title string, description string")
+    index = search.build_index(df)
+    assert "hashpartitioning(word" not in index._jdf.queryExecution().executedPlan().toString()
+    assert {(r["id"], r["field"]): r["positions"] for r in index.filter("term = 'rocket'").collect()} == {("1", "title"): [0], ("1", "description"): [1, 3]}
