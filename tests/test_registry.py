@@ -36,3 +36,23 @@ def test_contract():
 def test_the_gate_and_its_name_measure_are_checked_by_sql():
     assert all(QUERIES[n].sql for n in ("name_similarities", "name_edit_similarities", "verification_gate"))
     assert "levenshtein" not in QUERIES["verification_gate"].sql
+
+
+def test_postings_are_stored_without_keys_for_queries_that_need_none(spark, monkeypatch):
+    from joblattice.plans import bindings
+
+    monkeypatch.setattr(bindings, "_STORED", {})
+    for name in ("feed_page", "cycle_sweep", "description_shards", "due_descriptions", "batch_rebuild", "standardized_postings"):
+        QUERIES[name].run(spark, SF_DIR)
+    assert [k[2] for k in bindings._STORED] == ["postings-unkeyed"]
+    plain = spark.read.parquet(*bindings._STORED.values())
+    keyed = bindings.bound(spark, SF_DIR, "postings")
+    assert keyed.columns == [*plain.columns, *bindings.KEYS] and bindings.unkeyed(spark, SF_DIR, "postings").columns == plain.columns
+    assert keyed.drop(*bindings.KEYS).exceptAll(plain).count() == 0
+
+
+def test_stages_longer_than_the_jvm_compiles_are_split(spark):
+    from joblattice.plans import bindings
+
+    bindings.prepare(spark)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
