@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from joblattice.llm.common import in_small_batches, release
 from joblattice.llm.stretches import KEPT, Recent, Stretches
 
 _NEVER = 1 << 40
@@ -216,7 +217,7 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         self.vocabulary, self.split = vocabulary(path), splitter(pattern)
         self._pack = [i.to_bytes(4, "little") for i in range(len(self.vocabulary.tokens))]
-        self._pieces = Recent(self._encode_pieces)
+        self._pieces = Recent(self._encode_pieces, KEPT // 3)  # most are stretches, which are kept as such
         self.encode = Stretches(self._stretches)
 
     def _stretches(self, texts: list[str]) -> list[bytes]:
@@ -260,7 +261,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     """
     names = [c for c in (df.columns if keep is None else keep) if c not in (out, round_trip)]
     fields = [df.schema[c] for c in names]
-    source = df.select(*names, F.col(text).alias("__bpe_text"))
+    source = in_small_batches(df).select(*names, F.col(text).alias("__bpe_text"))
     made = [T.StructField(out, T.BinaryType())] + [T.StructField(c, T.BooleanType()) for c in (round_trip,) if c]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,6 +275,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
                     raw = texts.cast(pa.binary())
                     columns.append(pa.array([decoded(one.vocabulary.tokens, x) == t.as_py() for x, t in zip(ids, raw)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], [*names, *(f.name for f in made)])
+        release()
 
     return source.mapInArrow(run, T.StructType([*fields, *made]))
 

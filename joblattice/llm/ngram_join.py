@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from joblattice.llm.common import stored, table
+from joblattice.llm.common import in_small_batches, release, stored, table
 
 WORDS = 5
 #: Sets below this size have a bucket for each shingle; above, bands grow by a factor of four.
@@ -180,6 +180,8 @@ def sets(docs: DataFrame, key: str, text: str, blob: bool = False) -> DataFrame:
                 if blob:
                     out.append(pa.array([s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in found], pa.binary()))
                 yield pa.RecordBatch.from_arrays(out, ["id", "n", "set", "shingles"][:len(out)])
+        del shingle
+        release()
 
     return rows.mapInArrow(run, "id long, n long, set long" + ", shingles binary" * blob)
 
@@ -233,6 +235,8 @@ def packed_keys(docs: DataFrame, text: str, ranges: int) -> DataFrame:
                         n = 0
         if parts:
             yield packed()
+        del shingle
+        release()
 
     return docs.select(text).mapInArrow(run, "r int, ids binary, sizes binary, keys binary, levels binary, owners binary")
 
@@ -247,6 +251,7 @@ def meetings(packed: DataFrame) -> DataFrame:
     """Candidate pairs where few sets meet, pairs with the smallest set where many do, and who met there."""
 
     def meet(rows: pa.Table) -> pa.Table:
+        release()  # of the group before
         n_in = [len(x) // 2 for x in rows["owners"].to_pylist()]
         key = np.zeros((sum(n_in), 8), np.uint8)
         key[:, :5] = np.frombuffer(b"".join(rows["keys"].to_pylist()), np.uint8).reshape(-1, 5)
@@ -346,6 +351,7 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
                 z = np.sort(np.concatenate([x, y]))
                 keep.append(linked(len(x), len(y), int((z[1:] == z[:-1]).sum())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -418,6 +424,7 @@ def parities(held: DataFrame, asked: DataFrame) -> DataFrame:
             odd = (np.bincount(owner * BITS + bit, minlength=len(found) * BITS) & 1).astype(np.uint8)
             rows = np.packbits(odd).view("<i8").reshape(len(found), -1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c) for c in rows.T.copy()]], ["a", "level", *names])
+        release()
 
     texts = asked.join(held.withColumnRenamed("set", "a"), "a").select("a", "level", "shingles")
     return texts.mapInArrow(run, "a long, level int, " + ", ".join(f"{n} long" for n in names))
@@ -468,6 +475,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     component unless a document with an id has the same or a similar set.
     Repeated rows stay.
     """
+    docs = in_small_batches(docs)
     all_sets = stored(sets(docs, key, text), "sets")
     total = all_sets.agg(F.sum("n")).first()[0] or 0
     reps = stored(all_sets.where("n > 0").groupBy("set").agg(F.min("id").alias("rep")), "first")

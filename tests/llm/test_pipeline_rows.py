@@ -31,3 +31,26 @@ def test_one_row_of_each_component_stays(spark):
 
 def test_an_empty_table_stays_empty(spark):
     assert corpus_pipeline.near_duplicates(spark, spark.createDataFrame([], DOC), "").collect() == []
+
+
+def test_workers_get_whole_texts_in_batches_bounded_by_bytes(spark):
+    import pyarrow as pa
+
+    from joblattice.llm import common
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    texts = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('abcdefghij', 1000) AS t")
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        found = common.in_small_batches(texts).mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in found) == 3000 and max(r.bytes for r in found) < 1.1 * common.BATCH_BYTES
+        spark.conf.set(name, "1m")  # a smaller bound stays
+        common.in_small_batches(texts)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)
+    common.release()
